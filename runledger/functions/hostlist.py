@@ -28,7 +28,7 @@ def _range_or_literal(part: Column) -> Column:
 
 def _choices(token: Column) -> Column:
     body = F.split(F.regexp_replace(token, r"^\[|\]$", ""), ",")
-    parts = F.filter(F.transform(body, F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(body, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     ranged = F.flatten(F.transform(parts, _range_or_literal))
     return F.when(token.rlike(r"^\[.+\]$"), ranged).otherwise(F.array(token))
 

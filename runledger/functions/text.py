@@ -260,7 +260,7 @@ def gres_sum(c, key: str) -> Column:
     """Device count of the colon form ``gpu:tesla:4``; a bare ``gpu`` is one device."""
     parts = F.transform(
         F.split(as_col(c), ","),
-        lambda e: F.filter(F.transform(F.split(e, ":"), F.trim), lambda p: F.length(p) > 0),
+        lambda e: F.filter(F.transform(F.split(e, ":"), lambda p: F.trim(p)), lambda p: F.length(p) > 0),
     )
     mine = F.filter(parts, lambda p: F.lower(F.get(p, 0)) == key)
     one = F.lit(1).cast("long")
