@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import formats, logtext, text
 from ..functions.hostlist import expand_hosts
+from ..operators import attach, intervals, logmatch, ordered, refresh
 from ..operators import findings as D
-from ..operators import ordered
 from ..operators import patterns as PT
 from ..operators import reliability as R
 from ..operators import sizing as Z
 from ..operators import workloads as W
-from ..operators.common import cut
+from ..operators.common import checkpoint_dir
+from ..operators.rollup import job_metrics
+from ..sources import dumps, sinks, tables
+from . import pipeline
 from . import projections as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,5 +334,264 @@ def event_failure_runs(spark, sf_dir):
     return runs.select("user_id", *[big(c) for c in ("n_rows", "events", "event_runs", "longest_run")])
 
 
+# -- sources and record handling -----------------------------------------------------------
+
+def _clock(seconds: Column) -> Column:
+    """Below an hour ``MM:SS.mmm``, else ``[D-]HH:MM:SS``."""
+    minutes = F.floor(seconds / 60)
+    short = F.format_string("%02d:%06.3f", minutes, seconds - minutes * 60)
+    return F.when(seconds < 3600, short).otherwise(formats.walltime_flag(seconds))
+
+
+def _iso(c: str) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def _record(fields: dict[str, Column]) -> Column:
+    cells = [F.coalesce(fields.get(f, F.lit("")).cast("string"), F.lit("")) for f in dumps.FIELDS]
+    return F.concat_ws(dumps.SAFE_DELIMITER, *cells)
+
+
+def _dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounting tables as dump text: a job row, then its steps."""
+    j, s = P.acct_jobs(spark, sf_dir), P.acct_steps(spark, sf_dir)
+    odd = F.col("job_id") % 2 == 1
+    job = _record(
+        {
+            "JobID": F.col("job_id"), "JobName": F.col("name"), "User": F.col("user_name"),
+            "Cluster": F.col("cluster"), "Partition": F.col("partition_name"), "State": F.col("state"),
+            "ExitCode": F.lit("0:0"), "Submit": _iso("submit_ts"), "Start": _iso("start_ts"),
+            "End": F.coalesce(_iso("end_ts"), F.lit("Unknown")),
+            "Elapsed": F.when(F.col("elapsed_s").isNotNull(), formats.walltime_flag("elapsed_s")),
+            "ElapsedRaw": F.when(odd, F.col("elapsed_s")),
+            "Timelimit": formats.walltime_flag("timelimit_s"),
+            "ReqMem": F.format_string("%dGn", F.floor(F.col("mem_limit_bytes") / text.GIB)),
+            "AllocTRES": F.when(F.col("gpus") > 0, F.format_string("cpu=%d,gres/gpu=%d,node=%d", "cpus", "gpus", "n_nodes")).otherwise(F.format_string("cpu=%d,node=%d", "cpus", "n_nodes")),
+            "NCPUS": F.col("cpus"), "NNodes": F.col("n_nodes"), "NodeList": F.col("node_list"),
+            "SubmitLine": F.when(F.col("job_id") % 3 == 0, F.concat(F.lit("run a.sh"), F.lit("\n"), F.lit("  --second line"))),
+        }
+    )
+    step = _record(
+        {
+            "JobID": F.concat(F.col("job_id").cast("string"), F.lit("."), F.col("step")),
+            "State": F.lit("COMPLETED"), "NTasks": F.col("ntasks"),
+            "TotalCPU": _clock(F.col("total_cpu_s")), "SystemCPU": _clock(F.col("system_cpu_s")),
+            "MaxRSS": F.col("max_rss_bytes"), "AveRSS": F.col("ave_rss_bytes"),
+            "MaxDiskRead": F.col("read_bytes"),
+            "TRESUsageOutTot": F.when(F.col("write_bytes").isNotNull(), F.concat(F.lit("cpu=00:01:00,fs/disk="), F.col("write_bytes").cast("string"))),
+        }
+    )
+    rows = j.select("job_id", F.lit(0).cast("long").alias("pos"), job.alias("value"))
+    return rows.unionByName(s.select("job_id", "pos", step.alias("value")))
+
+
+@query
+def parse_roundtrip(spark, sf_dir):
+    """Format the tables as dump files, read the files back, and roll the steps up."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    lines = _dump_lines(spark, sf_dir)
+    ordered_lines = lines.repartition("job_id").sortWithinPartitions("job_id", "pos")
+    ordered_lines.select("value").write.text(path)
+    t = pipeline.normalize(spark, path)
+    m = job_metrics(t.jobs, t.steps)
+    longs = ["job_id", "cpu_count", "node_count", "gpu_count", "mem_limit", "max_rss", "read_bytes", "write_bytes", "step_count"]
+    doubles = ["elapsed", "timelimit", "total_cpu", "system_cpu"]
+    return m.select(
+        *[big(c) for c in longs], *[r6(c) for c in doubles], "name", "user", "partition", "state", "node_list",
+        ts("submit"), ts("start"), ts("end"), F.length("submit_line").cast("bigint").alias("submit_chars"),
+    )
+
+
+@query
+def requeue_fold(spark, sf_dir):
+    """Jobs and their earlier incarnations under one id, some by another user."""
+    cols = ["job_id", "cluster", "state", "elapsed_s", "uid", "submit"]
+    jobs = P.acct_jobs(spark, sf_dir).select(
+        "*", F.lit("7").alias("uid"), F.col("submit_ts").alias("submit")
+    ).select(*cols)
+    foreign = (F.col("job_id") + F.col("attempt")) % 4 == 0
+    tries = P.acct_attempts(spark, sf_dir).select(
+        "*", F.when(foreign, "8").otherwise("7").alias("uid"),
+        (F.col("end_ts") - F.expr("INTERVAL '10' DAY")).alias("submit"),
+    ).select(*cols)
+    rows = jobs.unionByName(tries).withColumns(
+        {"user": F.lit(None).cast("string"), "src_file": F.lit("d"), "place": F.lit(0)}
+    )
+    kept = attach.fold_requeues(rows).filter(F.col("role") == "attempt")
+    return kept.select(big("job_id"), big("attempt"), "state", big("elapsed_s"))
+
+
+@query
+def window_scan(spark, sf_dir):
+    jobs = tables.jobs_in_window(
+        P.jobs(spark, sf_dir), since="1998-01-01", until="1998-07-01T00:00:00",
+        job_states=["failed", "timeout"], partition="p1",
+    )
+    steps = tables.steps_of(P.steps(spark, sf_dir), jobs).groupBy("alloc_id").agg(F.count("*").alias("steps"))
+    return jobs.join(steps, "alloc_id").select(big("job_id"), "state", "steps")
+
+
+@query
+def refresh_changed(spark, sf_dir):
+    """What a new listing says about stored records."""
+    jobs = P.acct_jobs(spark, sf_dir).select(
+        F.col("job_id").cast("string").alias("job_id"), F.lit(0).alias("pos"), "state", F.col("end_ts").alias("end"),
+        F.col("job_id").alias("n"),
+    )
+    old_state = F.when(F.col("n") % 11 == 0, "RUNNING").otherwise(F.col("state"))
+    before = jobs.filter(F.col("n") % 17 != 0).withColumn("state", old_state)
+    stored = refresh.fingerprints(before)
+    return refresh.plan_refresh(jobs, stored).select(big("job_id"), "action")
+
+
+@query
+def live_reconcile(spark, sf_dir):
+    """The queue still knows every second running job."""
+    jobs = P.jobs(spark, sf_dir)
+    queue = jobs.filter((F.col("state") == "RUNNING") & (text.id_primary("job_id") % 2 == 1))
+    live = tables.live_jobs(queue.select(F.concat(F.lit(" "), F.col("job_id")).alias("value")))
+    df = refresh.reconcile_live(jobs, live)
+    return df.groupBy("state", "live", "open_ended").agg(F.count("*").alias("jobs"))
+
+
+@query
+def live_merge(spark, sf_dir):
+    """Every tenth job is still running; its steps are read from live counters."""
+    n = text.id_primary("job_id")
+    jobs, steps = P.jobs(spark, sf_dir), P.steps(spark, sf_dir)
+    jobs = jobs.withColumns(
+        {
+            "state": F.when(n % 10 == 0, "RUNNING").otherwise(F.col("state")),
+            "end": F.when(n % 10 != 0, F.col("end")),
+            "open_ended": (n % 10 == 0) | F.col("open_ended"),
+        }
+    )
+    going = n % 10 == 0
+    text_rows = steps.filter(going).select(
+        F.col("step_id").alias("JobID"), F.col("max_rss").cast("string").alias("MaxRSS"),
+        F.lit("").alias("MaxRSSNode"), F.lit("").alias("MaxRSSTask"), F.col("ave_rss").cast("string").alias("AveRSS"),
+        F.lit("").alias("MaxVMSize"), F.lit("").alias("MaxPages"),
+        _clock(F.col("total_cpu")).alias("AveCPU"), F.col("ntasks").cast("string").alias("NTasks"),
+    )
+    blank = {c: F.when(~going, F.col(c)) for c in ("max_rss", "ave_rss", "total_cpu", "system_cpu", "user_cpu")}
+    steps = steps.withColumns({**blank, "state": F.when(going, "RUNNING")})
+    jobs, steps = refresh.merge_live(jobs, steps, tables.live_step_metrics(text_rows), reader="u10")
+    m = job_metrics(jobs, steps).filter(F.col("state") == "RUNNING")
+    return m.select(big("job_id"), r6("total_cpu"), big("max_rss"), big("ave_rss"), "live_metrics", "foreign_owner")
+
+
+@query
+def partition_ceiling(spark, sf_dir):
+    nodes = P.table(spark, sf_dir, "supplier").select(
+        F.lit("c1").alias("cluster"), F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("partition"),
+        F.concat((F.col("s_suppkey") % 64 + 1).cast("string"), F.when(F.col("s_suppkey") % 2 == 0, "+").otherwise("")).alias("cores"),
+        F.when(F.col("s_suppkey") % 5 == 0, "n/a").otherwise((F.col("s_suppkey") * 1000).cast("string")).alias("mem_mb"),
+    )
+    return tables.partition_ceilings(nodes).select("partition", big("max_cores"), big("max_mem_mb"))
+
+
+@query
+def job_report(spark, sf_dir):
+    m = P.metrics(spark, sf_dir)
+    report = sinks.job_report(m, P.steps(spark, sf_dir), D.findings(m))
+    return report.select(
+        F.col("identity.job_id").cast("bigint").alias("job_id"), F.col("outcome.state").alias("state"),
+        F.round("timing.elapsed_seconds", 6).alias("elapsed"),
+        F.coalesce(F.size("steps"), F.lit(0)).cast("bigint").alias("steps"),
+        F.size("findings").cast("bigint").alias("findings"),
+        F.get("findings", 0)["code"].alias("first_code"),
+        F.get("steps", 0)["step_id"].alias("first_step"),
+    )
+
+
+# -- logs ----------------------------------------------------------------------------------------
+
+def _log_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs with a work directory, and a listing with logs for two of three jobs."""
+    jobs = P.jobs(spark, sf_dir).withColumn("work_dir", F.concat(F.lit("/work/"), F.col("user")))
+    n = text.id_primary("job_id")
+    jobs = jobs.withColumn("std_err", F.when(n % 6 == 1, F.lit("logs/%x-%10j.err")))
+    named = F.when(n % 3 == 0, F.concat("work_dir", F.lit("/logs/slurm-"), "job_id", F.lit(".out"))).when(
+        n % 6 == 1, F.concat("work_dir", F.lit("/logs/"), "name", F.lit("-"), F.lpad("job_id", 10, "0"), F.lit(".err"))
+    ).when(n % 6 == 4, F.concat("work_dir", F.lit("/run_"), "job_id", F.lit("_x.log")))
+    files = jobs.filter(named.isNotNull()).select(
+        named.alias("path"), F.col("end").cast("timestamp").alias("mtime"), n.alias("size")
+    )
+    return jobs, tables.with_location(files)
+
+
+@query
+def log_name_match(spark, sf_dir):
+    jobs, files = _log_tree(spark, sf_dir)
+    return logmatch.by_name(jobs, files).select(F.col("alloc_id").cast("bigint").alias("job_id"), "path")
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as jobs over the month of the events, events as files; ten directories."""
+    key = F.col("o_orderkey")
+    start = F.lit(1704067200000).cast("long") + (key * 7919) % 2592000 * 1000
+    end = start + (60 + (key * 31) % 7200) * 1000
+    intervals = P.table(spark, sf_dir, "orders").select(
+        key.alias("iid"), (F.col("o_custkey") % 10).alias("grp"), (start - 60000).alias("lo"),
+        end.alias("mid"), (end + 600000).alias("hi"), F.lit(0).alias("pref"),
+    )
+    points = P.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("pid"), (F.col("user_id") % 10).alias("grp"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("pclass"), F.lit(0).alias("ptie"),
+    )
+    return intervals, points
+
+
+@query
+def time_window_match(spark, sf_dir):
+    left, right = _windows(spark, sf_dir)
+    counts = intervals.count_in_window(left, right)
+    best = intervals.nearest_in_window(left, right)
+    return counts.join(best, "iid").select(
+        F.col("iid").alias("job_id"), "candidates", F.col("pid").alias("event_id"), F.col("distance").alias("distance_ms")
+    )
+
+
+@query
+def greedy_assign(spark, sf_dir):
+    left, right = _windows(spark, sf_dir)
+    return intervals.greedy_match(left, right).select(
+        F.col("iid").alias("job_id"), F.col("pid").alias("event_id"), F.col("distance").alias("distance_ms")
+    )
+
+
+@query
+def traceback_markers(spark, sf_dir):
+    """Markers and excerpts of a log written for every job."""
+    n = F.col("job_id")
+    number = lambda m: (n % m).cast("string")
+    trace = F.concat(
+        F.lit("begin\nTraceback (most recent call last):\n  old\nOldError: x\n"),
+        F.lit("[rank0]: Traceback (most recent call last):\n[rank0]:   File a.py, line "), number(50),
+        F.lit("\n    one\n\n    two\n    three\n    four\n[rank0]: ImportError: No module named m"), number(7), F.lit("\nend\n"),
+    )
+    plain = F.concat(F.lit("a\nb  \n\nc\r\nCUDA out of memory "), number(9), F.lit("\nNCCL WARN "), number(5), F.lit("\nd\ne\n\n"))
+    logs = P.acct_jobs(spark, sf_dir).select("job_id", F.when(n % 3 == 0, trace).otherwise(plain).alias("log"))
+    low = F.lower("log")
+    return logs.select(
+        "job_id", logtext.has_marker(low, logtext.DEVICE_MEMORY).alias("device_memory"),
+        logtext.has_marker(low, logtext.COLLECTIVE).alias("collective"),
+        logtext.has_marker(low, logtext.IMPORT).alias("import_error"),
+        logtext.traceback_tail("log").alias("traceback"), logtext.last_lines("log").alias("excerpt"),
+    )
+
+
+@query
+def log_excerpts(spark, sf_dir):
+    """Last lines and markers of every whole document."""
+    docs = P.table(spark, sf_dir, "documents")
+    low = F.lower("text")
+    return docs.select(
+        "doc_id", F.md5(logtext.last_lines("text")).alias("excerpt_md5"),
+        logtext.has_marker(low, logtext.IMPORT).alias("import_error"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -405,4 +405,72 @@ r AS (SELECT user_id, g, COUNT(*) AS len FROM e WHERE hit GROUP BY 1, 2),
 t AS (SELECT user_id, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE hit) AS events FROM e GROUP BY 1)
 SELECT t.user_id, t.n_rows, t.events, COALESCE(x.event_runs, 0) AS event_runs, COALESCE(x.longest_run, 0) AS longest_run FROM t
 LEFT JOIN (SELECT user_id, COUNT(*) AS event_runs, MAX(len) AS longest_run FROM r GROUP BY 1) x ON x.user_id = t.user_id""",
+        "sizing_routing": _SIZING + """,
+t1 AS (SELECT *, t_hung >= 3 AND t_hung >= 0.5 * t_timeouts AND t_hung >= 0.2 * runs AS vetoed,
+  GREATEST(CEIL(t_longest * 1.25e0 / CASE WHEN t_longest * 1.25e0 < 3600 THEN 300 ELSE 900 END) * CASE WHEN t_longest * 1.25e0 < 3600 THEN 300 ELSE 900 END,
+    COALESCE(CEIL(t_floor * 1.25e0 / CASE WHEN t_floor * 1.25e0 < 3600 THEN 300 ELSE 900 END) * CASE WHEN t_floor * 1.25e0 < 3600 THEN 300 ELSE 900 END, 0)) AS t_target,
+  CASE WHEN m_oom > 0 THEN GREATEST(CEIL(m_floor * 1.3e0 / 1073741824), CASE WHEN m_fit >= 3 THEN CEIL(m_peak * 1.3e0 / 1073741824) ELSE 0 END)
+   WHEN m_fit >= 3 THEN CEIL(m_peak * 1.3e0 / 1073741824) END AS m_target, GREATEST(CEIL(c_peak * 1.2e0), 1) AS c_target FROM z),
+t2 AS (SELECT runs, CASE WHEN vetoed OR t_fit < 3 THEN 'unknown' ELSE """ + _by_change("t_target", "t_current") + """ END AS a,
+  CASE WHEN m_target IS NULL THEN 'unknown' ELSE """ + _by_change("m_target * 1073741824", "m_current") + """ END AS b,
+  CASE WHEN c_fit < 3 THEN 'unknown' ELSE """ + _by_change("c_target", "c_current") + """ END AS c FROM t1)
+SELECT CASE WHEN a IN ('raise', 'lower') OR b IN ('raise', 'lower') OR c IN ('raise', 'lower') THEN 'has_advice'
+  WHEN a = 'unknown' AND b = 'unknown' AND c = 'unknown' THEN 'too_few_runs' ELSE 'already_right' END AS status,
+  COUNT(*) AS workloads, CAST(SUM(runs) AS BIGINT) AS runs FROM t2 GROUP BY 1""",
+        "parse_roundtrip": _ALL + """
+SELECT CAST(job_id AS BIGINT) AS job_id, CAST(cpus AS BIGINT) AS cpu_count, CAST(n_nodes AS BIGINT) AS node_count, CAST(gpus AS BIGINT) AS gpu_count,
+  CAST(mem_limit_bytes AS BIGINT) AS mem_limit, CAST(max_rss AS BIGINT) AS max_rss, CAST(read_bytes AS BIGINT) AS read_bytes,
+  CAST(write_bytes AS BIGINT) AS write_bytes, CAST(step_count AS BIGINT) AS step_count, CAST(elapsed_s AS DOUBLE) AS elapsed,
+  CAST(timelimit_s AS DOUBLE) AS timelimit, ROUND(total_cpu, 6) AS total_cpu, ROUND(system_cpu, 6) AS system_cpu,
+  name, user_name AS user, partition_name AS partition, state, node_list, CAST(submit_ts AS VARCHAR) AS submit,
+  CAST(start_ts AS VARCHAR) AS start, CAST(end_ts AS VARCHAR) AS end, CASE WHEN job_id % 3 = 0 THEN 24::BIGINT END AS submit_chars FROM m""",
+        "requeue_fold": "WITH " + _JOBS + "," + _ATTEMPTS + """,
+f AS (SELECT *, (job_id + attempt) % 4 = 0 AS other FROM acct_attempts),
+g AS (SELECT *, MAX(CASE WHEN other THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY attempt) = 0 AS kept FROM f),
+n AS (SELECT *, COUNT(*) OVER (PARTITION BY job_id) AS c FROM g WHERE kept)
+SELECT CAST(job_id AS BIGINT) AS job_id, c - attempt + 1 AS attempt, state, CAST(elapsed_s AS BIGINT) AS elapsed_s FROM n""",
+        "window_scan": "WITH " + _JOBS + "," + _STEPS + """
+SELECT CAST(j.job_id AS BIGINT) AS job_id, j.state, COUNT(*) AS steps FROM acct_jobs j JOIN acct_steps t ON t.job_id = j.job_id
+WHERE (end_ts IS NULL OR end_ts >= TIMESTAMP '1998-01-01') AND start_ts <= TIMESTAMP '1998-07-01' AND partition_name = 'p1'
+  AND state IN ('FAILED', 'TIMEOUT') GROUP BY 1, 2""",
+        "refresh_changed": "WITH " + _JOBS + """
+SELECT CAST(job_id AS BIGINT) AS job_id, CASE WHEN job_id % 17 = 0 THEN 'new'
+  WHEN job_id % 11 = 0 AND state <> 'RUNNING' THEN 'changed' ELSE 'reuse' END AS action FROM acct_jobs""",
+        "live_reconcile": "WITH " + _JOBS + """
+SELECT state, CASE WHEN state = 'RUNNING' THEN job_id % 2 = 1 END AS live, state = 'RUNNING' AS open_ended, COUNT(*) AS jobs FROM acct_jobs GROUP BY 1, 2, 3""",
+        "live_merge": "WITH " + _JOBS + "," + _STEPS + """,
+r AS (SELECT job_id, SUM(total_cpu_s * ntasks) FILTER (WHERE step <> 'extern') AS cpu,
+  MAX(max_rss_bytes) AS peak, MAX(max_rss_bytes) FILTER (WHERE step <> 'extern') AS work_peak,
+  MAX(max_rss_bytes) FILTER (WHERE step = 'extern') AS extern_peak,
+  MAX(ave_rss_bytes) FILTER (WHERE step <> 'extern') AS ave FROM acct_steps GROUP BY 1),
+x AS (SELECT j.*, r.*, user_name = 'u10' AS mine,
+  CASE WHEN peak > mem_limit_bytes AND work_peak <= mem_limit_bytes AND extern_peak = peak THEN work_peak ELSE peak END AS best
+  FROM acct_jobs j JOIN r ON r.job_id = j.job_id WHERE j.job_id % 10 = 0 OR j.state = 'RUNNING')
+SELECT CAST(job_id AS BIGINT) AS job_id, CASE WHEN mine AND job_id % 10 = 0 THEN ROUND(cpu, 6) END AS total_cpu,
+  CASE WHEN mine AND job_id % 10 = 0 THEN CAST(best AS BIGINT) END AS max_rss, CASE WHEN mine AND job_id % 10 = 0 THEN CAST(ave AS BIGINT) END AS ave_rss,
+  mine AND job_id % 10 = 0 AS live_metrics, NOT mine AS foreign_owner FROM x""",
+        "partition_ceiling": """SELECT CONCAT('p', s_nationkey) AS partition, CAST(MAX(s_suppkey % 64 + 1) AS BIGINT) AS max_cores,
+  CAST(MAX(CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 1000 END) AS BIGINT) AS max_mem_mb FROM supplier GROUP BY 1""",
+        "job_report": _FINDINGS + """,
+fj AS (SELECT job_id, COUNT(*) AS findings, ARG_MIN(code, ROW(rank, pos)) AS first_code FROM fi GROUP BY 1),
+sj AS (SELECT job_id, COUNT(*) AS steps, ARG_MIN(CONCAT(job_id, '.', step), pos) AS first_step FROM acct_steps GROUP BY 1)
+SELECT CAST(m.job_id AS BIGINT) AS job_id, SPLIT_PART(state, ' ', 1) AS state, CAST(elapsed_s AS DOUBLE) AS elapsed, steps, findings, first_code, first_step
+FROM m LEFT JOIN fj ON fj.job_id = m.job_id LEFT JOIN sj ON sj.job_id = m.job_id""",
+        "log_name_match": "WITH " + _JOBS + """
+SELECT CAST(job_id AS BIGINT) AS job_id, CASE WHEN job_id % 3 = 0 THEN CONCAT('/work/', user_name, '/logs/slurm-', job_id, '.out')
+  WHEN job_id % 6 = 1 THEN CONCAT('/work/', user_name, '/logs/', name, '-', LPAD(CAST(job_id AS STRING), 10, '0'), '.err')
+  ELSE CONCAT('/work/', user_name, '/run_', job_id, '_x.log') END AS path FROM acct_jobs WHERE job_id % 6 IN (0, 1, 3, 4)""",
+        "time_window_match": """WITH i AS (SELECT o_orderkey AS iid, o_custkey % 10 AS g, 1704067200000 + (o_orderkey * 7919) % 2592000 * 1000 AS a,
+  (60 + (o_orderkey * 31) % 7200) * 1000 AS len FROM orders),
+p AS (SELECT event_id AS pid, user_id % 10 AS g, EPOCH_MS(ts) AS t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS c FROM events)
+SELECT iid AS job_id, COUNT(*) AS candidates, ARG_MIN(pid, ROW(c, ABS(t - a - len), pid)) AS event_id, CAST(ARG_MIN(ABS(t - a - len), ROW(c, ABS(t - a - len), pid)) AS BIGINT) AS distance_ms
+FROM i JOIN p ON p.g = i.g AND t >= a - 60000 AND t <= a + len + 600000 GROUP BY 1""",
+        "traceback_markers": "WITH " + _JOBS + """
+SELECT CAST(job_id AS BIGINT) AS job_id, job_id % 3 <> 0 AS device_memory, job_id % 3 <> 0 AS collective, job_id % 3 = 0 AS import_error,
+  CASE WHEN job_id % 3 = 0 THEN CONCAT('[rank0]: Traceback (most recent call last):', CHR(10), '  ...', CHR(10), '    two', CHR(10), '    three', CHR(10), '    four', CHR(10), '[rank0]: ImportError: No module named m', job_id % 7) END AS traceback,
+  CASE WHEN job_id % 3 = 0 THEN CONCAT('    one', CHR(10), '    two', CHR(10), '    three', CHR(10), '    four', CHR(10), '[rank0]: ImportError: No module named m', job_id % 7, CHR(10), 'end')
+   ELSE CONCAT('b', CHR(10), 'c', CHR(10), 'CUDA out of memory ', job_id % 9, CHR(10), 'NCCL WARN ', job_id % 5, CHR(10), 'd', CHR(10), 'e') END AS excerpt FROM acct_jobs""",
+        "log_excerpts": """WITH l AS (SELECT doc_id, text, LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(text, CHR(10)), x -> REGEXP_REPLACE(x, '\\s+$', '')), x -> REGEXP_MATCHES(x, '\\S')) AS k FROM documents)
+SELECT doc_id, MD5(ARRAY_TO_STRING(LIST_SLICE(k, GREATEST(LEN(k) - 5, 1), LEN(k)), CHR(10))) AS excerpt_md5,
+  REGEXP_MATCHES(LOWER(text), 'modulenotfounderror|importerror|no module named') AS import_error FROM l""",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,14 +41,18 @@ STEPS = T._parse_datatype_string(
 _FALSE = {"open_ended", "live_metrics", "foreign_owner"}
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select exactly ``schema``, with typed NULLs for columns the input lacks."""
+def conform_columns(df: DataFrame, schema: T.StructType) -> list[Column]:
     have = set(df.columns)
 
-    def column(field: T.StructField):
+    def column(field: T.StructField) -> Column:
         if field.name in have:
             return F.col(f"`{field.name}`").cast(field.dataType)
         missing = F.lit(False) if field.name in _FALSE else F.lit(None)
         return missing.cast(field.dataType)
 
-    return df.select(*[column(f).alias(f.name) for f in schema.fields])
+    return [column(f).alias(f.name) for f in schema.fields]
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Select exactly ``schema``, with typed NULLs for columns the input lacks."""
+    return df.select(*conform_columns(df, schema))
