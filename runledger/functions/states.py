@@ -28,8 +28,11 @@ NOOP_CPU_SECONDS = 10.0
 @memo
 def base_state(state) -> Column:
     """First word of the state: ``CANCELLED by 0`` is ``CANCELLED``."""
-    word = F.substring_index(F.trim(as_col(state)), " ", 1)
-    return F.when(F.length(word) > 0, word)
+    return F.nullif(_word(state), F.lit(""))
+
+
+def _word(state) -> Column:
+    return F.regexp_extract(as_col(state), r"^\s*(\S+)", 1)
 
 
 def _in(c: Column, words: list[str]) -> Column:
@@ -38,34 +41,34 @@ def _in(c: Column, words: list[str]) -> Column:
 
 @memo
 def failed(state) -> Column:
-    return _in(base_state(state), FAILED_STATES)
+    return _in(_word(state), FAILED_STATES)
 
 
 @memo
 def completed(state) -> Column:
-    return _in(base_state(state), ["COMPLETED"])
+    return _in(_word(state), ["COMPLETED"])
 
 
 @memo
 def cancelled(state) -> Column:
-    return _in(base_state(state), ["CANCELLED"])
+    return _in(_word(state), ["CANCELLED"])
 
 
 @memo
 def is_state(state, word: str) -> Column:
-    return _in(base_state(state), [word])
+    return _in(_word(state), [word])
 
 
 @memo
 def step_in_progress(state) -> Column:
-    return _in(base_state(state), IN_PROGRESS_STATES)
+    return _in(_word(state), IN_PROGRESS_STATES)
 
 
 @memo
 def in_progress(state, live) -> Column:
     """Still going, unless the live snapshot was asked and does not know the job."""
     gone = F.coalesce(~as_col(live), F.lit(False))
-    return ~gone & _in(base_state(state), IN_PROGRESS_STATES)
+    return ~gone & _in(_word(state), IN_PROGRESS_STATES)
 
 
 @memo

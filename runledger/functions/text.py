@@ -1,8 +1,8 @@
 """Readers for the text forms an accounting dump uses.
 
 All of them share one rule: a value that cannot be read is NULL and a real zero
-stays 0.  Casts are ``try_cast`` behind a numeric pattern, because Java's number
-parser accepts suffixes (``1d``) and specials (``NaN``) that are not measurements.
+stays 0.  A number is what a decimal pattern captures, because Java's own parser also
+accepts suffixes (``1d``) and specials (``NaN``) that are not measurements.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from .memo import memo
 
 # Words the accounting tool prints in place of a value.
 UNSET_WORDS = ["", "unknown", "none", "n/a", "unlimited", "(null)", "partition_limit"]
-NOT_A_DURATION = ["", "unlimited", "invalid", "partition_limit", "unknown", "none", "n/a", "*"]
 NO_NODES = "None assigned"
 
 KIB = 1024
@@ -25,8 +24,11 @@ CLOCK_UNITS = {"k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12}
 CLOCK_FLOOR_HZ = 400e6
 CLOCK_CEILING_HZ = 6e9
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_LONG_LIMIT = 9.2e18
+# Decimal text that always fits a double, so a match is always finite.  Expressions
+# below mention their input once per captured group: generated code stays small, which
+# matters when a hundred columns are parsed in one projection.
+_NUM = r"[+-]?(?:[0-9]{1,99}\.?[0-9]{0,99}|\.[0-9]{1,99})(?:[eE][+-]?[0-9]{1,2})?"
+_DURATION = rf"^\s*(?:([0-9]{{1,12}})-)?(?:(?:({_NUM}):)?({_NUM}):)?({_NUM})\s*$"
 
 
 def as_col(value) -> Column:
@@ -51,76 +53,64 @@ def free_text(c) -> Column:
     return null_if_empty(F.trim(as_col(c)))
 
 
-def finite(c) -> Column:
-    """NULL unless the double is an ordinary number."""
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+def _group(c, pattern: str, index: int) -> Column:
+    """A captured group; no match and an empty group are both ''."""
+    return F.regexp_extract(as_col(c), pattern, index)
 
 
-@memo
-def to_double(c) -> Column:
-    t = F.trim(as_col(c))
-    return finite(F.when(t.rlike(_NUMBER), t.try_cast("double")))
+def _double(c, pattern: str, index: int) -> Column:
+    return _group(c, pattern, index).try_cast("double")
 
 
-def trunc_long(c: Column) -> Column:
-    """Truncate toward zero; out of range is NULL rather than an error."""
-    return F.when(F.abs(c) < _LONG_LIMIT, c.cast("long"))
+@memo
+def to_double(c) -> Column:
+    return _double(c, rf"^\s*({_NUM})\s*$", 1)
 
 
 @memo
 def to_long(c) -> Column:
-    return trunc_long(to_double(clean(c)))
+    """Through double, truncated toward zero; out of range is NULL."""
+    return to_double(c).try_cast("bigint")
 
 
 def digits_to_long(c) -> Column:
-    c = as_col(c)
-    return F.when(c.rlike("^[0-9]+$"), c.try_cast("long"))
+    return _group(c, "^[0-9]+$", 0).try_cast("bigint")
 
 
 @memo
 def duration(c) -> Column:
     """``[D-]HH:MM:SS``, ``MM:SS[.mmm]`` or seconds, in seconds."""
-    t = F.trim(as_col(c))
-    has_days = t.contains("-")
-    days = F.regexp_extract(t, r"^([0-9]+)-", 1).try_cast("double")
-    clock = F.split(F.regexp_replace(t, r"^[0-9]+-", ""), ":")
-    part = F.transform(clock, to_double)
-    a, b, d = F.get(part, 0), F.get(part, 1), F.get(part, 2)
-    n = F.size(clock)
-    seconds = F.when(n == 3, a * 3600 + b * 60 + d).when(n == 2, a * 60 + b).when(n == 1, a)
-    value = F.when(has_days, days * 86400 + seconds).otherwise(seconds)
-    return F.when(~F.lower(t).isin(NOT_A_DURATION), value)
+    zero = F.lit(0.0)
+    days, hours, minutes = (F.coalesce(_double(c, _DURATION, i), zero) for i in (1, 2, 3))
+    return days * 86400 + hours * 3600 + minutes * 60 + _double(c, _DURATION, 4)
 
 
 @memo
 def seconds(raw, formatted) -> Column:
     """The integer column when the release has it, else the formatted one."""
-    return F.coalesce(to_long(raw).cast("double"), duration(clean(formatted)))
+    return F.coalesce(to_long(raw).cast("double"), duration(formatted))
 
 
-def _scaled(t: Column, units: dict, default: float) -> Column:
-    suffix = F.lower(F.right(t, F.lit(1)))
-    table = F.create_map(*[F.lit(v) for k, u in units.items() for v in (k, float(u))])
-    unit = F.when(suffix.isin(list(units)), F.element_at(table, suffix))
-    body = F.when(unit.isNotNull(), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    return to_double(body) * F.coalesce(unit, F.lit(float(default)))
-
-
-def _unscoped(c) -> Column:
-    return F.regexp_replace(F.trim(as_col(c)), "[nc]+$", "")
+def _scaled(c, units: dict, bare: float, trailer: str = "") -> Column:
+    letters = "".join(units) + "".join(units).upper()
+    pattern = rf"^\s*({_NUM})\s*([{letters}]?){trailer}\s*$"
+    table = {"": float(bare), **{k: float(v) for k, v in units.items()}}
+    factor = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    suffix = F.lower(_group(c, pattern, 2))
+    return _double(c, pattern, 1) * F.try_element_at(factor, suffix)
 
 
 @memo
 def byte_size(c) -> Column:
     """``53741792K``, ``40Gn``, ``1024`` in bytes; a trailing ``n``/``c`` is a scope."""
-    return trunc_long(finite(_scaled(_unscoped(c), BYTE_UNITS, 1)))
+    return _scaled(c, BYTE_UNITS, 1, "[nc]*").try_cast("bigint")
 
 
 @memo
 def memory_limit(c) -> Column:
     """A memory request in bytes: a bare number is MiB and a zero limit is no limit."""
-    value = trunc_long(finite(_scaled(_unscoped(c), BYTE_UNITS, MIB)))
-    return F.when(value != 0, value)
+    value = _scaled(c, BYTE_UNITS, MIB, "[nc]*").try_cast("bigint")
+    return F.nullif(value, F.lit(0).cast("bigint"))
 
 
 @memo
@@ -132,20 +122,19 @@ def memory_scope(c) -> Column:
 @memo
 def exit_part(c, index: int) -> Column:
     """``code:signal``: part 0 is the code, part 1 the signal."""
-    part = F.get(F.split(clean(c), ":", 2), F.lit(index))
-    return F.when(part.rlike(r"^[+-]?[0-9]+$"), part.try_cast("int"))
+    number = r"\s*([+-]?[0-9]+)\s*"
+    pattern = rf"^{number}(?::|$)" if index == 0 else rf"^[^:]*:{number}$"
+    return _group(c, pattern, 1).try_cast("int")
 
 
 @memo
 def clock_hz(c) -> Column:
     """Average CPU clock.  The printed unit may sit on a Hz or a kHz base, so both
     readings are tried and only one inside a real clock range is believed."""
-    t = F.trim(as_col(c))
-    value = _scaled(t, CLOCK_UNITS, 1)
-    khz = value * 1e3
-    return F.when(value.between(CLOCK_FLOOR_HZ, CLOCK_CEILING_HZ), value).when(
-        khz.between(CLOCK_FLOOR_HZ, CLOCK_CEILING_HZ), khz
-    )
+    value = _scaled(c, CLOCK_UNITS, 1)
+    readings = F.transform(F.array(F.lit(1.0), F.lit(1e3)), lambda base: value * base)
+    real = F.filter(readings, lambda hz: hz.between(CLOCK_FLOOR_HZ, CLOCK_CEILING_HZ))
+    return F.get(real, F.lit(0))
 
 
 # -- states and ids -------------------------------------------------------------
@@ -240,19 +229,15 @@ def tres_typed_sum(c, key: str) -> Column:
     )
 
 
-def _tres_text(c, key: str) -> Column:
-    return null_if_empty(F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1))
-
-
 @memo
 def tres_double(c, key: str) -> Column:
-    return to_double(_tres_text(c, key))
+    return to_double(F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1))
 
 
 @memo
 def tres_bytes(c, key: str, zero_is_missing: bool = False) -> Column:
-    value = byte_size(_tres_text(c, key))
-    return F.when(value != 0, value) if zero_is_missing else value
+    value = byte_size(F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1))
+    return F.nullif(value, F.lit(0).cast("bigint")) if zero_is_missing else value
 
 
 @memo

@@ -239,7 +239,8 @@ def findings(
     """One row per finding: job, position in rule order, severity, code and texts.
 
     ``logs(alloc_id, log_text)``, ``notes(alloc_id, node_note)`` and
-    ``site(cluster, from_cgroup, sampling_seconds)`` are optional inputs.
+    ``site(cluster, from_cgroup, sampling_seconds)`` are optional inputs; metrics that
+    went through ``rollup.with_places`` also name the slowest task.
     """
     df = metrics
     none = F.lit(None).cast("string")
@@ -255,6 +256,9 @@ def findings(
         df = df.withColumns({"from_cgroup": F.lit(None).cast("boolean"), "sampling_seconds": F.lit(None).cast("int")})
     else:
         df = df.join(site.select("cluster", "from_cgroup", "sampling_seconds"), "cluster", "left")
+    for place in ("slowest_node", "slowest_task"):
+        if place not in df.columns:
+            df = df.withColumn(place, none)
     cgroup, interval = F.col("from_cgroup"), F.col("sampling_seconds")
     r = _Rules()
     live = F.col("live")

@@ -18,7 +18,8 @@ def _nz(c) -> Column:
 
 def step_rollup(steps: DataFrame) -> DataFrame:
     """One row per allocation.  Every aggregate merges partially, so an allocation
-    with very many steps is combined before the shuffle."""
+    with very many steps is combined before the shuffle.  All of them are numeric,
+    which keeps the aggregation hash-based; names and places are in ``with_places``."""
     work = ~F.coalesce(F.col("step_id").endswith(".extern"), F.lit(False))
     going = states.step_in_progress("state")
     read = F.coalesce(text.tres_bytes("tres_in_tot", "fs/disk"), F.col("max_disk_read"))
@@ -52,25 +53,15 @@ def _step_aggregates() -> list[Column]:
     def first(value, when: Column) -> Column:
         return F.min_by(value, F.when(when, pos))
 
-    def peak_at(where: str, scope: Column) -> Column:
-        known = scope & F.col("max_rss").isNotNull() & (F.length(where) > 0)
-        return F.max_by(
-            F.struct(F.col("max_rss").alias("rss"), F.col(where).alias("at")),
-            F.when(known, F.struct("max_rss", -pos)),
-        )
-
     aggs = [F.count("*").alias("step_count"), F.max("ntasks").alias("s_tasks")]
     for cpu in ("total_cpu", "user_cpu", "system_cpu"):
         aggs.append(F.sum(F.when(w, F.col(cpu))).alias(f"s_{cpu}"))
         aggs.append(F.sum(F.when(live, _nz(cpu))).alias(f"l_{cpu}"))
     aggs.append(F.max(F.when(w, F.col("cpu_time"))).alias("s_cpu_time"))
-    aggs.append(first("ave_cpu_freq", w & (F.length("ave_cpu_freq") > 0)).alias("cpu_freq"))
     aggs.append(first("_hz", w & F.col("_hz").isNotNull()).alias("cpu_freq_hz"))
     spread = F.greatest(F.lit(0.0), (F.col("ave_cpu") - F.col("min_cpu")) / F.col("ave_cpu"))
     compared = many & (F.col("ave_cpu") > 0) & F.col("min_cpu").isNotNull()
     aggs.append(first(F.when(compared, spread), compared).alias("straggler_spread"))
-    slow = first(F.struct("min_cpu_node", "min_cpu_task"), many & F.col("min_cpu").isNotNull())
-    aggs.append(slow.alias("_slow"))
     ratio = F.when(w, F.try_divide(_nz("max_rss"), _nz("ave_rss")))
     for p, scope in (("s", F.lit(True)), ("l", F.col("_going"))):
         ws = w & scope
@@ -78,10 +69,6 @@ def _step_aggregates() -> list[Column]:
             F.max(F.when(scope, F.col("max_rss"))).alias(f"{p}_peak"),
             F.max(F.when(ws, F.col("max_rss"))).alias(f"{p}_peak_work"),
             F.max(F.when(scope & ~w, F.col("max_rss"))).alias(f"{p}_peak_extern"),
-            peak_at("max_rss_node", scope).alias(f"{p}_peak_node"),
-            peak_at("max_rss_node", ws).alias(f"{p}_peak_work_node"),
-            peak_at("max_rss_task", scope).alias(f"{p}_peak_task"),
-            peak_at("max_rss_task", ws).alias(f"{p}_peak_work_task"),
             F.max(F.when(ws, F.col("ave_rss"))).alias(f"{p}_ave_rss"),
             F.max(F.when(ws, ratio)).alias(f"{p}_imbalance"),
             F.count(F.when(ws, _nz("max_rss"))).alias(f"{p}_spread_n"),
@@ -185,11 +172,7 @@ def job_metrics(jobs: DataFrame, steps: DataFrame) -> DataFrame:
         (peak > F.col("mem_limit")) & (inside <= F.col("mem_limit")) & (extern == peak),
         F.lit(False),
     )
-    df = df.withColumns({"_phantom": phantom, "max_rss": F.when(phantom, inside).otherwise(peak)})
-
-    def at_peak(kind: str) -> Column:
-        spot = F.when(F.col("_phantom"), pick(f"peak_work_{kind}")).otherwise(pick(f"peak_{kind}"))
-        return F.when(spot["rss"] == F.col("max_rss"), spot["at"])
+    df = df.withColumn("max_rss", F.when(phantom, inside).otherwise(peak))
 
     df = df.withColumns(
         {
@@ -203,10 +186,6 @@ def job_metrics(jobs: DataFrame, steps: DataFrame) -> DataFrame:
                 F.try_divide("system_cpu", "total_cpu"),
             ),
             "cpu_utilization": F.try_divide(F.col("total_cpu"), _nz("cpu_time")),
-            "slowest_node": F.col("_slow.min_cpu_node"),
-            "slowest_task": F.col("_slow.min_cpu_task"),
-            "max_rss_node": at_peak("node"),
-            "max_rss_task": at_peak("task"),
             "ave_rss": pick("ave_rss"),
             "rss_task_imbalance": pick("imbalance"),
             "rss_step_spread": F.when(
@@ -249,5 +228,28 @@ def job_metrics(jobs: DataFrame, steps: DataFrame) -> DataFrame:
             ),
         }
     )
-    scratch = [c for c in df.columns if c[:2] in ("s_", "l_") or c in ("_slow", "_phantom")]
+    scratch = [c for c in df.columns if c[:2] in ("s_", "l_")]
     return df.drop(*scratch)
+
+
+def with_places(metrics: DataFrame, steps: DataFrame) -> DataFrame:
+    """Add the text that says where: node and task of the peak, of the slowest task, and
+    the raw clock.  Meant for the jobs of a report, where it costs one more pass over
+    their steps.  Places are those of the first step that has the value."""
+    work = ~F.coalesce(F.col("step_id").endswith(".extern"), F.lit(False))
+    rows = steps.join(metrics.select("alloc_id", F.col("max_rss").alias("_peak")), "alloc_id")
+    at_peak = F.col("max_rss") == F.col("_peak")
+    pos = F.col("pos")
+
+    def first(value, when: Column) -> Column:
+        return F.min_by(value, F.when(when, pos))
+
+    slow = work & (F.col("ntasks") > 1) & F.col("min_cpu").isNotNull()
+    places = rows.groupBy("alloc_id").agg(
+        first("max_rss_node", at_peak & (F.length("max_rss_node") > 0)).alias("max_rss_node"),
+        first("max_rss_task", at_peak & (F.length("max_rss_task") > 0)).alias("max_rss_task"),
+        first("min_cpu_node", slow).alias("slowest_node"),
+        first("min_cpu_task", slow).alias("slowest_task"),
+        first("ave_cpu_freq", work & (F.length("ave_cpu_freq") > 0)).alias("cpu_freq"),
+    )
+    return metrics.join(places, "alloc_id", "left")

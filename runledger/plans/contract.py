@@ -475,8 +475,8 @@ def live_merge(spark, sf_dir):
     )
     blank = {c: F.when(~going, F.col(c)) for c in ("max_rss", "ave_rss", "total_cpu", "system_cpu", "user_cpu")}
     steps = steps.withColumns({**blank, "state": F.when(going, "RUNNING")})
-    jobs, steps = refresh.merge_live(jobs, steps, tables.live_step_metrics(text_rows), reader="u10")
-    m = job_metrics(jobs, steps).filter(F.col("state") == "RUNNING")
+    live = tables.live_step_metrics(text_rows)
+    m = pipeline.job_metrics(jobs, steps, live_steps=live, reader="u10").filter(F.col("state") == "RUNNING")
     return m.select(big("job_id"), r6("total_cpu"), big("max_rss"), big("ave_rss"), "live_metrics", "foreign_owner")
 
 
@@ -510,9 +510,9 @@ def _log_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Jobs with a work directory, and a listing with logs for two of three jobs."""
     jobs = P.jobs(spark, sf_dir).withColumn("work_dir", F.concat(F.lit("/work/"), F.col("user")))
     n = text.id_primary("job_id")
-    jobs = jobs.withColumn("std_err", F.when(n % 6 == 1, F.lit("logs/%x-%10j.err")))
+    jobs = jobs.withColumn("std_err", F.when(n % 6 == 1, F.lit("logs/x-%10j.err")))
     named = F.when(n % 3 == 0, F.concat("work_dir", F.lit("/logs/slurm-"), "job_id", F.lit(".out"))).when(
-        n % 6 == 1, F.concat("work_dir", F.lit("/logs/"), "name", F.lit("-"), F.lpad("job_id", 10, "0"), F.lit(".err"))
+        n % 6 == 1, F.concat("work_dir", F.lit("/logs/x-"), F.lpad("job_id", 10, "0"), F.lit(".err"))
     ).when(n % 6 == 4, F.concat("work_dir", F.lit("/run_"), "job_id", F.lit("_x.log")))
     files = jobs.filter(named.isNotNull()).select(
         named.alias("path"), F.col("end").cast("timestamp").alias("mtime"), n.alias("size")

@@ -458,11 +458,11 @@ SELECT CAST(m.job_id AS BIGINT) AS job_id, SPLIT_PART(state, ' ', 1) AS state, C
 FROM m LEFT JOIN fj ON fj.job_id = m.job_id LEFT JOIN sj ON sj.job_id = m.job_id""",
         "log_name_match": "WITH " + _JOBS + """
 SELECT CAST(job_id AS BIGINT) AS job_id, CASE WHEN job_id % 3 = 0 THEN CONCAT('/work/', user_name, '/logs/slurm-', job_id, '.out')
-  WHEN job_id % 6 = 1 THEN CONCAT('/work/', user_name, '/logs/', name, '-', LPAD(CAST(job_id AS STRING), 10, '0'), '.err')
+  WHEN job_id % 6 = 1 THEN CONCAT('/work/', user_name, '/logs/x-', LPAD(CAST(job_id AS STRING), 10, '0'), '.err')
   ELSE CONCAT('/work/', user_name, '/run_', job_id, '_x.log') END AS path FROM acct_jobs WHERE job_id % 6 IN (0, 1, 3, 4)""",
         "time_window_match": """WITH i AS (SELECT o_orderkey AS iid, o_custkey % 10 AS g, 1704067200000 + (o_orderkey * 7919) % 2592000 * 1000 AS a,
   (60 + (o_orderkey * 31) % 7200) * 1000 AS len FROM orders),
-p AS (SELECT event_id AS pid, user_id % 10 AS g, EPOCH_MS(ts) AS t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS c FROM events)
+p AS (SELECT event_id AS pid, user_id % 10 AS g, EPOCH_US(ts) // 1000 AS t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS c FROM events)
 SELECT iid AS job_id, COUNT(*) AS candidates, ARG_MIN(pid, ROW(c, ABS(t - a - len), pid)) AS event_id, CAST(ARG_MIN(ABS(t - a - len), ROW(c, ABS(t - a - len), pid)) AS BIGINT) AS distance_ms
 FROM i JOIN p ON p.g = i.g AND t >= a - 60000 AND t <= a + len + 600000 GROUP BY 1""",
         "traceback_markers": "WITH " + _JOBS + """
@@ -470,7 +470,7 @@ SELECT CAST(job_id AS BIGINT) AS job_id, job_id % 3 <> 0 AS device_memory, job_i
   CASE WHEN job_id % 3 = 0 THEN CONCAT('[rank0]: Traceback (most recent call last):', CHR(10), '  ...', CHR(10), '    two', CHR(10), '    three', CHR(10), '    four', CHR(10), '[rank0]: ImportError: No module named m', job_id % 7) END AS traceback,
   CASE WHEN job_id % 3 = 0 THEN CONCAT('    one', CHR(10), '    two', CHR(10), '    three', CHR(10), '    four', CHR(10), '[rank0]: ImportError: No module named m', job_id % 7, CHR(10), 'end')
    ELSE CONCAT('b', CHR(10), 'c', CHR(10), 'CUDA out of memory ', job_id % 9, CHR(10), 'NCCL WARN ', job_id % 5, CHR(10), 'd', CHR(10), 'e') END AS excerpt FROM acct_jobs""",
-        "log_excerpts": """WITH l AS (SELECT doc_id, text, LIST_FILTER(LIST_TRANSFORM(STRING_SPLIT(text, CHR(10)), x -> REGEXP_REPLACE(x, '\\s+$', '')), x -> REGEXP_MATCHES(x, '\\S')) AS k FROM documents)
+        "log_excerpts": r"""WITH l AS (SELECT doc_id, text, [REGEXP_REPLACE(x, '\s+$', '') for x in STRING_SPLIT(text, CHR(10)) if REGEXP_MATCHES(x, '\S')] AS k FROM documents)
 SELECT doc_id, MD5(ARRAY_TO_STRING(LIST_SLICE(k, GREATEST(LEN(k) - 5, 1), LEN(k)), CHR(10))) AS excerpt_md5,
   REGEXP_MATCHES(LOWER(text), 'modulenotfounderror|importerror|no module named') AS import_error FROM l""",
     }

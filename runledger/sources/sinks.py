@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import patterns, reliability, sizing, workloads
+from ..functions import states, text
+from ..operators import patterns, reliability, rollup, sizing, workloads
 from ..operators.findings import severity_rank
 
 # Report sections: output name -> column of job_metrics.
@@ -104,6 +104,8 @@ def job_report(
 ) -> DataFrame:
     """One nested row per job: its figures by section, steps, earlier attempts, findings
     and log path.  ``metrics`` selects the jobs."""
+    if "max_rss_node" not in metrics.columns:
+        metrics = rollup.with_places(metrics, steps)
     nz = lambda c: F.when(c != 0, c)
     s = steps.withColumns(
         {
@@ -121,8 +123,6 @@ def job_report(
     if attempts is None:
         df = df.withColumn("earlier", F.array())
     else:
-        from ..functions import states
-
         fields = {
             "state": "state", "base_state": "_base", "exit_code": "exit_code", "submit": "submit",
             "start": "start", "end": "end", "elapsed_seconds": "elapsed", "node_list": "node_list",

@@ -86,12 +86,12 @@ def live_jobs(lines: DataFrame, column: str = "value") -> DataFrame:
 def live_step_metrics(rows: DataFrame) -> DataFrame:
     """Counters of running steps from their text columns (JobID, MaxRSS, MaxRSSNode,
     MaxRSSTask, AveRSS, MaxVMSize, MaxPages, AveCPU, NTasks); empty rows dropped."""
-    cpu = text.duration(text.clean("AveCPU"))
+    cpu = text.duration("AveCPU")
     measured = {
-        "max_rss": text.byte_size(text.clean("MaxRSS")),
-        "ave_rss": text.byte_size(text.clean("AveRSS")),
-        "max_vmsize": text.byte_size(text.clean("MaxVMSize")),
-        "max_pages": text.byte_size(text.clean("MaxPages")),
+        "max_rss": text.byte_size("MaxRSS"),
+        "ave_rss": text.byte_size("AveRSS"),
+        "max_vmsize": text.byte_size("MaxVMSize"),
+        "max_pages": text.byte_size("MaxPages"),
         # An overflowed counter is not a measurement.
         "ave_cpu": F.when(cpu.between(0, MAX_CPU_SECONDS), cpu),
     }
