@@ -14,7 +14,7 @@ MAX_EXPANSION = 65536
 
 def _range_or_literal(part: Column) -> Column:
     low = F.substring_index(part, "-", 1)
-    high = F.regexp_extract(part, r"^[^-]*-(.*)$", 1)
+    high = F.when(part.contains("-"), F.regexp_extract(part, r"^[^-]*-(.*)$", 1))
     first, last = digits_to_long(low), digits_to_long(high)
     width = F.length(low)
     numbers = F.transform(

@@ -27,8 +27,9 @@ CLOCK_CEILING_HZ = 6e9
 # Decimal text that always fits a double, so a match is always finite.  Expressions
 # below mention their input once per captured group: generated code stays small, which
 # matters when a hundred columns are parsed in one projection.
-_NUM = r"[+-]?(?:[0-9]{1,99}\.?[0-9]{0,99}|\.[0-9]{1,99})(?:[eE][+-]?[0-9]{1,2})?"
-_DURATION = rf"^\s*(?:([0-9]{{1,12}})-)?(?:(?:({_NUM}):)?({_NUM}):)?({_NUM})\s*$"
+_NUM = r"[+-]?(?:[0-9]{1,99}(?:\.[0-9]{0,99})?|\.[0-9]{1,99})(?:[eE][+-]?[0-9]{1,2})?"
+_PART = r"[0-9]{1,15}(?:\.[0-9]{0,15})?"
+_DURATION = rf"^\s*(?:([0-9]{{1,12}})-)?(?:(?:({_PART}):)?({_PART}):)?({_PART})\s*$"
 
 
 def as_col(value) -> Column:
@@ -53,6 +54,12 @@ def free_text(c) -> Column:
     return null_if_empty(F.trim(as_col(c)))
 
 
+def _given(c, value: Column) -> Column:
+    """Only look at text that is there: a failing cast of '' costs an exception per row,
+    and most cells of a dump are empty."""
+    return F.when(F.length(as_col(c)) > 0, value)
+
+
 def _group(c, pattern: str, index: int) -> Column:
     """A captured group; no match and an empty group are both ''."""
     return F.regexp_extract(as_col(c), pattern, index)
@@ -64,7 +71,7 @@ def _double(c, pattern: str, index: int) -> Column:
 
 @memo
 def to_double(c) -> Column:
-    return _double(c, rf"^\s*({_NUM})\s*$", 1)
+    return _given(c, _double(c, rf"^\s*({_NUM})\s*$", 1))
 
 
 @memo
@@ -74,15 +81,18 @@ def to_long(c) -> Column:
 
 
 def digits_to_long(c) -> Column:
-    return _group(c, "^[0-9]+$", 0).try_cast("bigint")
+    return _given(c, _group(c, "^[0-9]+$", 0).try_cast("bigint"))
 
 
 @memo
 def duration(c) -> Column:
     """``[D-]HH:MM:SS``, ``MM:SS[.mmm]`` or seconds, in seconds."""
-    zero = F.lit(0.0)
-    days, hours, minutes = (F.coalesce(_double(c, _DURATION, i), zero) for i in (1, 2, 3))
-    return days * 86400 + hours * 3600 + minutes * 60 + _double(c, _DURATION, 4)
+    # A leading zero makes an absent part 0 and leaves a present one as it is.
+    days, hours, minutes = (
+        F.concat(F.lit("0"), _group(c, _DURATION, i)).try_cast("double") for i in (1, 2, 3)
+    )
+    value = days * 86400 + hours * 3600 + minutes * 60 + _double(c, _DURATION, 4)
+    return _given(c, value)
 
 
 @memo
@@ -97,7 +107,7 @@ def _scaled(c, units: dict, bare: float, trailer: str = "") -> Column:
     table = {"": float(bare), **{k: float(v) for k, v in units.items()}}
     factor = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     suffix = F.lower(_group(c, pattern, 2))
-    return _double(c, pattern, 1) * F.try_element_at(factor, suffix)
+    return _given(c, _double(c, pattern, 1) * F.try_element_at(factor, suffix))
 
 
 @memo
@@ -124,7 +134,7 @@ def exit_part(c, index: int) -> Column:
     """``code:signal``: part 0 is the code, part 1 the signal."""
     number = r"\s*([+-]?[0-9]+)\s*"
     pattern = rf"^{number}(?::|$)" if index == 0 else rf"^[^:]*:{number}$"
-    return _group(c, pattern, 1).try_cast("int")
+    return _given(c, _group(c, pattern, 1).try_cast("int"))
 
 
 @memo
@@ -190,7 +200,8 @@ def id_primary(job_id) -> Column:
 def id_task(job_id) -> Column:
     plain = F.substring_index(as_col(job_id), "+", 1)
     return F.coalesce(
-        digits_to_long(F.regexp_extract(plain, r"^[^_]*_(.*)$", 1)), F.lit(-1).cast("long")
+        F.when(plain.contains("_"), digits_to_long(F.regexp_extract(plain, r"^[^_]*_(.*)$", 1))),
+        F.lit(-1).cast("long"),
     )
 
 
@@ -213,10 +224,15 @@ def _key(key: str) -> str:
     return r"(?:^|,)\s*" + key
 
 
+def _holding(c, key: str, value: Column) -> Column:
+    return F.when(F.contains(as_col(c), F.lit(key)), value)
+
+
 @memo
 def tres_int(c, key: str) -> Column:
     """First entry of ``key`` that starts with digits in ``cpu=6,gres/gpu=1,mem=80G``."""
-    return F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([0-9]+)", 1).try_cast("long")
+    found = F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([0-9]+)", 1).try_cast("long")
+    return _holding(c, key, found)
 
 
 @memo
@@ -231,12 +247,14 @@ def tres_typed_sum(c, key: str) -> Column:
 
 @memo
 def tres_double(c, key: str) -> Column:
-    return to_double(F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1))
+    found = F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1)
+    return _holding(c, key, to_double(found))
 
 
 @memo
 def tres_bytes(c, key: str, zero_is_missing: bool = False) -> Column:
-    value = byte_size(F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1))
+    found = F.regexp_extract(as_col(c), _key(key) + r"\s*=\s*([^,]*)", 1)
+    value = _holding(c, key, byte_size(found))
     return F.nullif(value, F.lit(0).cast("bigint")) if zero_is_missing else value
 
 

@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-JOBS = T._parse_datatype_string(
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def _struct(text: str) -> T.StructType:
+    pairs = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+JOBS = _struct(
     "alloc_id string, cluster string, job_id string, job_id_raw string, name string, user string,"
-    " uid string, `group` string, account string, partition string, qos string, assoc_id string,"
+    " uid string, group string, account string, partition string, qos string, assoc_id string,"
     " wckey string, state string, exit_code int, signal int, derived_exit_code int,"
     " derived_signal int, reason string, flags string, submit timestamp_ntz,"
-    " eligible timestamp_ntz, start timestamp_ntz, `end` timestamp_ntz, elapsed double,"
+    " eligible timestamp_ntz, start timestamp_ntz, end timestamp_ntz, elapsed double,"
     " timelimit double, queue_wait double, suspended double, req_mem_raw string,"
     " req_mem_bytes bigint, req_mem_scope string, req_cpus bigint, req_nodes bigint,"
     " req_tres string, req_gres string, alloc_gres string, constraints string,"
@@ -24,7 +35,7 @@ JOBS = T._parse_datatype_string(
     " live_metrics boolean, foreign_owner boolean, src_file string, src_pos bigint"
 )
 
-STEPS = T._parse_datatype_string(
+STEPS = _struct(
     "alloc_id string, cluster string, job_id string, submit timestamp_ntz, step_id string,"
     " name string, pos bigint, state string, exit_code int, signal int, elapsed double,"
     " total_cpu double, user_cpu double, system_cpu double, cpu_time double, ave_cpu double,"
