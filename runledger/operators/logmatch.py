@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logpath as lp
 from .common import cut
-from .intervals import count_in_window, greedy_match, nearest_in_window
+from .intervals import greedy_match, window_matches
 
 SLACK_BEFORE_MS = 60 * 1000
 SLACK_AFTER_MS = 600 * 1000
@@ -164,18 +164,10 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
 def by_time(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()) -> DataFrame:
     """Best file per job by closeness of its last write to the job's end."""
     intervals, points = time_sides(jobs.select(*_JOB), files, extra_dirs)
-    best = nearest_in_window(intervals, points)
+    best = window_matches(intervals, points)
     return best.select(F.col("iid").alias("alloc_id"), F.col("pid").alias("path"), "distance")
 
 
-def time_candidate_counts(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str]) -> DataFrame:
-    """How many logs of trusted directories fall into each job's window."""
-    intervals, points = time_sides(jobs.select(*_JOB), files, extra_dirs)
-    trusted = F.col("grp").endswith("|any")
-    counted = count_in_window(intervals.filter(trusted), points.filter(trusted))
-    return counted.select(F.col("iid").alias("alloc_id"), "candidates")
-
-
 def assign_logs(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()) -> DataFrame:
     """One log per job: name matches first, then a one-to-one assignment by time.
 

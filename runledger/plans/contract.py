@@ -546,9 +546,7 @@ def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query
 def time_window_match(spark, sf_dir):
     left, right = _windows(spark, sf_dir)
-    counts = intervals.count_in_window(left, right)
-    best = intervals.nearest_in_window(left, right)
-    return counts.join(best, "iid").select(
+    return intervals.window_matches(left, right).select(
         F.col("iid").alias("job_id"), "candidates", F.col("pid").alias("event_id"), F.col("distance").alias("distance_ms")
     )
 
