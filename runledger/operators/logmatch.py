@@ -141,18 +141,24 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
         F.when(F.col("size") == 0, 1).otherwise(0).alias("pclass"), lp.suffix_rank("name").alias("ptie"),
     ]
     tagged = logs.select(*point, F.explode(tags).alias("why"))
-    # A job name inside a file name: meet on the name's first three letters, then test.
+    # A job name inside a file name: every stretch of the file name that is as long as
+    # some job name of that directory meets the names by equality.  Rows grow with the
+    # length of file names, not with names times files.
     names = intervals.filter(F.col("why").startswith("name:")).select("dir", "mark").distinct()
-    names = names.withColumn("gram", F.substring("mark", 1, MIN_NAME))
-    grams = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("name") - (MIN_NAME - 1), F.lit(1))),
-            lambda i: F.substring(lowered, i, F.lit(MIN_NAME)),
+    lengths = names.groupBy("dir").agg(F.collect_set(F.length("mark")).alias("lengths"))
+    n = F.length("name")
+
+    def stretches(size: Column) -> Column:
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(
+            F.array().cast("array<int>")
         )
+        return F.transform(starts, lambda i: F.substring(lowered, i, size))
+
+    parts = F.array_distinct(F.flatten(F.transform("lengths", stretches)))
+    by_part = logs.join(lengths, "dir").select(*point, F.explode(parts).alias("mark"))
+    named = by_part.join(names, ["dir", "mark"]).select(
+        "pid", "dir", "t", "pclass", "ptie", F.concat(F.lit("name:"), F.col("mark")).alias("why")
     )
-    by_gram = logs.select(*point, lowered.alias("lowered"), F.explode(grams).alias("gram"))
-    named = by_gram.join(names, ["dir", "gram"]).filter(F.contains("lowered", "mark"))
-    named = named.select("pid", "dir", "t", "pclass", "ptie", F.concat(F.lit("name:"), F.col("mark")).alias("why"))
     points = tagged.unionByName(named)
     grp = F.concat_ws("|", "dir", "why").alias("grp")
     return (
