@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -39,12 +40,21 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, r
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if none is named."""
+    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
+
+    Only a session whose executors are threads of the driver (master ``local``) may do
+    without: it gets a temporary folder.  Any other session raises ``ValueError``, as each
+    executor would write to its own disk and later reads would miss the rows.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
