@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import langid, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"), limit=64 << 20)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    named = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(named, model)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_sharding,)}
+    return {q.__name__: q for q in (op1_sharding, op3_quality_rules, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
