@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding
+from . import langid, quality, sharding, tokencount, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +31,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(named, model)
 
 
+def vocabulary() -> unigram.Vocabulary:
+    return unigram.load_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.encode(docs, vocabulary(), ids=False).drop("text")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokencount.Automaton(tokencount.piece_vocabulary(vocabulary())))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_sharding, op3_quality_rules, op7_language_id)}
+    return {q.__name__: q for q in (
+        op1_sharding, op3_quality_rules, op7_language_id, op8_sentencepiece, op9_token_counts,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
