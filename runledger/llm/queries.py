@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding, tokencount, unigram
+from . import langid, quality, sharding, tokencount, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"), limit=64 << 20)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, docs.filter(~langid.held_out()), _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.withColumn("held_out", langid.held_out()), index)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_sharding, op3_quality_rules, op7_language_id, op8_sentencepiece, op9_token_counts,
+        op1_sharding, op2_toxicity, op3_quality_rules, op7_language_id, op8_sentencepiece, op9_token_counts,
     )}
 
 

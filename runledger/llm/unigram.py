@@ -26,6 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tries import ROOT, DoubleArray, double_array, flatten
 
@@ -218,7 +219,7 @@ def encode(
     schema = docs.select(*[F.col(f"`{c}`") for c in [*rest, text]]).schema
     schema = schema.add("n_pieces", "long").add("ids_crc32", "long").add("round_trip", "boolean")
     if ids:
-        schema = schema.add(column, "array<int>")
+        schema = schema.add(column, T.ArrayType(T.IntegerType()))
     names = schema.names
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, Segmenter(vocabulary)))
 

@@ -125,6 +125,17 @@ def words(piece: Piece, word_bytes: np.ndarray, lower: bool) -> Words:
     return Words(starts, np.flatnonzero(last) + 1, hashes, np.searchsorted(starts, piece.bounds))
 
 
+def prefix_hashes(piece: Piece, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` lower-cased bytes from each start; other than the hash of any word."""
+    total = np.full(len(starts), size, np.uint64)
+    power = np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            total += _BYTE_VALUES[_LOWER[piece.data[starts + k]]] * power
+            power *= _BASE
+    return mix(total ^ _SPREAD[15])
+
+
 def line_hashes(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines split at \\n: start bytes, hashes of all their bytes, and the text each belongs to."""
     n = len(piece.data)
