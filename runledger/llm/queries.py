@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, sharding, tokencount, toxicity, unigram
+from . import jaccard, langid, quality, sharding, tokencount, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,9 +51,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs, tokencount.Automaton(tokencount.piece_vocabulary(vocabulary())))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_sharding, op2_toxicity, op3_quality_rules, op7_language_id, op8_sentencepiece, op9_token_counts,
+        op10_jaccard_join,
     )}
 
 
