@@ -14,9 +14,12 @@ sets are one class; classes link when 100 * intersection >= ``PERCENT`` * union.
    (suffix filter: shingles counted per hash range), then by the exact intersection.
 
 A group of sets with the same prefix shingle is not expanded into all its pairs.  First
-every member is compared with the group's smallest set only.  Components of the links found
-so far are taken; then only members of different components are paired, and the graph is
-exact after that: a pair inside one component adds nothing to it.
+every member is compared with one hub of its group only.  Components of the links found so
+far are taken, and groups within one component are settled.  In the others, members get
+random colours and only pairs of one colour and different components are formed; every
+round has a quarter of the colours, and components grow in between.  The last round has one
+colour: all pairs that are still across components.  The components are exact after it, as
+a pair inside one component adds nothing.
 
 Shingles and sets are told apart by 64-bit hashes (a false equality has a probability of
 about 2**-60 per pair compared).  Null texts, empty texts and texts without words have an
@@ -45,6 +48,8 @@ FREQUENT = 100_000
 #: Bits of the fixed-size filter that keeps uninvolved texts out of the shuffle.
 FILTER_BITS = 1 << 23
 SUFFIX_RANGES = 16
+#: A round looks at about so many pairs per row.
+PAIRS_PER_ROW = 8
 
 
 def _ceil_div(a, b):
@@ -176,18 +181,23 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _sets(nodes: pa.Array, texts: pa.Array, size: int) -> dict[int, np.ndarray]:
+    """Sorted shingles of each distinct node."""
+    ids, rows = np.unique(nodes.to_numpy(), return_index=True)
+    found: list[np.ndarray] = []
+    for piece in H.pieces(texts.take(pa.array(rows))):
+        owner, hashes = H.distinct_shingles(piece, size)
+        found.extend(np.split(hashes, np.searchsorted(owner, np.arange(1, len(piece)))))
+    return dict(zip(ids.tolist(), found, strict=True))
+
+
 def _overlaps(batch: pa.RecordBatch, size: int, percent: int) -> np.ndarray:
-    """Which pairs of texts (columns 2 and 3) are similar."""
+    """Which pairs (x, y, text of x, text of y) are similar."""
     out = np.zeros(batch.num_rows, bool)
-    left = {}
-    for column in (2, 3):
-        sets: list[np.ndarray] = []
-        for piece in H.pieces(batch.column(column)):
-            owner, hashes = H.distinct_shingles(piece, size)
-            sets.extend(np.split(hashes, np.searchsorted(owner, np.arange(1, len(piece)))))
-        left[column] = sets
+    xs, ys = (_sets(batch.column(c), batch.column(c + 2), size) for c in (0, 1))
     shift = np.uint64(64 - SUFFIX_RANGES.bit_length() + 1)
-    for i, (x, y) in enumerate(zip(left[2], left[3], strict=True)):
+    for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        x, y = xs[a], ys[b]
         need = overlap_needed(len(x), len(y), percent)
         if min(len(x), len(y)) < max(1, need):
             continue
@@ -239,6 +249,26 @@ def verified(
     return cut(joined.mapInArrow(check, "x long, y long"))
 
 
+def _pairs_ahead(rows: DataFrame):
+    """How many pairs across components the groups still hold, and how many rows, without forming any."""
+    parts = rows.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k"))
+    groups = parts.groupBy("shingle").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    return groups.agg(F.sum(F.expr("(s * s - q) div 2")).alias("n"), F.sum("s").alias("rows")).first()
+
+
+def _across(rows: DataFrame, percent: int, colours: int, turn: int) -> DataFrame:
+    """Pairs of members of different components that the filters leave possible; with several
+    colours only those of one colour, which ``turn`` deals anew to all nodes."""
+    colour = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(colours))
+    rows = rows.withColumn("colour", colour) if colours > 1 else rows.withColumn("colour", F.lit(0))
+    small = rows.filter(F.col("meta").bitwiseAND(1) == 1).select(
+        "shingle", "colour", F.col("node").alias("n1"), F.col("meta").alias("mx"), F.col("c").alias("c1")
+    )
+    large = rows.select("shingle", "colour", F.col("node").alias("n2"), F.col("meta").alias("my"), F.col("c").alias("c2"))
+    met = small.join(large, ["shingle", "colour"]).filter("c1 != c2").filter(_possible(percent))
+    return met.select(F.least("n1", "n2").alias("x"), F.greatest("n1", "n2").alias("y")).distinct()
+
+
 def similar(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT,
     frequent: int = FREQUENT,
@@ -269,24 +299,34 @@ def similar(
     links = verified(tried, classes, keyed, key, text, size, percent)
     found = components(links, "x", "y")
 
-    # Members that share their hub's component are settled with it.  A pair that is not yet settled
-    # has a member of another component than its hub's; such groups are paired across components.
+    # Groups whose members all share their hub's component are settled.
     label = found.select("node", F.col("component").alias("c"))
     hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("ch"))
     labelled = members.join(label, "node", "left").join(hubs, "hub", "left").select(
         "shingle", "node", "meta", F.coalesce("c", "node").alias("c"), F.coalesce("ch", "hub").alias("ch")
     )
-    open_groups = labelled.filter("c != ch").select("shingle").distinct()
-    labelled = cut(labelled.join(open_groups, "shingle", "left_semi").select("shingle", "node", "meta", "c"))
-    small = labelled.filter(F.col("meta").bitwiseAND(1) == 1).select("shingle", F.col("node").alias("x"), F.col("meta").alias("mx"), F.col("c").alias("cx"))
-    large = labelled.select("shingle", F.col("node").alias("y"), F.col("meta").alias("my"), F.col("c").alias("cy"))
-    across = (
-        small.join(large, "shingle").filter("cx != cy").filter(_possible(percent))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        .join(tried, ["x", "y"], "left_anti")
-    )
-    links = links.unionByName(verified(cut(across), classes, keyed, key, text, size, percent))
-    found = components(links, "x", "y")
+    unsettled = labelled.filter("c != ch").select("shingle").distinct()
+    open_rows = cut(labelled.join(unsettled, "shingle", "left_semi").select("shingle", "node", "meta", "c"))
+    colours, turn = None, 0
+    while True:
+        ahead = _pairs_ahead(open_rows)
+        if not ahead["n"]:
+            break
+        wanted = -(-ahead["n"] // (PAIRS_PER_ROW * ahead["rows"]))
+        colours = wanted if colours is None else min(wanted, colours // 4)
+        last = colours <= 1
+        turn += 1
+        new = _across(open_rows, percent, max(1, colours), turn)
+        new = cut(new.join(tried, ["x", "y"], "left_anti"))
+        links = links.unionByName(verified(new, classes, keyed, key, text, size, percent))
+        found = components(links, "x", "y")
+        if last:
+            break
+        tried = tried.unionByName(new)
+        label = found.select("node", F.col("component").alias("c"))
+        fresh = open_rows.drop("c").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        unsettled = fresh.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b")
+        open_rows = cut(fresh.join(unsettled.select("shingle"), "shingle", "left_semi").select("shingle", "node", "meta", "c"))
 
     whole = classes.join(found, "node", "left").select("node", "_id", F.coalesce("component", "node").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("_id").alias("component_id"))
