@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, langid, quality, sharding, tokencount, toxicity, unigram
+from ..operators.common import checkpoint_dir
+from . import binaryids, decontamination, jaccard, langid, quality, sharding, tokencount, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents")
+    binaryids.write_ids(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return binaryids.read_ids(spark, folder, ids=False)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
@@ -65,7 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_sharding, op2_toxicity, op3_quality_rules, op5_decontamination, op7_language_id, op8_sentencepiece, op9_token_counts,
+        op1_sharding, op2_toxicity, op3_quality_rules, op4_token_ids, op5_decontamination, op7_language_id, op8_sentencepiece, op9_token_counts,
         op10_jaccard_join,
     )}
 
