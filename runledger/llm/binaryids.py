@@ -24,7 +24,6 @@ with a null key.  An empty table gives no files and no rows.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -44,11 +43,9 @@ HEADER = "<4sIQQQQ"
 #: Rows of one file: text bytes as read, about.
 FILE_BYTES = 32 << 20
 #: Distinct pieces of text remembered per task.
-CACHE = 400_000
+CACHE = 700_000
 PIECE_CHARS = 1_000_000
 
-#: White space other than single spaces and single line ends between visible characters.
-_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
@@ -77,9 +74,10 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 class Encoder:
     """The tokenizers library with a memory of pieces of text; one per task.
 
-    A text is cut before spaces between visible characters and around single line ends, where
-    the tokenizer's own pattern always cuts, so the pieces' ids are those of the whole text.
-    Any other white space, or the name of a special token, sends the whole text to the library."""
+    A text is cut before each space that stands between visible characters, where the
+    tokenizer's own pattern always cuts, so the pieces' ids are those of the whole text.  Any
+    other white space than that and single line ends, or the name of a special token, sends
+    the whole text to the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,29 +85,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Special tokens that a cut at spaces would break.
+        self.spaced = [s for s in self.special if " " in s]
         self.feed = self._whole(["\n"])[0]
-        #: Ids of words at the start of a line, and of words after a space (with that space).
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        #: Ids of words at the start of a text, and of words after a space (with that space).
+        self.first: dict[str, bytes | bool] = {}
+        self.after: dict[str, bytes | bool] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Encode new words in one call, one to a line; the line ends part their ids again."""
-        if not words:
-            return
-        fresh = list(words)
-        pieces = [lead + w for w in fresh]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        feed = np.frombuffer(self.feed, "<u4")
-        cuts = np.flatnonzero(ids == feed[0])
-        if len(feed) != 1 or len(cuts) != len(fresh) - 1:
-            known.update(zip(fresh, self._whole(pieces), strict=True))
-            return
-        raw, starts, ends = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
-        known.update((w, raw[a:b]) for w, a, b in zip(fresh, starts.tolist(), ends.tolist(), strict=True))
+    def _learn(self, known: dict[str, bytes | bool], words: set[str], lead: str) -> None:
+        """Encode new words.  Those without line ends go in one call, one to a line; the line ends
+        part their ids again.  A word that cannot stand for itself is marked False."""
+        plain, lined = [], []
+        for w in words:
+            if not all(p.split() == [p] for p in w.split("\n")) or any(s in w for s in self.special):
+                known[w] = False
+            elif "\n" in w:
+                lined.append(w)
+            else:
+                plain.append(w)
+        if plain:
+            pieces = [lead + w for w in plain]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            feed = np.frombuffer(self.feed, "<u4")
+            cuts = np.flatnonzero(ids == feed[0])
+            if len(feed) == 1 and len(cuts) == len(plain) - 1:
+                raw, starts, ends = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
+                known.update((w, raw[a:b]) for w, a, b in zip(plain, starts.tolist(), ends.tolist(), strict=True))
+            else:
+                lined += plain
+        known.update(zip(lined, self._whole([lead + w for w in lined]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
@@ -117,26 +125,18 @@ class Encoder:
             self.first.clear()
             self.after.clear()
         first, after = self.first.get, self.after.get
-        split: list[list[list[str]] | None] = []
-        new_first: set[str] = set()
-        new_after: set[str] = set()
-        for t in texts:
-            if not t or _ODD.search(t) or any(s in t for s in self.special):
-                split.append(None)
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            split.append(lines)
-            new_first.update([w[0] for w in lines if first(w[0]) is None])
-            for words in lines:
-                new_after.update([w for w in words[1:] if after(w) is None])
-        self._learn(self.first, new_first, "")
-        self._learn(self.after, new_after, " ")
-        whole = iter(self._whole([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        first, after = self.first.__getitem__, self.after.__getitem__
-        return [
-            next(whole) if lines is None else self.feed.join([first(w[0]) + b"".join(map(after, w[1:])) for w in lines])
-            for lines in split
-        ]
+        split = [t.split(" ") for t in texts]
+        found = [[first(words[0]), *map(after, words[1:])] for words in split]
+        unknown = [i for i, ids in enumerate(found) if None in ids]
+        if unknown:
+            self._learn(self.first, {split[i][0] for i in unknown if found[i][0] is None}, "")
+            self._learn(self.after, {w for i in unknown for w in split[i][1:] if after(w) is None}, " ")
+            for i in unknown:
+                found[i] = [first(split[i][0]), *map(after, split[i][1:])]
+        whole = [i for i, ids in enumerate(found) if False in ids or any(s in texts[i] for s in self.spaced)]
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            found[i] = [ids]
+        return [b"".join(ids) for ids in found]
 
 
 def _grouped(texts: pa.Array) -> Iterator[list[str]]:
