@@ -111,6 +111,11 @@ def _table(counts: pd.DataFrame, languages: list[str], totals: pd.Series) -> tup
     return list(wide.index), np.log((wide.to_numpy(dtype="float64") + 0.5) / (sums + 0.5 * (len(wide) + 1)))
 
 
+def _grams(size: int) -> Column:
+    places = F.sequence(F.lit(1), F.length("_marked") - (size - 1))
+    return F.transform(places, lambda i: F.substring(F.col("_marked"), i, F.lit(size)))
+
+
 def train(
     docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
     max_docs: int = MAX_DOCS, max_entries: int = MAX_ENTRIES,
@@ -128,11 +133,9 @@ def train(
     for size in (0, *GRAMS):
         counts = words
         if size:
-            places = F.sequence(F.lit(1), F.length("_marked") - (size - 1))
-            grams = F.transform(places, lambda i, size=size: F.substring(F.col("_marked"), i, F.lit(size)))
             counts = (
                 words.withColumn("_marked", marked).filter(F.length("_marked") >= size)
-                .select("_lang", F.explode(grams).alias("gram"), "n")
+                .select("_lang", F.explode(_grams(size)).alias("gram"), "n")
                 .groupBy("_lang", "gram").agg(F.sum("n").alias("n"))
             )
         totals = counts.groupBy("_lang").agg(F.sum("n").alias("n")).toPandas().set_index("_lang")["n"]
