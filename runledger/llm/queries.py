@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import checkpoint_dir
-from . import binaryids, decontamination, jaccard, langid, quality, sharding, tokencount, toxicity, unigram
+from . import binaryids, decontamination, jaccard, langid, pii, quality, sharding, tokencount, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, decontamination.contaminated().alias("contaminated"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.written(F.col("spans")).alias("spans"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -74,7 +83,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_sharding, op2_toxicity, op3_quality_rules, op4_token_ids, op5_decontamination, op7_language_id, op8_sentencepiece, op9_token_counts,
+        op1_sharding, op2_toxicity, op3_quality_rules, op4_token_ids, op5_decontamination, op6_pii, op7_language_id, op8_sentencepiece, op9_token_counts,
         op10_jaccard_join,
     )}
 
