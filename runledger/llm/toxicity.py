@@ -1,8 +1,8 @@
 """Toxicity by votes of the nearest labelled examples.
 
 Terms are lower-cased words and the first bytes of longer words (stems under inflection);
-a term is known by its 64-bit hash.  The ``MAX_TERMS`` terms most associated with the label
-(chi-square on the examples) make up the vector space; document frequencies are counted over
+a term is known by its 64-bit hash.  The terms significantly associated with the label
+(chi-square on the examples, the ``MAX_TERMS`` strongest) make up the vector space; document frequencies are counted over
 all documents.  Examples are indexed by term in blocks of neighbours; each (term, block)
 has its highest weight.  A text's cosine with a whole block is bounded by those maxima, so
 only blocks that can hold one of the ``NEIGHBOURS`` nearest examples are read, and the
@@ -36,6 +36,8 @@ from . import wordhash as H
 MAX_EXAMPLES = 5_000
 MAX_TERMS = 2_048
 MIN_EXAMPLES_WITH_TERM = 5
+#: Least chi-square of a term: significant at 1e-8, so that hardly any of millions of terms gets in by chance.
+MIN_ASSOCIATION = 32.84
 NEIGHBOURS = 16
 BLOCK = 64
 SOFTNESS = 0.1
@@ -202,7 +204,7 @@ def _candidate_terms(sample: DataFrame, limit: int) -> np.ndarray:
     chi = n * F.pow(a * (n - bad - m + a) - (m - a) * (bad - a), 2) / (m * (n - m) * bad * (n - bad))
     top = (
         counts.groupBy("term").agg(F.sum("bad").cast("double").alias("bad"), F.sum("n").cast("double").alias("n"))
-        .filter((F.col("n") >= MIN_EXAMPLES_WITH_TERM) & (F.col("n") < n))
+        .filter((F.col("n") >= MIN_EXAMPLES_WITH_TERM) & (F.col("n") < n) & (chi >= MIN_ASSOCIATION))
         .orderBy(F.desc(chi), "term").limit(limit).select("term").toPandas()
     )
     return np.sort(top["term"].to_numpy(np.int64).view(np.uint64))
