@@ -11,7 +11,7 @@ One file holds consecutive documents in ascending order of their key::
     magic "RLT1", n_docs u32, n_tokens u64, n_controls u64, n_data u64, ids before it u64
     keys  i64 x n_docs, null flags u8 x n_docs, counts u32 x n_docs, control bytes, data bytes
 
-and ``ranks.bin`` holds the ids by rank, as u32.  Each file is written under a name of its
+and ``ranks.bin`` holds the magic and the ids by rank, as u32.  Each file is written under a name of its
 own and then renamed, so that a repeated task leaves one whole file.
 
 Documents are range-partitioned by key and row number, so a key with many rows is dealt over
@@ -224,7 +224,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id",
     ranking = _ranking(encoded, width)
     rank_of = np.zeros(int(ranking.max(initial=0)) + 1, np.uint32)
     rank_of[ranking] = np.arange(len(ranking))
-    _put(folder, "ranks.bin", ranking.astype("<u4").tobytes())
+    _put(folder, "ranks.bin", MAGIC + ranking.astype("<u4").tobytes())
     # One number per part of about FILE_BYTES of text.
     ends = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.max(F.col("before") + F.octet_length("ids") / int(width[2])).cast("long").alias("n")).collect()}
     bases, total = {}, 0
@@ -260,7 +260,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id",
 def read_ids(spark: SparkSession, folder: str, ids: bool = True, column: str = "doc_id") -> DataFrame:
     """Every document of the files: key, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked for, its ids."""
     table = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()
-    ranking = np.frombuffer(bytes(table[0]), "<u4")
+    ranking = np.frombuffer(bytes(table[0]), "<u4", offset=len(MAGIC))
     shared = spark.sparkContext.broadcast(ranking)
     schema = f"`{column}` long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if ids else "")
 
