@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .memo import memo
 from .text import as_col, digits_to_long
 
-# Fixed value: a host list names at most this many hosts.
-MAX_EXPANSION = 65536
+# A wider range names no hosts of one machine: it is kept as written, like a falling one.
+WIDEST_RANGE = 10_000_000
 
 
 def _range_or_literal(part: Column) -> Column:
@@ -18,12 +18,12 @@ def _range_or_literal(part: Column) -> Column:
     first, last = digits_to_long(low), digits_to_long(high)
     width = F.length(low)
     numbers = F.transform(
-        F.sequence(first, F.least(last, first + (MAX_EXPANSION - 1))),
+        F.sequence(first, last),
         lambda v: F.lpad(
             v.cast("string"), F.greatest(width, F.length(v.cast("string"))), F.lit("0")
         ),
     )
-    return F.when(first <= last, numbers).otherwise(F.array(part))
+    return F.when((first <= last) & (last - first < WIDEST_RANGE), numbers).otherwise(F.array(part))
 
 
 def _choices(token: Column) -> Column:
@@ -36,26 +36,19 @@ def _choices(token: Column) -> Column:
 def _expand_one(chunk: Column) -> Column:
     tokens = F.regexp_extract_all(chunk, F.lit(r"(\[[^\[\]]+\]|[^\[\]]+|[\[\]])"), F.lit(1))
 
-    def extend(acc: Column, token: Column) -> Column:
-        tails = F.slice(_choices(token), 1, MAX_EXPANSION)
-        # Heads beyond the limit cannot reach the output: drop them before the
-        # product is built, so no intermediate array exceeds twice the limit.
-        needed = F.ceil(F.lit(MAX_EXPANSION) / F.greatest(F.size(tails), F.lit(1))).cast("int")
-        heads = F.slice(acc, F.lit(1), needed)
-        product = F.flatten(
-            F.transform(heads, lambda h: F.transform(tails, lambda t: F.concat(h, t)))
-        )
-        return F.slice(product, 1, MAX_EXPANSION)
+    def extend(heads: Column, token: Column) -> Column:
+        tails = _choices(token)
+        return F.flatten(F.transform(heads, lambda h: F.transform(tails, lambda t: F.concat(h, t))))
 
     return F.aggregate(tokens, F.array(F.lit("")), extend)
 
 
 @memo
 def expand_hosts(node_list) -> Column:
-    """Array of host names; NULL and "None ..." give an empty array."""
+    """Array of all host names; NULL and "None ..." give an empty array."""
     c = as_col(node_list)
     chunks = F.filter(F.split(c, r",(?![^\[]*\])"), lambda p: F.length(p) > 0)
-    expanded = F.slice(F.flatten(F.transform(chunks, _expand_one)), 1, MAX_EXPANSION)
+    expanded = F.flatten(F.transform(chunks, _expand_one))
     # The common list is one plain name: skip the token machinery for it.
     return (
         F.when(c.isNull() | c.startswith("None") | (F.length(c) == 0), F.array().cast("array<string>"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import states
@@ -49,16 +51,45 @@ def refresh(listing: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFram
     return kept.unionByName(added.select(*kept.columns))
 
 
-def write_store(store: DataFrame, path: str) -> None:
-    """Partitioned by end date, replacing only the partitions present in ``store``."""
+_CURRENT = "CURRENT"
+#: A day is dealt over so many files at most.
+_FILES_PER_DAY = 32
+
+
+def _pointer(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{_CURRENT}")
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_store(store: DataFrame, path: str) -> str:
+    """Write the store's whole new content as a version of its own, then make it the current one.
+
+    ``store`` may be computed from ``read_store(path)``: what is read is never overwritten,
+    a reader sees the old version or the new one, and a day that lost all its records is
+    gone.  Within a version records are partitioned by end date; a salt of the job id
+    spreads a busy day over several tasks.  Returns the version's folder."""
+    spark, version = store.sparkSession, f"version={uuid.uuid4().hex}"
     (
         store.withColumn("end_date", F.to_date("end"))
-        .repartition("end_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("end_date")
-        .parquet(path)
+        .repartition("end_date", F.pmod(F.xxhash64("job_id"), F.lit(_FILES_PER_DAY)))
+        .write.partitionBy("end_date")
+        .parquet(f"{path.rstrip('/')}/{version}")
     )
+    where, fs = _pointer(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    return version
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current version of the store, or None before the first write."""
+    where, fs = _pointer(spark, path)
+    if not fs.exists(where):
+        return None
+    version = spark.read.text(where.toString()).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/{version}").drop("end_date")
 
 
 def reconcile_live(jobs: DataFrame, live: DataFrame | None) -> DataFrame:

@@ -141,7 +141,8 @@ def workload_order(mode: str = "cost") -> list[Column]:
         "cost": [cost, runs],
         "failures": [-F.col("problems"), cost],
         "rate": [-F.coalesce("failure_rate", F.lit(0.0)), runs],
-        "recent": [-F.unix_micros(F.col("last_seen").cast("timestamp")), F.col("workload_name")],
+        # No stamp at all comes last.
+        "recent": [F.col("last_seen").isNull(), -F.unix_micros(F.col("last_seen").cast("timestamp")), F.col("workload_name")],
         "runs": [runs, F.col("workload_name")],
         "name": [F.lower("workload_name"), F.col("workload_partition")],
     }
@@ -149,11 +150,7 @@ def workload_order(mode: str = "cost") -> list[Column]:
 
 
 def sort_workloads(df: DataFrame, mode: str = "cost") -> DataFrame:
-    # No stamp at all sorts last in "recent": order by presence first.
-    order = workload_order(mode)
-    if mode == "recent":
-        return df.orderBy(F.col("last_seen").isNull(), *order)
-    return df.orderBy(*order)
+    return df.orderBy(*workload_order(mode))
 
 
 def tail_share(df: DataFrame, shown: int, mode: str = "cost") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import pipeline
@@ -30,7 +29,7 @@ def start_ingest(
         .option("wholetext", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
-        .select(F.col("_metadata.file_path").alias("src_file"), "value")
+        .select(*dumps.file_columns(), "value")
     )
 
     def write(batch: DataFrame, number: int) -> None:

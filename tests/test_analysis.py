@@ -204,3 +204,13 @@ def test_job_report(make_jobs, make_steps, spark, tmp_path):
     sinks.write_json(report, str(tmp_path / "j"))
     assert '"peak_bytes":null' in spark.read.text(str(tmp_path / "j")).first().value
     assert sum(len(v) for v in sinks.SECTIONS.values()) + 1 >= 95 and len(sinks.STEP_FIELDS) == 40
+
+
+def test_workloads_without_a_stamp_are_the_tail_of_recent(spark):
+    rows = [("a", None, 5.0), ("b", "2026-01-02 00:00:00", 1.0), ("c", "2026-01-01 00:00:00", 1.0)]
+    df = spark.createDataFrame(rows, "workload_name string, last_seen string, cost double").withColumns(
+        {"last_seen": F.col("last_seen").cast("timestamp_ntz"), **{k: F.lit("x") for k in workloads.KEY if k != "workload_name"}, "runs": F.lit(1), "failed": F.lit(0), "problems": F.lit(0)}
+    )
+    assert [r.workload_name for r in workloads.sort_workloads(df, "recent").collect()] == ["b", "c", "a"]
+    marked = workloads.mark_top(df, workloads.workload_order("recent"), 2)
+    assert {r.workload_name for r in marked.filter("shown").collect()} == {"b", "c"}

@@ -79,8 +79,9 @@ HOSTS = {
 def test_expand_hosts(values):
     assert values(list(HOSTS), hostlist.expand_hosts("c")) == list(HOSTS.values())
     assert values([None], hostlist.expand_hosts("c")) == [[]]
-    sizes = values(["n[1-999999999]", "a[1-70000]b[1-70000]", "a[1-300]b[1-300]"], F.size(hostlist.expand_hosts("c")))
-    assert sizes == [65536, 65536, 65536]
+    sizes = values(["n[1-100000]", "a[1-300]b[1-300]", "x,n[1-70000],m[1-70000]"], F.size(hostlist.expand_hosts("c")))
+    assert sizes == [100_000, 90_000, 140_001]
+    assert values(["n[1-999999999]"], hostlist.expand_hosts("c")) == [["n1-999999999"]]
 
 
 def test_compress_hosts(spark):

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import record
 from pyspark.sql import functions as F
@@ -96,6 +98,24 @@ def test_later_dump_replaces_earlier(spark, dump_dir):
     assert sorted(r.total_cpu for r in t.steps.collect()) == [9.0, 9.0]
 
 
+def test_the_file_written_later_wins_whatever_its_name(spark, dump_dir):
+    folder = dump_dir({"dump-9.txt": job("1", State="RUNNING", End="Unknown"), "dump-10.txt": job("1")})
+    os.utime(f"{folder}/dump-9.txt", (1_000_000, 1_000_000))
+    assert [r.state for r in pipeline.normalize(spark, folder).jobs.collect()] == ["COMPLETED"]
+
+
+def test_two_clusters_share_an_id_and_a_submit_stamp(spark, dump_dir):
+    lines = [
+        job("1", Cluster="a", User="ann"), record(JobID="1.0", TotalCPU="1", Cluster="a"), job("1", Cluster="b", User="bob"),
+        record(JobID="1.0", TotalCPU="9", Cluster="b"), record(JobID="1.1", TotalCPU="9", Cluster="a"),
+    ]
+    t = pipeline.normalize(spark, dump_dir({"d.txt": "\n".join(lines)}))
+    found = {r.cluster: r.alloc_id for df in (t.jobs, t.others) for r in df.collect()}
+    assert set(found) == {"a", "b"} and len(set(found.values())) == 2
+    steps = sorted((r.alloc_id, r.step_id, r.total_cpu) for r in t.steps.collect())
+    assert steps == sorted([(found["a"], "1.0", 1.0), (found["a"], "1.1", 9.0), (found["b"], "1.0", 9.0)])
+
+
 def test_schema_resolution():
     assert dumps.resolve_fields() == dumps.FIELDS
     some = dumps.resolve_fields({"jobid", "planned", "state"})
@@ -182,6 +202,13 @@ def test_refresh(spark, make_jobs, tmp_path):
     fresh = make_jobs([{"id": 2, "state": "FAILED", "end": "2026-01-03 00:00:00"}, {"id": 3, "state": "RUNNING", "open_ended": True}, {"id": 4, "end": "2026-01-03 00:00:00"}])
     store = refresh.refresh(listing, stored, fresh)
     assert sorted((r.job_id, r.state) for r in store.collect()) == [("1", "COMPLETED"), ("2", "FAILED"), ("4", "COMPLETED"), ("9", "COMPLETED")]
-    refresh.write_store(store, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).filter("end_date = '2026-01-03'").count() == 2
+    path = str(tmp_path / "s")
+    assert refresh.read_store(spark, path) is None
+    refresh.write_store(store, path)
+    assert refresh.read_store(spark, path).filter("to_date(end) = '2026-01-03'").count() == 2
+    # A moved end: the emptied day is gone, and the store is read and written in one plan.
+    moved = refresh.read_store(spark, path).withColumn("end", F.when(F.col("job_id") == "1", F.expr("end + interval 1 day")).otherwise(F.col("end")))
+    refresh.write_store(moved, path)
+    again = {r.job_id: str(r.end) for r in refresh.read_store(spark, path).collect()}
+    assert again == {"1": "2026-01-02 00:00:00", "2": "2026-01-03 00:00:00", "4": "2026-01-03 00:00:00", "9": "2026-01-02 00:00:00"}
     assert prints.count() == 4
