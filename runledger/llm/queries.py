@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import checkpoint_dir
-from . import binaryids, decontamination, jaccard, langid, pii, quality, sharding, tokencount, toxicity, unigram
+from . import binaryids, decontamination, jaccard, langid, oracles, pii, quality, sharding, tokencount, toxicity, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    found = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("broken_rules", F.array_join("broken_rules", ","))
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,29 +89,5 @@ def queries() -> dict[str, Query]:
     )}
 
 
-_OP5_SQL = r"""
-with d as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
-b as (
-  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
-sized as (select item_id, w, least(13, len(w)) l from b where len(w) > 0),
-win as (select distinct item_id, l, array_to_string(w[i:i + l - 1], ' ') g
-  from (select item_id, w, l, unnest(range(1, len(w) - l + 2)) i from sized)),
-lengths as (select distinct l from win),
-grams as (select doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') g
-  from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) i from d, lengths where len(w) >= l)),
-hit as (select doc_id, item_id, i, grams.l from grams join win using (g) where grams.l = win.l),
-words as (select distinct doc_id, unnest(range(i, i + l)) p from hit),
-n as (select doc_id, count(*) n_hit from words group by doc_id),
-items as (select doc_id, count(*) n_items, string_agg(k, ',' order by k) s
-  from (select distinct doc_id, cast(item_id as varchar) k from hit) group by doc_id)
-select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
-  sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) contaminated
-from d left join n using (doc_id) left join items using (doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": _OP5_SQL}
+    return dict(oracles.SQL)
