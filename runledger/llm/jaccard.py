@@ -10,8 +10,11 @@ sets are one class; classes link when 100 * intersection >= ``PERCENT`` * union.
    joined, on the shingle, so no set meets all others.
 3. A pair is a candidate only if sizes (length filter) and the places of the shared shingle
    (positional filter) still allow the overlap that it needs.
-4. Each candidate pair is verified once: from both texts, first by a bound on the suffixes
-   (suffix filter: shingles counted per hash range), then by the exact intersection.
+4. Each candidate pair is bounded by its shingles counted per range of hashes (suffix
+   filter), and then verified once by the exact intersection from both texts.
+
+The prefixes are read twice: first to find the shingles that two sets share, then, behind a
+filter of those (at most 16 MB; it lets others through as it fills, but loses none), to join.
 
 A group of sets with the same prefix shingle is not expanded into all its pairs.  First
 every member is compared with one hub of its group only.  Components of the links found so
@@ -36,18 +39,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.common import cut
 from . import wordhash as H
+from .bitmaps import bitmap, bits_for, maybe
 from .components import components
 
 SIZE = 5
 PERCENT = 75
 #: So many of the most frequent shingles are ordered last; a bound on what is broadcast, not on results.
 FREQUENT = 100_000
-#: Bits of the fixed-size filter that keeps uninvolved texts out of the shuffle.
-FILTER_BITS = 1 << 23
-SUFFIX_RANGES = 16
+RANGE_BITS = 6
+RANGES = 1 << RANGE_BITS
 #: A round looks at about so many pairs per row.
 PAIRS_PER_ROW = 8
 
@@ -94,8 +98,9 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, limit: int) -> np.n
 
 
 def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n_shingles, digest) of every row."""
+    """(key, n_shingles, digest, ranges) of every row; ``ranges`` counts shingles per range of hashes."""
     schema = docs.select(F.col(key).alias("_id")).schema.add("n_shingles", "long").add("digest", "long")
+    schema = schema.add("ranges", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +108,11 @@ def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 owner, hashes = H.distinct_shingles(piece, size)
                 n, digest = _digests(owner, hashes, len(piece))
                 ids = batch.column(0).slice(piece.first, len(piece))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest)], schema.names)
+                cell = owner * RANGES + (hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+                counts = np.bincount(cell, minlength=RANGES * len(piece)).astype(np.int32)
+                cuts = np.arange(len(piece) + 1, dtype=np.int32) * RANGES
+                ranges = pa.ListArray.from_arrays(pa.array(cuts), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest), ranges], schema.names)
 
     return docs.select(F.col(key).alias("_id"), F.col(text)).mapInArrow(run, schema)
 
@@ -118,14 +127,16 @@ def _digests(owner: np.ndarray, hashes: np.ndarray, n_texts: int) -> tuple[np.nd
     return n.astype(np.int64), H.mix(total + n.astype(np.uint64)).view(np.int64)
 
 
-def prefix_table(docs: DataFrame, text: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def prefix_table(docs: DataFrame, text: str, size: int, percent: int, frequent: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """(shingle, node, meta): the prefix of each row's set, rare first; the node is the set's digest.
+    With ``wanted``, only shingles that this filter lets through.
 
     ``meta`` packs the set's size (31 bits), the shingle's place (31 bits) and whether it lies in
     the shorter prefix that suffices for the smaller set of a pair."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((*frequent, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value[2]
         listed, counts = shared.value[0].view(np.uint64), shared.value[1]
         by_hash = np.argsort(listed)
         listed, counts = listed[by_hash], counts[by_hash]
@@ -145,6 +156,8 @@ def prefix_table(docs: DataFrame, text: str, size: int, percent: int, frequent:
                 place = np.arange(len(hashes)) - first[owner]
                 mine = n[owner]
                 keep = place < mine - _ceil_div(percent * mine, 100) + 1
+                if wanted is not None:
+                    keep &= maybe(wanted, hashes)
                 indexed = place < mine - _ceil_div(2 * percent * mine, 100 + percent) + 1
                 meta = (mine << 32) | (place << 1) | indexed
                 yield pa.RecordBatch.from_arrays(
@@ -171,16 +184,6 @@ def _possible(percent: int) -> Column:
     return (nx * 100 >= ny * percent) & (F.least(_left("mx"), _left("my")) >= need)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit set for each id's hash."""
-    slots = ids.select(F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)).alias("s"))
-    words = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(s & 31)))").alias("v"))
-    bits = np.zeros(FILTER_BITS >> 5, np.uint32)
-    found = words.toPandas()
-    bits[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).astype(np.uint32)
-    return bits
-
-
 def _sets(nodes: pa.Array, texts: pa.Array, size: int) -> dict[int, np.ndarray]:
     """Sorted shingles of each distinct node."""
     ids, rows = np.unique(nodes.to_numpy(), return_index=True)
@@ -195,42 +198,53 @@ def _overlaps(batch: pa.RecordBatch, size: int, percent: int) -> np.ndarray:
     """Which pairs (x, y, text of x, text of y) are similar."""
     out = np.zeros(batch.num_rows, bool)
     xs, ys = (_sets(batch.column(c), batch.column(c + 2), size) for c in (0, 1))
-    shift = np.uint64(64 - SUFFIX_RANGES.bit_length() + 1)
     for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
         x, y = xs[a], ys[b]
         need = overlap_needed(len(x), len(y), percent)
         if min(len(x), len(y)) < max(1, need):
             continue
-        # Suffix filter: in each range of hashes at most the smaller count can be shared.
-        cx = np.bincount((x >> shift).astype(np.int64), minlength=SUFFIX_RANGES)
-        cy = np.bincount((y >> shift).astype(np.int64), minlength=SUFFIX_RANGES)
-        if np.minimum(cx, cy).sum() < need:
-            continue
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         out[i] = int((y[at] == x).sum()) >= need
     return out
 
 
+def _near_in_size(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Length filter of distinct pairs, before anything wider than their sizes is moved."""
+    one, other = (classes.select(F.col("node").alias(p), F.col("n").alias(f"n{p}")) for p in ("x", "y"))
+    near = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    return pairs.join(one, "x").join(other, "y").filter(near).select("x", "y")
+
+
+def _near_in_suffixes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter of distinct pairs: of each range of hashes two sets share at most the smaller
+    count, and these must add up to the overlap needed."""
+    one, other = (
+        classes.select(F.col("node").alias(p), F.col("n").alias(f"n{p}"), F.col("ranges").alias(f"r{p}")) for p in ("x", "y")
+    )
+    shared = F.aggregate(F.zip_with("rx", "ry", lambda p, q: F.least(p, q)), F.lit(0), lambda total, k: total + k)
+    need = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    return pairs.join(one, "x").join(other, "y").filter(shared >= need).select("x", "y")
+
+
 def verified(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int
 ) -> DataFrame:
     """The links (x, y) among distinct candidate pairs of nodes, from the text of one document each."""
+    pairs = cut(_near_in_suffixes(pairs, classes, percent))
     ends = cut(
         pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(classes.select("node", "_id"), "node")
     )
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(ends))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ends.select(F.xxhash64("_id").alias("h")), "h"))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
+            hit = maybe(bits.value, batch.column(2).to_numpy(zero_copy_only=False))
             if hit.any():
                 part = batch.filter(pa.array(hit))
                 nodes = [_digests(*H.distinct_shingles(p, size), len(p))[1] for p in H.pieces(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(nodes)), part.column(1)], ["_id", "node", "t"])
 
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
-    named = docs.select(F.col(key).alias("_id"), F.col(text).alias("t"), slot)
+    named = docs.select(F.col(key).alias("_id"), F.col(text).alias("t"), F.xxhash64(F.col(key)))
     schema = named.select("_id").schema.add("node", "long").add("t", "string")
     # A key may be repeated: the node tells its texts apart, and one copy of each is enough.
     texts = cut(named.mapInArrow(sift, schema).join(ends, ["_id", "node"]).groupBy("_id", "node").agg(F.first("t").alias("t")))
@@ -249,6 +263,14 @@ def verified(
     return cut(joined.mapInArrow(check, "x long, y long"))
 
 
+def _unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of groups that still have several components, with the component of each."""
+    label = found.select("node", F.col("component").alias("c"))
+    labelled = cut(rows.join(label, "node", "left").withColumn("c", F.coalesce("c", "node")))
+    several = labelled.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b")
+    return cut(labelled.join(several.select("shingle"), "shingle", "left_semi").select("shingle", "node", "meta", "c"))
+
+
 def _pairs_ahead(rows: DataFrame):
     """How many pairs across components the groups still hold, and how many rows, without forming any."""
     parts = rows.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -279,34 +301,21 @@ def similar(
     sets = cut(set_table(docs, key, text, size))
     classes = cut(
         sets.filter((F.col("n_shingles") > 0) & F.col("_id").isNotNull())
-        .groupBy(F.col("digest").alias("node")).agg(F.min("_id").alias("_id"), F.min("n_shingles").alias("n"))
+        .groupBy(F.col("digest").alias("node")).agg(F.min("_id").alias("_id"), F.min("n_shingles").alias("n"), F.first("ranges").alias("ranges"))
     )
-    prefixes = prefix_table(keyed, text, size, percent, frequent_shingles(docs, text, size, frequent))
+    frequency = frequent_shingles(docs, text, size, frequent)
     # Shingles in the prefixes of two sets or more; the first set in order of digest is the group's hub.
-    groups = prefixes.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
-    groups = groups.filter("hub < _last").select("shingle", "hub")
+    groups = prefix_table(keyed, text, size, percent, frequency).groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("_last"))
+    groups = cut(groups.filter("hub < _last").select("shingle", "hub"))
+    shared = bitmap(groups, "shingle", bits_for(groups.count()))
+    prefixes = prefix_table(keyed, text, size, percent, frequency, shared)
     members = cut(prefixes.join(groups, "shingle"))
-
-    sizes = classes.select("node", "n")
-    pairs = (
-        members.filter("node != hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
-        .join(sizes.select(F.col("node").alias("x"), F.col("n").alias("nx")), "x")
-        .join(sizes.select(F.col("node").alias("y"), F.col("n").alias("ny")), "y")
-        .filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-        .select("x", "y")
-    )
-    tried = cut(pairs)
+    pairs = members.filter("node != hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
+    tried = cut(_near_in_size(pairs, classes, percent))
     links = verified(tried, classes, keyed, key, text, size, percent)
     found = components(links, "x", "y")
 
-    # Groups whose members all share their hub's component are settled.
-    label = found.select("node", F.col("component").alias("c"))
-    hubs = found.select(F.col("node").alias("hub"), F.col("component").alias("ch"))
-    labelled = members.join(label, "node", "left").join(hubs, "hub", "left").select(
-        "shingle", "node", "meta", F.coalesce("c", "node").alias("c"), F.coalesce("ch", "hub").alias("ch")
-    )
-    unsettled = labelled.filter("c != ch").select("shingle").distinct()
-    open_rows = cut(labelled.join(unsettled, "shingle", "left_semi").select("shingle", "node", "meta", "c"))
+    open_rows = _unsettled(members.select("shingle", "node", "meta"), found)
     colours, turn = None, 0
     while True:
         ahead = _pairs_ahead(open_rows)
@@ -323,10 +332,7 @@ def similar(
         if last:
             break
         tried = tried.unionByName(new)
-        label = found.select("node", F.col("component").alias("c"))
-        fresh = open_rows.drop("c").join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
-        unsettled = fresh.groupBy("shingle").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a != b")
-        open_rows = cut(fresh.join(unsettled.select("shingle"), "shingle", "left_semi").select("shingle", "node", "meta", "c"))
+        open_rows = _unsettled(open_rows.drop("c"), found)
 
     whole = classes.join(found, "node", "left").select("node", "_id", F.coalesce("component", "node").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("_id").alias("component_id"))
