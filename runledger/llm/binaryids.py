@@ -42,7 +42,7 @@ MAGIC = b"RLT1"
 HEADER = "<4sIQQQQ"
 #: Rows of one file: text bytes as read, about.
 FILE_BYTES = 32 << 20
-#: Distinct pieces of text remembered per task.
+#: Distinct words remembered per Python worker.
 CACHE = 700_000
 PIECE_CHARS = 1_000_000
 
@@ -72,7 +72,7 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizers library with a memory of pieces of text; one per task.
+    """The tokenizers library with a memory of words.
 
     A text is cut before each space that stands between visible characters, where the
     tokenizer's own pattern always cuts, so the pieces' ids are those of the whole text.  Any
@@ -139,6 +139,16 @@ class Encoder:
         return [b"".join(ids) for ids in found]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The encoder of this Python worker: later tasks find the words of earlier ones."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _grouped(texts: pa.Array) -> Iterator[list[str]]:
     group, size = [], 0
     for t in texts:
@@ -160,7 +170,7 @@ def encode_table(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: i
     width = _width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, before = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             start = 0
@@ -196,8 +206,8 @@ def _ranking(encoded: DataFrame, width: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_py(), width))
+            for start in range(0, batch.num_rows, 1000):
+                n = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(start, 1000).to_pylist()), width))
                 if len(n) > len(total):
                     total = np.pad(total, (0, len(n) - len(total)))
                 total[: len(n)] += n
