@@ -30,6 +30,8 @@ def by_recorded_path(jobs: DataFrame, files: DataFrame) -> DataFrame:
     wanted = jobs.withColumn("_v", lp.pattern_values()).select(
         "alloc_id", F.posexplode(lp.recorded_paths("_v")).alias("priority", "path")
     )
+    # Most jobs of a site may record the null device: it is no file, and one key of a join.
+    wanted = wanted.filter(F.col("path") != lp.NULL_DEVICE)
     hits = wanted.join(files.select("path"), "path")
     return hits.groupBy("alloc_id").agg(F.min_by("path", "priority").alias("path"))
 
@@ -206,7 +208,11 @@ def with_expected(assigned: DataFrame, jobs: DataFrame, files: DataFrame) -> Dat
         "alloc_id", F.get(lp.recorded_paths("_v"), 0).alias("expected")
     )
     present = files.select(F.col("path").alias("expected"), F.lit(True).alias("_there"))
-    df = assigned.join(first, "alloc_id", "left").join(present, "expected", "left")
+    df = assigned.join(first, "alloc_id", "left")
+    # Only what can be there is looked up; the rest would meet on one key.
+    asked = F.coalesce(F.col("path").isNull() & (F.col("expected") != lp.NULL_DEVICE), F.lit(False))
+    looked_up = df.filter(asked).join(present, "expected", "left")
+    df = looked_up.unionByName(df.filter(~asked).withColumn("_there", F.lit(None).cast("boolean")))
     status = (
         F.when(F.col("expected") == lp.NULL_DEVICE, "discarded")
         .when(F.col("_there"), "found")

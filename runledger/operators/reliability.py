@@ -131,8 +131,10 @@ def _step_up(rows: DataFrame, strata: list[str], alpha: float) -> DataFrame:
             F.sum("_n").alias("_block_n"),
         )
     )
+    # The running sum passes one small row per block; the blocks' bars stay where they are.
     before = Window.partitionBy(*strata).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_block_n").over(before), F.lit(0))
+    offsets = blocks.select(*strata, "_block", offset.alias("_offset"))
 
     def climb(acc: Column, bar: Column) -> Column:
         upto = acc["upto"] + bar["_n"]
@@ -141,7 +143,7 @@ def _step_up(rows: DataFrame, strata: list[str], alpha: float) -> DataFrame:
 
     seed = F.struct(F.col("_offset").alias("upto"), F.lit(0).cast("long").alias("cut"))
     cuts = (
-        blocks.withColumn("_offset", offset)
+        null_safe_join(blocks, offsets, [*strata, "_block"])
         .groupBy(*strata)
         .agg(F.max(F.aggregate("_bars", seed, climb)["cut"]).alias("_cut"))
     )
