@@ -22,9 +22,9 @@ def bitmap(df: DataFrame, column: str, size: int = BITS) -> np.ndarray:
     combined in Spark; the driver gets at most size / 32 words."""
     slots = df.select(F.col(column).bitwiseAND(size - 1).alias("s"))
     words = slots.groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(s & 31)))").alias("v"))
-    found = words.toPandas()
+    found = words.toArrow()
     bits = np.zeros(size >> 5, np.uint32)
-    bits[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64).astype(np.uint32)
+    bits[found["w"].to_numpy()] = found["v"].to_numpy().astype(np.uint32)
     return bits
 
 

@@ -66,7 +66,7 @@ def overlap_needed(x, y, percent: int):
 
 
 def frequent_shingles(docs: DataFrame, text: str, size: int, limit: int) -> np.ndarray:
-    """The most frequent shingles (hash, sorted by it).  Each task counts its documents and
+    """The most frequent shingles: their hashes and counts.  Each task counts its documents and
     reports shingles of two or more of them; rare ones cross no network."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +92,8 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, limit: int) -> np.n
 
     # Copies of a text are one set and say nothing about how many sets hold a shingle.
     counts = docs.select(text).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.filter("n > 3").orderBy(F.desc("n"), "shingle").limit(limit).toPandas()
-    top = top.sort_values("shingle")
-    return np.stack([top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)])
+    top = counts.filter("n > 3").orderBy(F.desc("n"), "shingle").limit(limit).toArrow()
+    return np.stack([top["shingle"].to_numpy(), top["n"].to_numpy()]).astype(np.int64)
 
 
 def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
