@@ -1,17 +1,22 @@
 """Toxicity by votes of the nearest labelled examples.
 
 Terms are lower-cased words and the first bytes of longer words (stems under inflection);
-a term is known by its 64-bit hash.  The terms significantly associated with the label
-(chi-square on the examples, the ``MAX_TERMS`` strongest) make up the vector space; document frequencies are counted over
-all documents.  Examples are indexed by term in blocks of neighbours; each (term, block)
-has its highest weight.  A text's cosine with a whole block is bounded by those maxima, so
-only blocks that can hold one of the ``NEIGHBOURS`` nearest examples are read, and the
-result is exactly that of comparing with every example.
+a term is known by its 64-bit hash.  Every term of a text counts.  Its TF-IDF weight uses the
+term's frequency over all documents, and is multiplied by how strongly the term is associated
+with the label in the examples: chi-square as a share of ``SIGNIFICANT``, from
+``LEAST_STRENGTH`` (also of terms that no example has) to 1.  No term is left out, and a
+text's norm covers all its terms.  The terms of the examples are the index.  Those in most examples form a
+matrix, the others lists of examples; both give each text's cosine with every example up to
+``SLACK``, and those that may be among the ``NEIGHBOURS`` nearest are compared exactly.
+
+A term outside the examples changes a text's norm only.  Common ones (in more than one of
+``COMMON`` documents, so their number is bounded by the length of texts) are looked up where
+the text is read, and the others are joined by term.
 
 Votes are weighted by 1 / (distance + ``SOFTNESS``).  A monotone fit of the examples'
 leave-one-out votes to their labels, weighted back to the labelled rows' class shares, turns
-a vote into the score.  A text without any term gets the toxic share of examples without
-any.  Evidence is the list of nearest examples with their cosines and labels.
+a vote into the score.  A text that shares no term with an example gets the toxic share of
+examples without any.  Evidence is the list of nearest examples with their cosines and labels.
 
 At most ``MAX_EXAMPLES`` labelled rows per class teach (all, if there are fewer; chosen by a
 hash of the key), which bounds everything that is broadcast.  Null labels teach nothing; of
@@ -27,19 +32,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.common import cut
 from . import wordhash as H
 
 MAX_EXAMPLES = 5_000
-MAX_TERMS = 2_048
-MIN_EXAMPLES_WITH_TERM = 5
-#: Least chi-square of a term: significant at 1e-8, so that hardly any of millions of terms gets in by chance.
-MIN_ASSOCIATION = 32.84
+#: Chi-square from which a term has its full weight (significant at 1e-8); below, its share of this.
+SIGNIFICANT = 32.84
+#: Share of its weight that a term has at least: none is left out.
+LEAST_STRENGTH = 0.001
 NEIGHBOURS = 16
-BLOCK = 64
+#: So many terms, those in most examples, are kept as a matrix; a matter of speed only.
+DENSE = 1_000
+#: More than the rounding of ``DENSE`` products in single precision.
+SLACK = 2e-4
+#: Texts compared at once.
+BATCH = 128
+COMMON = 1_000
 SOFTNESS = 0.1
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
@@ -64,87 +77,141 @@ def _counted(owner: np.ndarray, value: np.ndarray, n_values: int) -> tuple[np.nd
     return keys // n_values, keys % n_values, counts
 
 
-def _known(piece: H.Piece, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term number, count) of the terms in a sorted vocabulary."""
+def _split(piece: H.Piece, vocabulary: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, term number, count) of the terms in a sorted vocabulary and (text, hash, count) of all others."""
     owner, hashes = terms(piece)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    hit = vocabulary[at] == hashes
-    return _counted(owner[hit], at[hit], len(vocabulary))
+    values, place = np.unique(hashes, return_inverse=True)
+    at = np.minimum(np.searchsorted(vocabulary, values), max(0, len(vocabulary) - 1))
+    hit = vocabulary[at] == values if len(vocabulary) else np.zeros(len(values), bool)
+    inside = hit[place]
+    o, t, n = _counted(owner[~inside], place[~inside], max(1, len(values)))
+    return _counted(owner[inside], at[place[inside]], max(1, len(vocabulary))), (o, values[t], n)
 
 
-def _tf_idf(owner: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    weight = (1.0 + np.log(counts)) * idf
-    norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))
-    return weight / norm[owner]
+def _norms(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sum of squared weights of each text."""
+    return np.bincount(owner, weights=weight * weight, minlength=n)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places start, ..., start + size - 1, one range after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+@dataclass
+class _Lookup:
+    """The same weights by term, in single precision."""
+
+    column: np.ndarray
+    matrix: np.ndarray
+    offsets: np.ndarray
+    members: np.ndarray
+    weights: np.ndarray
+    scratch: np.ndarray
 
 
 @dataclass
 class Index:
-    """Examples by term and block."""
+    """Weights of the examples' terms: example i has ``terms[starts[i]:starts[i + 1]]``."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     neighbours: int
-    offsets: np.ndarray = field(default=None)
-    members: np.ndarray = field(default=None)
+    starts: np.ndarray = field(default=None)
+    terms: np.ndarray = field(default=None)
     weights: np.ndarray = field(default=None)
-    maxima: np.ndarray = field(default=None)
     votes: np.ndarray = field(default=None)
     chances: np.ndarray = field(default=None)
     without: float = 0.0
+    #: Hashes and weights of common terms outside the examples, and (term, idf) of all others.
+    common: np.ndarray = field(default=None)
+    common_idf: np.ndarray = field(default=None)
+    outside: DataFrame = field(default=None)
+    lookup: _Lookup = field(default=None)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"outside": None, "lookup": None}
 
     def fill(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        """Postings of all examples; ``offsets[t, b]`` is where those of term t in block b begin."""
-        n_terms, n_blocks = len(self.vocabulary), -(-len(self.ids) // BLOCK)
-        order = np.lexsort((example, term))
-        self.members, self.weights = example[order], weight[order]
-        cell = term[order] * n_blocks + self.members // BLOCK
-        ends = np.cumsum(np.bincount(cell, minlength=n_terms * n_blocks))
-        self.offsets = np.append(0, ends)
-        self.maxima = np.zeros(n_terms * n_blocks)
-        np.maximum.at(self.maxima, cell, self.weights)
-        self.maxima = self.maxima.reshape(n_terms, n_blocks)
-
-    def _read(self, query: np.ndarray, term: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact cosines of the examples in ``blocks`` that share a term."""
-        cells = (term[:, None] * self.maxima.shape[1] + blocks[None, :]).ravel()
-        start, size = self.offsets[cells], self.offsets[cells + 1] - self.offsets[cells]
-        total = int(size.sum())
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-        gain = np.repeat(np.repeat(query, len(blocks)), size) * self.weights[at]
-        sums = np.bincount(self.members[at], weights=gain, minlength=len(self.ids))
-        found = np.flatnonzero(sums > 0)
-        return found, sums[found]
+        order = np.argsort(example, kind="stable")
+        self._ordered(np.bincount(example, minlength=len(self.ids)), term[order].astype(np.int32), weight[order])
+
+    def _ordered(self, size: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.starts, self.terms, self.weights = np.append(0, np.cumsum(size)), term, weight
+        self.lookup = None
+
+    def _by_term(self) -> _Lookup:
+        if self.lookup is None:
+            n_terms, n = len(self.vocabulary), len(self.ids)
+            example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+            often = np.argsort(-np.bincount(self.terms, minlength=n_terms), kind="stable")[:DENSE]
+            column = np.full(n_terms, -1, np.int32)
+            column[often] = np.arange(len(often))
+            matrix = np.zeros((len(often), n), np.float32)
+            for i in range(n):
+                mine = slice(self.starts[i], self.starts[i + 1])
+                row = column[self.terms[mine]]
+                matrix[row[row >= 0], i] = self.weights[mine][row >= 0]
+            rest = np.flatnonzero(column[self.terms] < 0)
+            rest = rest[np.argsort(self.terms[rest], kind="stable")]
+            offsets = np.searchsorted(self.terms[rest], np.arange(n_terms + 1))
+            self.lookup = _Lookup(column, matrix, offsets, example[rest], self.weights[rest].astype(np.float32), np.zeros(n_terms))
+        return self.lookup
+
+    def near(
+        self, cuts: np.ndarray, term: np.ndarray, query: np.ndarray, skip: np.ndarray | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text, whose weights have a norm of 1 at most and lie between two ``cuts``, the nearest
+        examples by cosine (ties by place), without the one in ``skip``."""
+        by, n = self._by_term(), len(cuts) - 1
+        for first in range(0, n, BATCH):
+            last = min(n, first + BATCH)
+            part = slice(cuts[first], cuts[last])
+            column = by.column[term[part]]
+            dense = column >= 0
+            rows = np.zeros((last - first, len(by.matrix)), np.float32)
+            rows[np.repeat(np.arange(last - first), np.diff(cuts[first : last + 1]))[dense], column[dense]] = query[part][dense]
+            sums = rows @ by.matrix
+            for i in range(first, last):
+                mine = slice(cuts[i], cuts[i + 1])
+                yield self._best(term[mine], query[mine], sums[i - first], -1 if skip is None else skip[i])
+
+    def _best(self, term: np.ndarray, query: np.ndarray, sums: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        by = self.lookup
+        rare = by.column[term] < 0
+        start, size = by.offsets[term[rare]], by.offsets[term[rare] + 1] - by.offsets[term[rare]]
+        at = _ranges(start, size)
+        sums = sums + np.bincount(by.members[at], weights=np.repeat(query[rare], size) * by.weights[at], minlength=len(sums))
+        if skip >= 0:
+            sums[skip] = 0.0
+        k = self.neighbours
+        least = np.partition(sums, len(sums) - k)[len(sums) - k] if len(sums) > k else 0.0
+        close = np.flatnonzero((sums > 0) & (sums >= least - SLACK))
+        cosine = np.zeros(len(close))
+        by.scratch[term] = query
+        for first in range(0, len(close), 1_000):
+            some = close[first : first + 1_000]
+            start, size = self.starts[some], self.starts[some + 1] - self.starts[some]
+            at = _ranges(start, size)
+            cosine[first : first + 1_000] = np.add.reduceat(by.scratch[self.terms[at]] * self.weights[at], np.cumsum(size) - size)
+        by.scratch[term] = 0.0
+        best = np.lexsort((close, -np.round(cosine, 12)))[:k]
+        return close[best], np.minimum(cosine[best], 1.0)
 
     def nearest(self, term: np.ndarray, query: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest examples by cosine (ties by place), without ``skip``."""
-        k = self.neighbours + (skip >= 0)
-        bound = query @ self.maxima[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        first = order[:4]
-        found, cosine = self._read(query, term, first)
-        least = np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
-        rest = order[4:]
-        rest = rest[bound[rest] >= least - 1e-9]
-        if len(rest):
-            more, extra = self._read(query, term, rest)
-            found, cosine = np.concatenate([found, more]), np.concatenate([cosine, extra])
-        best = np.lexsort((found, -np.round(cosine, 12)))[:k]
-        best = best[found[best] != skip][: self.neighbours]
-        return found[best], np.minimum(cosine[best], 1.0)
+        """The nearest examples of one text."""
+        return next(self.near(np.array([0, len(term)]), term, query, np.array([skip])))
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1.0 / (1.0 - cosine + SOFTNESS)
         return float((weight * self.labels[found]).sum() / weight.sum())
 
-    def calibrate(self, class_weight: np.ndarray, term_of: list[np.ndarray], weight_of: list[np.ndarray]) -> None:
+    def calibrate(self, class_weight: np.ndarray) -> None:
         """Fit the monotone map from leave-one-out votes to the share of toxic labels."""
         votes, labels = [], []
-        for i, (t, w) in enumerate(zip(term_of, weight_of, strict=True)):
-            found, cosine = self.nearest(t, w, skip=i)
+        for i, (found, cosine) in enumerate(self.near(self.starts, self.terms, self.weights, np.arange(len(self.ids)))):
             if len(found):
                 votes.append(self.vote(found, cosine))
                 labels.append(int(self.labels[i]))
@@ -177,20 +244,17 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, limit: int
     return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(keys), "_id")
 
 
-def _candidate_terms(sample: DataFrame, limit: int) -> np.ndarray:
-    """The terms most associated with the label, sorted by hash."""
+def _terms_of(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of the examples, sorted by hash, and how strongly each is associated with the label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             for piece in H.pieces(batch.column(1)):
                 owner, hashes = terms(piece)
-                order = np.lexsort((hashes, owner))
-                h, o = hashes[order], owner[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-                values, place = np.unique(h[new], return_inverse=True)
-                bad = np.bincount(place, weights=toxic[piece.first + o[new]], minlength=len(values))
+                values, place = np.unique(hashes, return_inverse=True)
+                owner, place, _ = _counted(owner, place, max(1, len(values)))
+                bad = np.bincount(place, weights=toxic[piece.first + owner], minlength=len(values))
                 all_ = np.bincount(place, minlength=len(values))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values.view(np.int64)), pa.array(bad.astype(np.int64)), pa.array(all_.astype(np.int64))],
@@ -198,40 +262,47 @@ def _candidate_terms(sample: DataFrame, limit: int) -> np.ndarray:
                 )
 
     counts = sample.select("_toxic", "_text").mapInArrow(count, "term long, bad long, n long")
+    found = counts.groupBy("term").agg(F.sum("bad").cast("double").alias("bad"), F.sum("n").cast("double").alias("n")).toArrow()
     totals = sample.agg(F.sum("_toxic").alias("bad"), F.count(F.lit(1)).alias("n")).first()
     n, bad = float(totals["n"]), float(totals["bad"] or 0)
-    a, m = F.col("bad"), F.col("n")
-    chi = n * F.pow(a * (n - bad - m + a) - (m - a) * (bad - a), 2) / (m * (n - m) * bad * (n - bad))
-    top = (
-        counts.groupBy("term").agg(F.sum("bad").cast("double").alias("bad"), F.sum("n").cast("double").alias("n"))
-        .filter((F.col("n") >= MIN_EXAMPLES_WITH_TERM) & (F.col("n") < n) & (chi >= MIN_ASSOCIATION))
-        .orderBy(F.desc(chi), "term").limit(limit).select("term").toPandas()
-    )
-    return np.sort(top["term"].to_numpy(np.int64).view(np.uint64))
+    vocabulary = found["term"].to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    a, m = found["bad"].to_numpy()[order], found["n"].to_numpy()[order]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = n * (a * (n - bad - m + a) - (m - a) * (bad - a)) ** 2 / (m * (n - m) * bad * (n - bad))
+    return vocabulary[order], np.clip(np.nan_to_num(chi, nan=0.0, posinf=0.0) / SIGNIFICANT, LEAST_STRENGTH, 1.0)
 
 
-def _document_frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
+def _document_frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int, DataFrame]:
+    """In how many of all documents each term occurs, how many documents there are, and (term, n) of
+    all terms outside the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for piece in H.pieces(batch.column(0)):
-                total += np.bincount(_known(piece, vocabulary)[1], minlength=len(vocabulary))
+                (_, term, _), (_, other, _) = _split(piece, vocabulary)
+                total += np.bincount(term, minlength=len(vocabulary))
+                values, n = np.unique(other, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(values), bool)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["term", "n"])
+        known = np.append(at, -1), np.append(total[at], rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at) + 1, bool)), *map(pa.array, known)], names)
 
-    found = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    names = ["known", "term", "n"]
+    counts = docs.select(text).mapInArrow(count, "known boolean, term long, n long")
+    counts = cut(counts.groupBy("known", "term").agg(F.sum("n").alias("n")))
+    found = counts.filter("known").select("term", "n").toPandas()
     out = np.zeros(len(vocabulary), np.int64)
     inside = found["term"] >= 0
     out[found["term"][inside].to_numpy(np.int64)] = found["n"][inside]
-    return out, int(found["n"][~inside].sum())
+    return out, int(found["n"][~inside].sum()), counts.filter("not known").select("term", "n")
 
 
 def fit(
     docs: DataFrame, train: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-    limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS,
+    limit: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS,
 ) -> Index:
     """Learn from the rows of ``train`` that ``labels`` covers; ``docs`` gives document frequencies only."""
     shares = {r["toxic"]: r["n"] for r in labels.join(train.select(key), key, "left_semi").filter(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -241,76 +312,129 @@ def fit(
     empty.without = shares.get(1, 0) / known if known else 0.0
     if len(shares) < 2:
         return empty
-    sample = examples(train, labels.join(train.select(key), key, "left_semi"), key, text, limit)
-    vocabulary = _candidate_terms(sample, max_terms)
+    sample = cut(examples(train, labels.join(train.select(key), key, "left_semi"), key, text, limit))
+    vocabulary, strength = _terms_of(sample)
     if not len(vocabulary):
         return empty
-    frequency, n_docs = _document_frequencies(docs, text, vocabulary)
-    idf = np.log((1.0 + n_docs) / (1.0 + frequency)) + 1.0
+    frequency, n_docs, outside = _document_frequencies(docs, text, vocabulary)
+    idf = (np.log((1.0 + n_docs) / (1.0 + frequency)) + 1.0) * strength
+    often = F.col("n") > n_docs / COMMON
+    outside = outside.withColumn("idf", (F.log((1.0 + n_docs) / (1.0 + F.col("n"))) + 1.0) * LEAST_STRENGTH)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in H.pieces(batch.column(2)):
-                owner, term, count = _known(piece, vocabulary)
+                owner, term, count = _split(piece, vocabulary)[0]
                 cuts = np.searchsorted(owner, np.arange(len(piece) + 1)).astype(np.int32)
                 part = batch.slice(piece.first, len(piece))
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (term, count)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["id", "toxic", "term", "n"])
 
     rows = sample.select(F.col("_id").cast("long"), F.col("_toxic").cast("int"), "_text")
-    found = rows.mapInArrow(vectors, "id long, toxic int, term array<int>, n array<int>").toPandas()
-    size = found["term"].map(len).to_numpy()
-    n_class = [int((found["toxic"] == c).sum()) for c in (0, 1)]
+    found = rows.mapInArrow(vectors, "id long, toxic int, term array<int>, n array<int>").orderBy("id", "toxic").toArrow()
+    ids, toxic = found["id"].to_numpy(), found["toxic"].to_numpy().astype(np.int64)
+    size = pc.list_value_length(found["term"]).to_numpy()
+    n_class = [int((toxic == c).sum()) for c in (0, 1)]
     class_weight = np.array([shares[c] / max(1, n_class[c]) for c in (0, 1)])
-    bare = found["toxic"][size == 0].to_numpy()
-    lone = [float(class_weight[c] * (bare == c).sum()) for c in (0, 1)]
-    found = found[size > 0]
-    # Neighbours in the index share their rarest term, which keeps the maxima of a block tight.
-    rarest = [int(t[np.argmax(idf[t])]) for t in found["term"]]
-    found = found.assign(_rarest=rarest).sort_values(["_rarest", "toxic", "id"], kind="stable")
-    index = Index(vocabulary, idf, found["id"].to_numpy(np.int64), found["toxic"].to_numpy(np.int64), neighbours)
+    lone = [float(class_weight[c] * (toxic[size == 0] == c).sum()) for c in (0, 1)]
+    some = size > 0
+    index = Index(vocabulary, idf, ids[some].astype(np.int64), toxic[some], neighbours)
     index.without = (lone[1] + 0.5) / (sum(lone) + 1.0)
     index.votes = index.chances = np.zeros(0)
-    if len(found):
-        term_of = [np.asarray(t, np.int64) for t in found["term"]]
-        weight_of = [_tf_idf(np.zeros(len(t), np.int64), np.asarray(c), idf[t], 1) for t, c in zip(term_of, found["n"], strict=True)]
-        index.fill(np.repeat(np.arange(len(found)), [len(t) for t in term_of]), np.concatenate(term_of), np.concatenate(weight_of))
-        index.calibrate(class_weight, term_of, weight_of)
+    common = outside.filter(often).select("term", "idf").toArrow()
+    by_hash = np.argsort(common["term"].to_numpy().view(np.uint64))
+    index.common, index.common_idf = common["term"].to_numpy().view(np.uint64)[by_hash], common["idf"].to_numpy()[by_hash]
+    index.outside = outside.filter(~often).select("term", "idf")
+    if some.any():
+        term, weight = pc.list_flatten(found["term"]).to_numpy(), 1.0 + np.log(pc.list_flatten(found["n"]).to_numpy())
+        found = None
+        weight *= idf[term]
+        norm = np.sqrt(np.add.reduceat(weight * weight, np.cumsum(size[some]) - size[some]))
+        weight /= np.repeat(norm, size[some])
+        index._ordered(size[some], term, weight)
+        index.calibrate(class_weight)
     return index
 
 
-def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = True) -> DataFrame:
-    """``docs`` without its text, plus ``score``, ``predicted`` and the evidence; one pass, no shuffle."""
+def _compared(docs: DataFrame, index: Index, text: str) -> DataFrame:
+    """``docs`` without its text, plus the nearest examples by the terms of the examples (``_near``, with
+    cosines against the norm ``_own`` of those), the text's squared norm as far as it is known here
+    (``_all``), and the other terms (``_terms`` with term weights ``_tf``)."""
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("score", "double").add("predicted", "integer")
-    if evidence:
-        schema = schema.add(T.StructType.fromDDL("evidence array<struct<example:bigint,cosine:double,toxic:int>>")[0])
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema
+    for c in T.StructType.fromDDL("_own double, _all double, _near array<struct<at:int,cosine:double>>, _terms array<bigint>, _tf array<double>"):
+        schema = schema.add(c)
     names = schema.names
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def of(index_: Index, term: np.ndarray, weight: np.ndarray) -> tuple[float, list]:
-        found, cosine = index_.nearest(term, weight)
-        if not len(found):
-            return index_.without, []
-        near = [{"example": int(index_.ids[i]), "cosine": float(c), "toxic": int(index_.labels[i])} for i, c in zip(found, cosine, strict=True)] if evidence else []
-        return index_.score(index_.vote(found, cosine)), near
+    def lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index_ = shared.value
         for batch in batches:
             for piece in H.pieces(batch.column(len(rest))):
-                scores, near = np.full(len(piece), index_.without), [[] for _ in range(len(piece))]
-                if len(index_.ids):
-                    owner, term, count = _known(piece, index_.vocabulary)
-                    weight = _tf_idf(owner, count, index_.idf[term], len(piece))
-                    cuts = np.searchsorted(owner, np.arange(len(piece) + 1))
-                    for i in np.flatnonzero(np.diff(cuts)):
-                        part = slice(cuts[i], cuts[i + 1])
-                        scores[i], near[i] = of(index_, term[part], weight[part])
-                part = batch.slice(piece.first, len(piece))
-                added = [pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
-                if evidence:
-                    added.append(pa.array(near, pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *added], names)
+                n = len(piece)
+                (owner, term, count), (other, hashes, count_) = _split(piece, index_.vocabulary)
+                weight = (1.0 + np.log(count)) * index_.idf[term]
+                own = _norms(owner, weight, n)
+                tf = 1.0 + np.log(count_)
+                all_ = own
+                if len(index_.common):
+                    at = np.minimum(np.searchsorted(index_.common, hashes), len(index_.common) - 1)
+                    hit = index_.common[at] == hashes
+                    all_ = own + _norms(other[hit], tf[hit] * index_.common_idf[at[hit]], n)
+                    other, hashes, tf = other[~hit], hashes[~hit], tf[~hit]
+                near = list(index_.near(np.searchsorted(owner, np.arange(n + 1)), term, weight / np.sqrt(own)[owner]))
+                size = np.array([len(x[0]) for x in near], np.int64)
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate([x[0] for x in near]).astype(np.int32)), pa.array(np.concatenate([x[1] for x in near]))], ["at", "cosine"]
+                )
+                added = [
+                    pa.array(own), pa.array(all_), lists(np.repeat(np.arange(n), size), n, pairs),
+                    lists(other, n, pa.array(hashes.view(np.int64))), lists(other, n, pa.array(tf)),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.slice(piece.first, n).columns[:-1], *added], names)
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`")).mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = True) -> DataFrame:
+    """``docs`` without its text, plus ``score``, ``predicted`` and the evidence.  Texts are read once and
+    not shuffled; terms outside the examples are."""
+    rest = [c for c in docs.columns if c != text]
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("score", "double").add("predicted", "integer")
+    if evidence:
+        schema = schema.add(T.StructType.fromDDL("evidence array<struct<example:bigint,cosine:double,toxic:int>>")[0])
+    names = schema.names
+    if not len(index.ids):
+        fixed = [F.lit(float(index.without)).alias("score"), F.lit(int(index.without >= THRESHOLD)).alias("predicted")]
+        none = [F.array().cast(schema["evidence"].dataType).alias("evidence")] if evidence else []
+        return docs.select(*[F.col(f"`{c}`") for c in rest], *fixed, *none)
+    compared = cut(_compared(docs, index, text).withColumn("_line", F.monotonically_increasing_id()))
+    each = compared.select("_line", F.explode(F.arrays_zip("_terms", "_tf")).alias("t")).select("_line", F.col("t._terms").alias("term"), F.col("t._tf").alias("tf"))
+    more = each.join(index.outside, "term").groupBy("_line").agg(F.sum(F.pow(F.col("tf") * F.col("idf"), 2)).alias("_more"))
+    share = F.sqrt(F.try_divide("_own", F.col("_all") + F.coalesce("_more", F.lit(0.0))))
+    near = compared.join(more, "_line", "left").select(*[F.col(f"`{c}`") for c in rest], "_near", F.coalesce(share, F.lit(0.0)).alias("_share"))
+    shared = docs.sparkSession.sparkContext.broadcast((index.votes, index.chances, index.ids, index.labels, index.without))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes, chances, ids, labels, without = shared.value
+        judge = Index(np.zeros(0, np.uint64), np.zeros(0), ids, labels, 0, votes=votes, chances=chances, without=without)
+        for batch in batches:
+            found = batch.column(len(rest))
+            size = pc.list_value_length(found).to_numpy(zero_copy_only=False)
+            flat = found.flatten()
+            at, cosine = flat.field(0).to_numpy(), flat.field(1).to_numpy() * np.repeat(batch.column(len(rest) + 1).to_numpy(), size)
+            cuts = np.append(0, np.cumsum(size))
+            scores = np.full(batch.num_rows, without)
+            for i in np.flatnonzero(size):
+                part = slice(cuts[i], cuts[i + 1])
+                scores[i] = judge.score(judge.vote(at[part], cosine[part]))
+            added = [pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))]
+            if evidence:
+                near = pa.StructArray.from_arrays([pa.array(ids[at]), pa.array(cosine), pa.array(labels[at].astype(np.int32))], ["example", "cosine", "toxic"])
+                added.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), near))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *added], names)
+
+    return near.mapInArrow(finish, schema)

@@ -117,6 +117,37 @@ def test_toxicity_of_held_out_rows(spark):
     assert not set(index.ids) & set(held.doc_id)
 
 
+def test_toxicity_weighs_every_term_of_a_text(spark, monkeypatch):
+    from math import log, sqrt
+
+    monkeypatch.setattr(toxicity, "DENSE", 5)
+    rng = random.Random(8)
+    words = [f"w{i:02d}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words[:12] if i % 2 else words[8:20], k=rng.randrange(1, 9)) + [f"r{i % 50:02d}"])) for i in range(90)]
+    # One rare word is all that links these two; others have words that no example has.
+    docs += [(90, "zzz"), (91, "zzz zzz yyy"), (92, "w01 xxx xxx vvv"), (93, "qqq"), (94, None), (95, "w01 vvv")]
+    labels = [(i, i % 2) for i in range(60)] + [(90, 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = toxicity.fit(frame, frame, spark.createDataFrame(labels, "doc_id long, toxic int"), neighbours=4)
+    tf = {i: Counter((t or "").split()) for i, t in docs}
+    df = Counter(w for c in tf.values() for w in c)
+    toxic, n_toxic = dict(labels), sum(y for _, y in labels)
+    m, a = Counter(w for i in toxic for w in tf[i]), Counter(w for i in toxic if toxic[i] for w in tf[i])
+
+    def strength(w):
+        n, b, k, x = len(toxic), n_toxic, m[w], a[w]
+        chi = n * (x * (n - b - k + x) - (k - x) * (b - x)) ** 2 / (k * (n - k) * b * (n - b)) if 0 < k < n else 0
+        return min(1, max(0.001, chi / 32.84))
+
+    vector = {i: {w: (1 + log(n)) * (log((1 + len(docs)) / (1 + df[w])) + 1) * strength(w) for w, n in c.items()} for i, c in tf.items()}
+    norm = {i: sqrt(sum(x * x for x in v.values())) for i, v in vector.items()}
+    for r in toxicity.score(frame, index).collect():
+        mine = vector[r.doc_id]
+        want = sorted((-round(c, 9), i) for i, _ in labels if (c := sum(x * vector[i].get(w, 0) for w, x in mine.items()) / (norm[r.doc_id] * norm[i] or 1)) > 0)[:4]
+        assert [(-round(e.cosine, 9), e.example) for e in r.evidence] == want
+        assert r.doc_id != 91 or [e.example for e in r.evidence] == [90]
+
+
 def _unigram_library():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
