@@ -45,19 +45,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest key of every group of near duplicates."""
-    found = cut(jaccard.similar(docs.select("doc_id", "text")))
-    per_key = found.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.col("doc_id") != F.col("component_id")).alias("_drop"), F.count(F.lit(1)).alias("_n")
-    )
-    suspects = cut(per_key.filter("_drop or _n > 1").select("doc_id", "_drop"))
-    rows = _flagged(docs, F.xxhash64("doc_id"), suspects.select(F.xxhash64("doc_id").alias("h")))
+    """One document, with the smallest key, of every group of near duplicates.  A key may be repeated
+    with other texts: every row is judged by its key and text."""
+    found = cut(jaccard.similar(docs.select("doc_id", "text"), decide=True).filter("doc_id is not null").withColumn("part", F.coalesce("digest", "text_hash")))
+    # Of rows with one key and set, one stays at most.
+    per_set = found.groupBy("doc_id", "part").agg(F.max("stands").alias("_stands"), F.count(F.lit(1)).alias("_n"), F.min("text_hash").alias("_first"))
+    suspects = found.join(per_set.filter("not _stands or _n > 1"), ["doc_id", "part"])
+    suspects = cut(suspects.select("doc_id", "text_hash", (~F.col("_stands") | (F.col("text_hash") != F.col("_first"))).alias("_drop")).distinct())
+    rows = _flagged(docs, F.xxhash64("doc_id", F.xxhash64("text")), suspects.select(F.xxhash64("doc_id", "text_hash").alias("h")))
     plain = rows.filter(~F.col("_maybe")).select("_row.*")
-    names = suspects.select(F.col("doc_id").alias("_id"), "_drop")
-    doubtful = rows.filter("_maybe").join(names, F.col("_row.doc_id") == F.col("_id"), "left")
+    names = suspects.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_drop")
+    doubtful = rows.filter("_maybe").join(names, (F.col("_row.doc_id") == F.col("_id")) & (F.xxhash64("_row.text") == F.col("_hash")), "left")
     doubtful = doubtful.filter("_drop is null or not _drop")
     # Rows repeated with their key and text: one stays.
-    repeated = doubtful.filter("_drop is not null").groupBy("_row.doc_id", F.xxhash64("_row.text")).agg(F.first("_row").alias("_row"))
+    repeated = doubtful.filter("_drop is not null").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
     return plain.unionByName(doubtful.filter("_drop is null").select("_row.*")).unionByName(repeated.select("_row.*"))
 
 

@@ -97,9 +97,9 @@ def frequent_shingles(docs: DataFrame, text: str, size: int, limit: int) -> np.n
 
 
 def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n_shingles, digest, ranges) of every row; ``ranges`` counts shingles per range of hashes."""
+    """(key, n_shingles, digest, ranges, text_hash) of every row; ``ranges`` counts shingles per range of hashes."""
     schema = docs.select(F.col(key).alias("_id")).schema.add("n_shingles", "long").add("digest", "long")
-    schema = schema.add("ranges", T.ArrayType(T.IntegerType()))
+    schema = schema.add("ranges", T.ArrayType(T.IntegerType())).add("text_hash", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,9 @@ def set_table(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 counts = np.bincount(cell, minlength=RANGES * len(piece)).astype(np.int32)
                 cuts = np.arange(len(piece) + 1, dtype=np.int32) * RANGES
                 ranges = pa.ListArray.from_arrays(pa.array(cuts), pa.array(counts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest), ranges], schema.names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(digest), ranges, batch.column(2).slice(piece.first, len(piece))], schema.names)
 
-    return docs.select(F.col(key).alias("_id"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("_id"), F.col(text), F.xxhash64(F.col(text))).mapInArrow(run, schema)
 
 
 def _digests(owner: np.ndarray, hashes: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,10 +292,11 @@ def _across(rows: DataFrame, percent: int, colours: int, turn: int) -> DataFrame
 
 def similar(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT,
-    frequent: int = FREQUENT,
+    frequent: int = FREQUENT, decide: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: its key, ``n_shingles`` and ``component_id`` (the smallest key
-    that its links reach, itself included)."""
+    that its links reach, itself included).  With ``decide`` also ``digest`` (of its set, null if that
+    is empty), ``text_hash`` and ``stands``: does it have the key and set that stand for the component?"""
     keyed = docs.filter(F.col(key).isNotNull())
     sets = cut(set_table(docs, key, text, size))
     classes = cut(
@@ -334,10 +335,16 @@ def similar(
         open_rows = _unsettled(open_rows.drop("c"), found)
 
     whole = classes.join(found, "node", "left").select("node", "_id", F.coalesce("component", "node").alias("component"))
-    smallest = whole.groupBy("component").agg(F.min("_id").alias("component_id"))
-    by_node = cut(whole.join(smallest, "component").select(F.col("node").alias("digest"), "component_id"))
+    smallest = whole.groupBy("component").agg(F.min(F.struct("_id", "node")).alias("first"))
+    by_node = cut(
+        whole.join(smallest, "component").select(F.col("node").alias("digest"), F.col("first._id").alias("component_id"), F.col("first.node").alias("_first"))
+    )
     linked = F.when(F.col("n_shingles") > 0, F.col("digest"))
+    stands = F.coalesce((F.col("_id") == F.col("component_id")) & (F.col("digest") == F.col("_first")), F.col("component_id").isNull() | F.col("_id").isNull())
     return (
         sets.withColumn("digest", linked).join(by_node, "digest", "left")
-        .select(F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"))
+        .select(
+            F.col("_id").alias(key), "n_shingles", F.coalesce("component_id", "_id").alias("component_id"),
+            *(["digest", stands.alias("stands"), "text_hash"] if decide else []),
+        )
     )

@@ -77,3 +77,17 @@ def test_pipeline_stages_on_odd_rows(spark):
     clean = {r.doc_id: r.text for r in corpus_pipeline.without_personal_data(spark, docs, str(SF)).collect()}
     assert clean[None] == "mail [EMAIL]" and clean[3] is None and clean[4] == ""
     assert corpus_pipeline.without_toxic(spark, docs, str(SF)).columns == docs.columns
+
+
+def test_near_duplicates_are_judged_by_key_and_text(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, long), (2, long + " more"), (2, "a clean text that is like no other one here"),
+        (5, "one two three four five six seven"), (5, "One two THREE four five six seven"), (5, "one two three four five six seven"), (7, "one two three four five six seven"),
+        (8, long.replace("word", "term")), (8, long.replace("word", "term") + " more"), (9, None), (9, None), (9, ""), (None, long), (None, long),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, str(SF)).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["1", "2", "5", "8", "9", "9", "None", "None"]
+    assert (2, "a clean text that is like no other one here") in kept and (1, long) in kept
+    assert {t for i, t in kept if i == 9} == {None, ""}
