@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; matches that
-fail their check are dropped.  The texts found are the seed entities.  What stands before an
-entity, its last one and last two words, are lexical patterns.  Patterns and entities form a
-graph, in which Spark scores them in turns:
+fail their check are dropped.  The texts found are the seed entities.  What stands around an
+entity, its last one and two words before and its first one and two after, are lexical
+patterns.  Candidates for other entities are tokens with digits, groups of digits between
+single blanks, dots, slashes, hyphens and brackets, and addresses written with "(at)".
+Patterns and entities form a graph, in which Spark scores them in turns:
 
 * a pattern's confidence for a kind is the share of known entities of that kind among all
-  it extracts (base matches and other tokens with digits); it counts from ``MIN_SUPPORT``
-  different known entities and ``MIN_CONFIDENCE`` on;
-* an unknown token's score for a kind is 1 - product(1 - confidence) over such patterns;
+  it extracts; unknown candidates whose form allows that kind (``fitting``) are left out of
+  this count, others count against it; it counts from ``MIN_SUPPORT`` different known
+  entities and ``MIN_CONFIDENCE`` on;
+* an unknown candidate's score for a kind is 1 - product(1 - confidence) over such patterns;
   from ``MIN_SCORE`` on it is an entity of that kind and a seed of the next turn.
 
 After ``TURNS`` turns every occurrence of a discovered entity that overlaps no base span is a
@@ -33,11 +36,14 @@ from ..operators.common import cut
 
 KINDS = ["email", "ip", "card", "phone"]
 TOKEN = "token"
+FORM = "form"
+SPELT = "spelt"
+CANDIDATES = [TOKEN, FORM, SPELT]
 TURNS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.7
 MIN_SCORE = 0.8
-#: Characters before a match in which its one or two words of context are looked for.
+#: Characters before and after a match in which its one or two words of context are looked for.
 CONTEXT = 64
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -49,9 +55,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # Other identifiers: six or more letters, digits, hyphens or underlines with a digit.
     TOKEN: r"(?<![\p{L}\p{N}_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+",
+    # Groups of digits, six characters or more in all, with one separator between two of them.
+    FORM: r"(?<![\p{L}\p{N}_+-])(?=[0-9(][0-9()\x20./-]{5})\(?+[0-9]++\)?+(?:[\x20./-]?+\(?+[0-9]++\)?+)++",
+    SPELT: rf"(?<!{_LOCAL}){_LOCAL}++\x20?+[(\[{{]\x20?+(?i:at)\x20?+[)\]}}]\x20?+[A-Za-z0-9-]++(?:(?:\.|\x20?+[(\[{{]\x20?+(?i:dot)\x20?+[)\]}}]\x20?+)[A-Za-z0-9-]++)*+",
 }
 #: A text without this has no match.
-_NEEDS = {"email": "%@%.%", "ip": "%.%.%.%", "card": "%", "phone": "%+%", TOKEN: "%"}
+_NEEDS = {"email": "%@%.%", "ip": "%.%.%.%", "card": "%", "phone": "%+%", TOKEN: "%", FORM: "%"}
 
 
 def _digits(c: Column) -> Column:
@@ -83,11 +92,11 @@ def _matches_of(kind: str, text: Column) -> Column:
         found,
         lambda m, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("place"), F.length(F.get(between, i)).alias("gap"), m.alias("match"),
-            F.right(F.get(between, i), F.lit(CONTEXT)).alias("before"),
+            F.right(F.get(between, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("after"),
         ),
     )
-    none = F.array().cast("array<struct<kind:string,place:int,gap:int,match:string,before:string>>")
-    possible = text.like(_NEEDS[kind]) if _NEEDS[kind] != "%" else text.rlike("[0-9]")
+    none = F.array().cast("array<struct<kind:string,place:int,gap:int,match:string,before:string,after:string>>")
+    possible = text.rlike("[0-9]") if _NEEDS.get(kind) == "%" else text.like(_NEEDS[kind]) if kind in _NEEDS else text.rlike(r"(?i)[(\[{] ?at ?[)\]}]")
     if kind == "card":
         possible = text.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")
     return F.when(possible, rows).otherwise(none)
@@ -96,33 +105,51 @@ def _matches_of(kind: str, text: Column) -> Column:
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per document with all matches; written once."""
     body = F.coalesce(F.col(text), F.lit(""))
-    every = [_matches_of(k, F.col("_text")) for k in (*KINDS, TOKEN)]
+    every = [_matches_of(k, F.col("_text")) for k in (*KINDS, *CANDIDATES)]
     rows = docs.select(F.col(key).alias("_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(body).alias("hash"), body.alias("_text"))
     return cut(rows.select("_id", "row", "hash", F.concat(*every).alias("found")))
 
 
 def _placed(scanned: DataFrame) -> DataFrame:
-    """Valid base matches and other tokens that overlap none of them: row, kind, start, end, match, before."""
+    """Valid base matches and candidates that overlap none of them: row, kind, start, end, match, before, after."""
     each = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     earlier = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("gap") + F.length("match")).over(earlier), F.lit(0)) + F.col("gap")
     each = each.withColumn("start", start.cast("long")).withColumn("end", (start + F.length("match")).cast("long"))
     each = each.filter(valid(F.col("kind"), F.col("match")))
-    base = F.col("kind") != TOKEN
+    base = F.col("kind").isin(KINDS)
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
     ahead = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     behind = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     clear = (F.coalesce(ahead, F.lit(0)) <= F.col("start")) & (F.coalesce(behind, F.col("end")) >= F.col("end"))
     each = each.withColumn("clear", clear).filter(base | F.col("clear"))
-    return cut(each.select("row", "kind", "start", "end", F.lower("match").alias("entity"), "before"))
+    return cut(each.select("row", "kind", "start", "end", F.lower("match").alias("entity"), "before", "after"))
+
+
+def fitting(entity: Column) -> Column:
+    """The kinds that a candidate's form allows."""
+    digits = _digits(entity)
+    n = F.length(digits)
+    plain = entity.rlike(r"^[0-9()\x20./-]+$")
+    allowed = {
+        "email": entity.rlike(r"[(\[{]\x20?at\x20?[)\]}]"),
+        "ip": entity.rlike(r"^[0-9]{1,3}([./\x20-][0-9]{1,3}){3}$"),
+        "card": plain & n.between(16, 19) & F.call_function("luhn_check", digits),
+        "phone": plain & n.between(8, 15),
+    }
+    return F.filter(F.array(*[F.when(allowed[k], k) for k in KINDS]), lambda k: k.isNotNull())
 
 
 def _edges(placed: DataFrame) -> DataFrame:
-    """Distinct (pattern, entity, kind): kind is null for tokens that no base pattern matches."""
-    one = F.regexp_extract("before", r"(\p{L}+)[^\p{L}\p{N}]{1,3}$", 1)
-    two = F.regexp_extract("before", r"(\p{L}+[^\p{L}\p{N}]{1,3}\p{L}+)[^\p{L}\p{N}]{1,3}$", 1)
-    patterns = F.array_distinct(F.filter(F.array(one, F.regexp_replace(two, r"[^\p{L}]+", " ")), lambda p: p != ""))
-    kind = F.when(F.col("kind") != TOKEN, F.col("kind"))
+    """Distinct (pattern, entity, kind): kind is null for candidates that no base pattern matches."""
+    gap = r"[^\p{L}\p{N}]{1,3}"
+    words = [
+        F.regexp_extract("before", rf"(\p{{L}}+){gap}$", 1), F.regexp_extract("before", rf"(\p{{L}}+{gap}\p{{L}}+){gap}$", 1),
+        F.regexp_extract("after", rf"^{gap}(\p{{L}}+)", 1), F.regexp_extract("after", rf"^{gap}(\p{{L}}+{gap}\p{{L}}+)", 1),
+    ]
+    named = [F.when(w != "", F.concat(F.lit("> " if i > 1 else ""), F.regexp_replace(w, r"[^\p{L}]+", " "))) for i, w in enumerate(words)]
+    patterns = F.array_distinct(F.filter(F.array(*named), lambda p: p.isNotNull()))
+    kind = F.when(F.col("kind").isin(KINDS), F.col("kind"))
     return cut(placed.select(F.explode(patterns).alias("pattern"), "entity", kind.alias("kind")).withColumn("pattern", F.lower("pattern")).distinct())
 
 
@@ -137,9 +164,11 @@ def discover(
     for _ in range(turns):
         known = seeds if found is None else seeds.unionByName(found.select("entity", "kind")).distinct()
         hits = edges.select("pattern", "entity").distinct().join(known, "entity").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits"))
+        open_ = unknown.join(known.select("entity").distinct(), "entity", "left_anti")
+        neutral = open_.select("pattern", F.explode(fitting(F.col("entity"))).alias("kind")).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("fit"))
         strong = (
-            hits.filter(F.col("hits") >= support).join(totals, "pattern")
-            .withColumn("confidence", F.col("hits") / F.col("n")).filter(F.col("confidence") >= confidence)
+            hits.filter(F.col("hits") >= support).join(totals, "pattern").join(neutral, ["pattern", "kind"], "left")
+            .withColumn("confidence", F.col("hits") / (F.col("n") - F.coalesce("fit", F.lit(0)))).filter(F.col("confidence") >= confidence)
             .select("pattern", "kind", F.least("confidence", F.lit(0.999)).alias("confidence"))
         )
         strong = cut(strong)
@@ -157,9 +186,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     scanned = _scan(docs, key, text)
     placed = _placed(scanned)
     revealed = discover(_edges(placed)).select("entity", F.col("kind").alias("revealed"))
-    base = placed.filter(F.col("kind") != TOKEN).select("row", "kind", "start", "end", F.lit(True).alias("base"))
+    base = placed.filter(F.col("kind").isin(KINDS)).select("row", "kind", "start", "end", F.lit(True).alias("base"))
     added = (
-        placed.filter(F.col("kind") == TOKEN).join(revealed, "entity")
+        placed.filter(~F.col("kind").isin(KINDS)).join(revealed, "entity")
         .select("row", F.col("revealed").alias("kind"), "start", "end", F.lit(False).alias("base"))
     )
     rank = reduce(lambda c, i: c.when(F.col("kind") == KINDS[i], i), range(1, len(KINDS)), F.when(F.col("kind") == KINDS[0], 0))
@@ -195,22 +224,22 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    marks = cut(found.groupBy(F.col(key).alias("_key"), F.col("hash").alias("_hash")).agg(F.first("spans").alias("spans")).select("_key", "_hash", merged.alias("_marks")))
+    marks = cut(found.groupBy(F.col(key).alias("_pii_key"), F.col("hash").alias("_pii_hash")).agg(F.first("spans").alias("spans")).select("_pii_key", "_pii_hash", merged.alias("_pii_marks")))
     names = docs.columns
-    whole = docs.withColumn("_h", F.xxhash64(body)).join(
-        marks, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left"
+    whole = docs.withColumn("_pii_h", F.xxhash64(body)).join(
+        marks, F.col(f"`{key}`").eqNullSafe(F.col("_pii_key")) & (F.col("_pii_h") == F.col("_pii_hash")), "left"
     )
     before = F.transform(
-        "_marks",
+        "_pii_marks",
         lambda x, i: F.concat(
             F.substring(
                 F.col(text),
-                (F.when(i > 0, F.get("_marks", i - 1)["end"]).otherwise(0) + 1).cast("int"),
-                (x["start"] - F.when(i > 0, F.get("_marks", i - 1)["end"]).otherwise(0)).cast("int"),
+                (F.when(i > 0, F.get("_pii_marks", i - 1)["end"]).otherwise(0) + 1).cast("int"),
+                (x["start"] - F.when(i > 0, F.get("_pii_marks", i - 1)["end"]).otherwise(0)).cast("int"),
             ),
             F.lit("["), F.upper(x["kind"]), F.lit("]"),
         ),
     )
-    rest = F.substring(F.col(text), (F.element_at("_marks", -1)["end"] + 1).cast("int"), F.length(text))
-    clean = F.when(F.size("_marks") > 0, F.concat(F.array_join(before, ""), rest)).otherwise(F.col(text))
+    rest = F.substring(F.col(text), (F.element_at("_pii_marks", -1)["end"] + 1).cast("int"), F.length(text))
+    clean = F.when(F.size("_pii_marks") > 0, F.concat(F.array_join(before, ""), rest)).otherwise(F.col(text))
     return whole.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in names])

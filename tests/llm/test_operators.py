@@ -327,6 +327,21 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert clean[102] == "order 77777abc"
 
 
+def test_contexts_reveal_separated_and_spelt_forms(spark):
+    rows = [(i, f"so my mobile number is +44 20 7946 09{i:02d} until May") for i in range(5)]
+    unseen = ["020 7946 0958", "(030) 123 4567", "030.1234.567"]
+    rows += [(10 + i, f"so my mobile number is {x} until May") for i, x in enumerate(unseen)]
+    rows += [(20 + i, f"mail goes to user{i}@host.example every day") for i in range(6)] + [(30, "mail goes to jane.doe (at) host.example every day")]
+    rows += [(40 + i, f"+44 20 7000 11{i:02d} reaches me") for i in range(6)] + [(50, "020 7000 9999 reaches me")]
+    rows += [(60, "a total of 020 1111 2222 pieces"), (61, "version 1.2.3.4.5 of 2024-11-28")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(x.kind, dict(rows)[r.doc_id][x.start : x.end]) for x in r.spans if not x.base] for r in pii.spans(frame).collect()}
+    for i, x in enumerate(unseen):
+        assert found[10 + i] == [("phone", x)]
+    assert found[30] == [("email", "jane.doe (at) host.example")] and found[50] == [("phone", "020 7000 9999")]
+    assert found[60] == found[61] == []
+
+
 def test_token_files_hold_the_ids_in_order(spark, texts, tmp_path):
     from tokenizers import Tokenizer
 
