@@ -47,7 +47,7 @@ from d left join n using (doc_id) left join items using (doc_id)
 _JACCARD = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\\x20\\x09-\\x0D]+') w from documents),
+    '[^\x20\x09-\x0D]+') w from documents),
 s as (
   select distinct doc_id, array_to_string(w[i:i + 4], ' ') g
   from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from d where len(w) > 0)),

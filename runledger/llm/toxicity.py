@@ -90,7 +90,7 @@ def _split(piece: H.Piece, vocabulary: np.ndarray) -> tuple[tuple[np.ndarray, np
 
 def _norms(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Sum of squared weights of each text."""
-    return np.bincount(owner, weights=weight * weight, minlength=n)
+    return np.bincount(owner, weights=weight * weight, minlength=n).astype(np.float64)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
