@@ -44,7 +44,7 @@ select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coale
 from d left join n using (doc_id) left join items using (doc_id)
 """
 
-_JACCARD = r"""
+_SIMILAR = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') w from documents),
@@ -54,13 +54,30 @@ s as (
 n as (select doc_id, count(*) n from s group by doc_id),
 both_ as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
 link as (
-  select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+  select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= %d * (x.n + y.n - k)),
 edge as (select a, b from link union all select b, a from link),
 reach(doc_id, c) as (select doc_id, doc_id from d union select edge.b, reach.c from reach join edge on edge.a = reach.doc_id)
-select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) n_shingles, min(c) component_id
+select d.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) n_shingles, min(c) component_id%s
 from d join reach using (doc_id) left join n using (doc_id) group by d.doc_id
 """
 
+_FILL_IN_MIDDLE = r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) x from documents),
+h as (
+  select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') u, cast('0x' || x[1:8] as bigint) h1, cast('0x' || x[9:16] as bigint) h2,
+    cast('0x' || x[17:24] as bigint) h3, cast('0x' || x[25:32] as bigint) h4 from d),
+c as (
+  select *, cast(len(u) as bigint) n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end form from h),
+p as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a + 1:b], '') mid, array_to_string(u[b + 1:], '') suf from c)
+select doc_id, n, form, case when form != 'plain' then cast(length(pre) as bigint) end prefix_chars,
+  case when form != 'plain' then cast(length(mid) as bigint) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256
+from p
+"""
+
 
 def _quality() -> str:
     figures = {
@@ -109,5 +126,7 @@ SQL = {
     "op1_sharding": _SHARDING,
     "op3_quality_rules": _quality(),
     "op5_decontamination": _DECONTAMINATION,
-    "op10_jaccard_join": _JACCARD,
+    "op10_jaccard_join": _SIMILAR % (75, ""),
+    "op11_minhash_dedup": _SIMILAR % (85, ", d.doc_id = min(c) kept"),
+    "op13_fill_in_middle": _FILL_IN_MIDDLE,
 }

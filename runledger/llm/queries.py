@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import checkpoint_dir
-from . import binaryids, decontamination, jaccard, langid, oracles, pii, quality, sharding, tokencount, toxicity, unigram
+from . import (
+    alignment, binaryids, decontamination, fim, jaccard, langid, oracles, pii, quality, sharding, superminhash, tokencount, toxicity, unigram,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,10 +84,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.linked(_table(spark, sf_dir, "documents"), *files, groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fim.restored()).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_sharding, op2_toxicity, op3_quality_rules, op4_token_ids, op5_decontamination, op6_pii, op7_language_id, op8_sentencepiece, op9_token_counts,
-        op10_jaccard_join,
+        op10_jaccard_join, op11_minhash_dedup, op12_alignment, op13_fill_in_middle,
     )}
 
 
