@@ -22,7 +22,6 @@ COLLECTIVE = [
 IMPORT = ["modulenotfounderror", "importerror", "no module named"]
 TRACEBACK_HEADER = "Traceback (most recent call last)"
 
-TAIL_BYTES = 256 * 1024
 EXCERPT_LINES = 6
 
 # Line breaks Python's splitlines knows beyond \n and \r.
@@ -33,10 +32,6 @@ def has_marker(lowered: Column, markers: list[str]) -> Column:
     return lowered.rlike("|".join(re.escape(m).replace("\\ ", " ") for m in markers))
 
 
-def newline_normalised(c) -> Column:
-    return F.regexp_replace(as_col(c), "\r\n?", "\n")
-
-
 def lines_of(c) -> Column:
     parts = F.split(as_col(c), _BREAKS)
     # A final line break ends the last line, it does not start an empty one.
@@ -57,6 +52,16 @@ def _is_text(line: Column) -> Column:
     return line.rlike(r"\S")
 
 
+def is_header(line: Column) -> Column:
+    """Does a traceback begin in this line?"""
+    return F.ltrim(_unranked(line)).startswith(TRACEBACK_HEADER)
+
+
+def is_stop(line: Column) -> Column:
+    """Is this line, after a header, the last of its traceback?"""
+    return _unranked(line).rlike(r"^\S")
+
+
 @memo
 def last_lines(c, n: int = EXCERPT_LINES) -> Column:
     kept = F.filter(F.transform(lines_of(c), _rstrip), _is_text)
@@ -68,12 +73,9 @@ def traceback_tail(c, n: int = EXCERPT_LINES) -> Column:
     """The last traceback: its header through the first unindented line after it,
     shortened to the header, an ellipsis and the final ``n - 2`` lines."""
     lines = lines_of(c)
-    is_header = F.transform(
-        lines, lambda x: F.ltrim(_unranked(x)).startswith(TRACEBACK_HEADER)
-    )
-    back = F.array_position(F.reverse(is_header), True)
+    back = F.array_position(F.reverse(F.transform(lines, is_header)), True)
     after = F.slice(lines, F.size(lines) - back.cast("int") + 2, F.size(lines))
-    stops = F.transform(after, lambda x: _unranked(x).rlike(r"^\S"))
+    stops = F.transform(after, is_stop)
     stop = F.array_position(stops, True).cast("int")
     body = F.when(stop > 0, F.slice(after, F.lit(1), stop)).otherwise(after)
     header = F.slice(lines, F.size(lines) - back.cast("int") + 1, F.lit(1))
@@ -85,3 +87,13 @@ def traceback_tail(c, n: int = EXCERPT_LINES) -> Column:
     return F.when(
         as_col(c).contains(TRACEBACK_HEADER) & (back > 0), F.array_join(shown, "\n")
     )
+
+
+def digest(c) -> Column:
+    """The same as a struct, of a log that is one string."""
+    low = F.lower(as_col(c))
+    return F.struct(
+        F.coalesce(F.length(as_col(c)) == 0, F.lit(True)).alias("blank"),
+        has_marker(low, DEVICE_MEMORY).alias("device_memory"), has_marker(low, COLLECTIVE).alias("collective"),
+        has_marker(low, IMPORT).alias("import_error"), traceback_tail(c).alias("traceback"), last_lines(c).alias("excerpt"),
+    )

@@ -188,9 +188,8 @@ def _exit(r: _Rules) -> None:
     r.add(CRITICAL, F.when(killer == 9, "sigkill").otherwise("signal-kill"), unexplained, _say("Killed by ", named),
           _say("Signal ", killer, " with state ", F.coalesce(state, F.lit("unrecorded")), ": no scheduler limit explains it."),
           "Look for a wrapper, a timeout in the script or the node's own memory killer.")
-    log = c("log_text")
-    blank = F.coalesce(F.length(log) == 0, F.lit(True))
-    lowered = F.lower(log)
+    log = c("log")
+    blank = F.coalesce(log["blank"], F.lit(True))
     above = code.isin(127, 137) | F.coalesce(signal != 0, F.lit(False))
     r.add(WARNING, "exit-nonzero-nolog", blank & (code != 0) & st("FAILED"),
           F.when(above, _say("Exit ", code, ", no log to confirm it")).when(code == 1, "Exit 1, no log to explain it").otherwise(_say("Exit ", code, ", no log to explain it")),
@@ -198,16 +197,16 @@ def _exit(r: _Rules) -> None:
           "Record the error output at a known path.")
     some = ~blank
     gpus = c("gpu_count") > 0
-    r.add(CRITICAL, "cuda-oom", some & gpus & logtext.has_marker(lowered, logtext.DEVICE_MEMORY), "GPU out of memory",
+    r.add(CRITICAL, "cuda-oom", some & gpus & log["device_memory"], "GPU out of memory",
           "A device allocation failed; host memory is not involved.", "Reduce the batch size, checkpoint activations or shard.")
     many = gpus & ((c("gpu_count") > 1) | (c("task_count") > 1) | (c("node_count") > 1))
-    r.add(CRITICAL, "nccl", some & many & logtext.has_marker(lowered, logtext.COLLECTIVE), "Collective communication failed",
+    r.add(CRITICAL, "nccl", some & many & log["collective"], "Collective communication failed",
           "Collective-library errors in the log, usually a symptom of one rank that stopped.", "Compare all ranks.")
-    r.add(CRITICAL, "import-error", some & logtext.has_marker(lowered, logtext.IMPORT), "A Python import failed",
+    r.add(CRITICAL, "import-error", some & log["import_error"], "A Python import failed",
           "Import failure in the log.", "Pin the environment and record it with the run.")
-    trace = logtext.traceback_tail(log)
+    trace = log["traceback"]
     r.add(INFO, "traceback", some & trace.isNotNull(), "Last traceback in the log", trace)
-    excerpt = logtext.last_lines(log)
+    excerpt = log["excerpt"]
     r.add(INFO, "log-tail", some & trace.isNull() & c("is_failed") & (F.length(excerpt) > 0), "End of the log", excerpt)
 
 
@@ -238,16 +237,17 @@ def findings(
 ) -> DataFrame:
     """One row per finding: job, position in rule order, severity, code and texts.
 
-    ``logs(alloc_id, log_text)``, ``notes(alloc_id, node_note)`` and
+    ``logs(alloc_id, log)`` with ``log`` as in ``tables.log_files`` (or ``log_text``, one string), ``notes(alloc_id, node_note)`` and
     ``site(cluster, from_cgroup, sampling_seconds)`` are optional inputs; metrics that
     went through ``rollup.with_places`` also name the slowest task.
     """
     df = metrics
     none = F.lit(None).cast("string")
     if logs is None:
-        df = df.withColumn("log_text", none)
+        df = df.withColumn("log", logtext.digest(none))
     else:
-        df = df.join(logs.select("alloc_id", "log_text"), "alloc_id", "left")
+        told = "log" if "log" in logs.columns else logtext.digest("log_text").alias("log")
+        df = df.join(logs.select("alloc_id", told), "alloc_id", "left")
     if notes is None:
         df = df.withColumn("node_note", none)
     else:

@@ -195,11 +195,9 @@ def assign_logs(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = (
     )
 
 
-def log_text(assigned: DataFrame, files: DataFrame) -> DataFrame:
-    """``alloc_id, log_text`` of the assigned files."""
-    return assigned.filter(F.col("path").isNotNull()).join(files.select("path", "tail"), "path").select(
-        "alloc_id", F.col("tail").alias("log_text")
-    )
+def logs_of(assigned: DataFrame, files: DataFrame) -> DataFrame:
+    """``alloc_id, log`` (what the assigned file says; NULL if it is empty)."""
+    return assigned.filter(F.col("path").isNotNull()).join(files.select("path", "log"), "path").select("alloc_id", "log")
 
 
 def with_expected(assigned: DataFrame, jobs: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,20 +1,29 @@
-"""Incremental refresh of terminal records, and reconciliation with the live queue."""
+"""Incremental refresh of terminal records, and reconciliation with the live queue.
 
-from __future__ import annotations
+A record is known by its cluster and job id: two clusters may use one id.  A listing or queue
+that does not name clusters is of one cluster, and its ids alone count.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import states
+from . import store
 from .common import null_safe_join
 
+KEY = ("cluster", "job_id")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df if "cluster" in df.columns else df.withColumn("cluster", F.lit(None).cast("string"))
+
 
 def fingerprints(listing: DataFrame) -> DataFrame:
-    """Ordered (state, end) list per job id from a cheap listing (job_id, pos, state, end)."""
+    """Ordered (state, end) list per cluster and job id from a cheap listing ([cluster,] job_id, pos, state, end)."""
     seen = F.array_sort(F.collect_list(F.struct("pos", "state", "end")))
-    return listing.groupBy("job_id").agg(
+    return _keyed(listing).groupBy(*KEY).agg(
         F.transform(seen, lambda x: F.struct(x["state"].alias("state"), x["end"].alias("end"))).alias("fingerprint")
     )
 
@@ -26,16 +35,16 @@ def is_storable():
 
 def plan_refresh(listing: DataFrame, stored: DataFrame) -> DataFrame:
     """Per listed job: reuse the stored record, or read it again because it is new,
-    changed or was never closed.  ``stored`` has job_id and fingerprint."""
+    changed or was never closed.  ``stored`` has the key and the fingerprint."""
     now = fingerprints(listing)
-    old = stored.select("job_id", F.col("fingerprint").alias("_stored"))
-    df = now.join(old, "job_id", "left")
+    old = _keyed(stored).select(*KEY, F.col("fingerprint").alias("_stored"))
+    df = null_safe_join(now, old, list(KEY), "left")
     action = (
         F.when(F.col("_stored").isNull(), "new")
         .when(F.col("_stored") == F.col("fingerprint"), "reuse")
         .otherwise("changed")
     )
-    return df.select("job_id", "fingerprint", action.alias("action"))
+    return df.select(*KEY, "fingerprint", action.alias("action"))
 
 
 def refresh(listing: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -44,72 +53,52 @@ def refresh(listing: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFram
     ``stored`` and ``fresh`` share the jobs schema; ``stored`` also has the fingerprint.
     Records outside the listing stay untouched.
     """
-    plan = plan_refresh(listing, stored)
-    stale = plan.filter(F.col("action") != "reuse")
-    kept = stored.join(stale.select("job_id"), "job_id", "left_anti")
-    added = fresh.filter(is_storable()).join(stale.select("job_id", "fingerprint"), "job_id")
-    return kept.unionByName(added.select(*kept.columns))
+    stale = plan_refresh(listing, stored).filter(F.col("action") != "reuse")
+    kept = null_safe_join(stored, stale.select(*KEY), list(KEY), "left_anti")
+    return kept.unionByName(_added(stale, fresh).select(*kept.columns))
 
 
-_CURRENT = "CURRENT"
-#: A day is dealt over so many files at most.
-_FILES_PER_DAY = 32
+def _added(stale: DataFrame, fresh: DataFrame) -> DataFrame:
+    return null_safe_join(_keyed(fresh).filter(is_storable()), stale.select(*KEY, "fingerprint"), list(KEY))
 
 
-def _pointer(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{_CURRENT}")
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def write_store(store: DataFrame, path: str) -> str:
-    """Write the store's whole new content as a version of its own, then make it the current one.
-
-    ``store`` may be computed from ``read_store(path)``: what is read is never overwritten,
-    a reader sees the old version or the new one, and a day that lost all its records is
-    gone.  Within a version records are partitioned by end date; a salt of the job id
-    spreads a busy day over several tasks.  Returns the version's folder."""
-    spark, version = store.sparkSession, f"version={uuid.uuid4().hex}"
-    (
-        store.withColumn("end_date", F.to_date("end"))
-        .repartition("end_date", F.pmod(F.xxhash64("job_id"), F.lit(_FILES_PER_DAY)))
-        .write.partitionBy("end_date")
-        .parquet(f"{path.rstrip('/')}/{version}")
-    )
-    where, fs = _pointer(spark, path)
-    out = fs.create(where, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    return version
+def refresh_store(spark: SparkSession, path: str, listing: DataFrame, fresh: DataFrame) -> list[str]:
+    """Bring the store at ``path`` up to a listing: records that are new or changed there are taken from
+    ``fresh`` (which only they need to be read for), all others stay as they are.  Days of the end date
+    that no such record leaves or enters keep their files.  Returns the days that were rewritten."""
+    stored = store.read(spark, path)
+    if stored is None:
+        known = fingerprints(listing.limit(0))
+    else:
+        known = stored.select(*KEY, "fingerprint")
+    stale = plan_refresh(listing, known).filter(F.col("action") != "reuse")
+    return store.replace(spark, path, _added(stale, fresh), stale, KEY, F.col("end"))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The current version of the store, or None before the first write."""
-    where, fs = _pointer(spark, path)
-    if not fs.exists(where):
-        return None
-    version = spark.read.text(where.toString()).first()[0]
-    return spark.read.parquet(f"{path.rstrip('/')}/{version}").drop("end_date")
+def read_store(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame | None:
+    """The stored records (of some end dates), or None before the first write."""
+    return store.read(spark, path, since, until)
 
 
 def reconcile_live(jobs: DataFrame, live: DataFrame | None) -> DataFrame:
     """Mark running or open records with whether the queue knows them.
 
     No snapshot (None) leaves everything as it is; an empty one means nothing runs.
-    The snapshot holds the ids queued right now; adaptive execution broadcasts it when
-    its measured size allows.
+    The snapshot holds the ids queued right now (with ``cluster`` if it is of several); adaptive
+    execution broadcasts it when its measured size allows.
     """
     if live is None:
         return jobs
-    known = live.select(F.col("job_id").alias("_base")).distinct().withColumn("_known", F.lit(True))
-    df = jobs.withColumn("_base", F.substring_index("job_id", ".", 1)).join(known, "_base", "left")
+    where = {"_home": F.col("cluster")} if "cluster" in live.columns else {}
+    known = live.select(F.col("job_id").alias("_base"), *[c.alias(n) for n, c in where.items()]).distinct().withColumn("_known", F.lit(True))
+    df = jobs.withColumns({"_base": F.substring_index("job_id", ".", 1), **where}).join(known, ["_base", *where], "left")
     asked = states.is_state("state", "RUNNING") | F.col("open_ended")
     return df.withColumns(
         {
             "live": F.when(asked, F.coalesce("_known", F.lit(False))).otherwise(F.col("live")),
             "open_ended": asked | F.col("open_ended"),
         }
-    ).drop("_base", "_known")
+    ).drop("_base", "_known", *where)
 
 
 _FILLED = ["max_rss", "ave_rss", "max_vmsize", "max_pages", "max_rss_node", "max_rss_task"]
@@ -122,6 +111,7 @@ def merge_live(
 
     Another owner's job cannot be read: it is flagged ``foreign_owner`` instead.  Only
     NULL fields are filled; the CPU total is the task average times the task count.
+    Counters of several clusters name theirs in ``cluster``.
     """
     going = states.in_progress("state", "live")
     if reader is None:
@@ -131,20 +121,21 @@ def merge_live(
         foreign = F.coalesce(
             (numeric == F.lit(reader.isdigit())) & (F.lower("user") != reader.lower()), F.lit(False)
         )
-    readable = jobs.filter(going & ~foreign).select("alloc_id", "job_id")
-    mine = live.join(readable.select("job_id").distinct(), "job_id", "left_semi")
-    measured = mine.select("job_id").distinct().withColumn("_has", F.lit(True))
-    jobs = jobs.join(measured, "job_id", "left").withColumns(
+    key = ["cluster", "job_id"] if "cluster" in live.columns else ["job_id"]
+    readable = jobs.filter(going & ~foreign).select("alloc_id", *key)
+    mine = live.join(readable.select(*key).distinct(), key, "left_semi")
+    measured = mine.select(*key).distinct().withColumn("_has", F.lit(True))
+    jobs = jobs.join(measured, key, "left").withColumns(
         {
             "live_metrics": F.when(going & F.coalesce("_has", F.lit(False)), True).otherwise(F.col("live_metrics")),
             "foreign_owner": F.when(going & foreign, True).otherwise(F.col("foreign_owner")),
         }
     ).drop("_has")
     named = mine.select(
-        "step_id", *[F.col(c).alias(f"_l_{c}") for c in [*_FILLED, "ave_cpu", "ntasks"]]
+        "step_id", *key[:-1], *[F.col(c).alias(f"_l_{c}") for c in [*_FILLED, "ave_cpu", "ntasks"]]
     )
     target = steps.join(readable.select("alloc_id").withColumn("_mine", F.lit(True)), "alloc_id", "left")
-    df = null_safe_join(target, named, ["step_id"], "left")
+    df = null_safe_join(target, named, ["step_id", *key[:-1]], "left")
     fill = F.coalesce("_mine", F.lit(False)) & states.step_in_progress("state")
     cpu_unread = F.coalesce(F.col("total_cpu") == 0, F.lit(True)) & (F.col("_l_ave_cpu") > 0)
     tasks = F.greatest(

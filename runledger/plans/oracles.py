@@ -465,6 +465,18 @@ SELECT CAST(job_id AS BIGINT) AS job_id, CASE WHEN job_id % 3 = 0 THEN CONCAT('/
 p AS (SELECT event_id AS pid, user_id % 10 AS g, EPOCH_US(ts) // 1000 AS t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS c FROM events)
 SELECT iid AS job_id, COUNT(*) AS candidates, ARG_MIN(pid, ROW(c, ABS(t - a - len), pid)) AS event_id, CAST(ARG_MIN(ABS(t - a - len), ROW(c, ABS(t - a - len), pid)) AS BIGINT) AS distance_ms
 FROM i JOIN p ON p.g = i.g AND t >= a - 60000 AND t <= a + len + 600000 GROUP BY 1""",
+        # All pairs in order; every round keeps those that are first for both sides and drops what they exclude.
+        "greedy_assign": """WITH RECURSIVE i AS (SELECT o_orderkey AS iid, o_custkey % 10 AS g, 1704067200000 + (o_orderkey * 7919) % 2592000 * 1000 AS a,
+  (60 + (o_orderkey * 31) % 7200) * 1000 AS len FROM orders),
+p AS (SELECT event_id AS pid, user_id % 10 AS g, EPOCH_US(ts) // 1000 AS t, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS c FROM events),
+x AS (SELECT iid, pid, CAST(ABS(t - a - len) AS BIGINT) AS d, ROW_NUMBER() OVER (ORDER BY c, ABS(t - a - len), iid, pid) AS k
+  FROM i JOIN p ON p.g = i.g AND t >= a - 60000 AND t <= a + len + 600000),
+r AS (SELECT iid, pid, d, k, FALSE AS taken FROM x UNION ALL
+  SELECT iid, pid, d, k, m FROM (
+    SELECT *, MAX(m) OVER (PARTITION BY iid) OR MAX(m) OVER (PARTITION BY pid) AS excluded FROM (
+      SELECT iid, pid, d, k, k = MIN(k) OVER (PARTITION BY iid) AND k = MIN(k) OVER (PARTITION BY pid) AS m FROM r WHERE NOT taken))
+  WHERE m OR NOT excluded)
+SELECT iid AS job_id, pid AS event_id, d AS distance_ms FROM r WHERE taken""",
         "traceback_markers": "WITH " + _JOBS + """
 SELECT CAST(job_id AS BIGINT) AS job_id, job_id % 3 <> 0 AS device_memory, job_id % 3 <> 0 AS collective, job_id % 3 = 0 AS import_error,
   CASE WHEN job_id % 3 = 0 THEN CONCAT('[rank0]: Traceback (most recent call last):', CHR(10), '  ...', CHR(10), '    two', CHR(10), '    three', CHR(10), '    four', CHR(10), '[rank0]: ImportError: No module named m', job_id % 7) END AS traceback,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states, text
 from ..operators import patterns, reliability, rollup, sizing, workloads
+from ..operators.common import null_safe_join
 from ..operators.findings import severity_rank
 
 # Report sections: output name -> column of job_metrics.
@@ -127,10 +128,10 @@ def job_report(
             "state": "state", "base_state": "_base", "exit_code": "exit_code", "submit": "submit",
             "start": "start", "end": "end", "elapsed_seconds": "elapsed", "node_list": "node_list",
         }
-        tries = attempts.withColumn("_base", states.base_state("state")).groupBy("job_id").agg(
+        tries = attempts.withColumn("_base", states.base_state("state")).groupBy("cluster", "job_id").agg(
             _ordered_list("attempt", _struct(fields)).alias("earlier")
         )
-        df = df.join(tries, "job_id", "left")
+        df = null_safe_join(df, tries, ["cluster", "job_id"], "left")
     if logs is None:
         df = df.withColumns({"log": F.lit(None).cast("string"), "log_expected": F.lit(None).cast("struct<path:string,status:string>")})
     else:

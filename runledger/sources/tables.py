@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import logtext, states, text
+from ..functions import states, text
 from ..functions.hostlist import expand_hosts
+from ..operators import logdigest
+from . import lines
 
 # Log file suffixes and the pattern that lists them.
 LOG_SUFFIXES = [".out", ".err", ".log"]
@@ -148,30 +150,20 @@ def partition_ceilings(nodes: DataFrame) -> DataFrame:
 
 # -- log files -------------------------------------------------------------------------------
 
-def log_files(spark: SparkSession, path: str, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """``(path, dir, name, mtime, size, tail)`` of the log files under ``path``.
+def log_files(spark: SparkSession, path: str, glob: str = LOG_GLOB) -> DataFrame:
+    """``(path, dir, name, mtime, size, log)`` of the log files under ``path``: ``log`` holds what a diagnosis
+    needs of the whole file (``logdigest.DIGEST``), whatever its size.  Spark's sources skip empty files.
 
-    The source loads a file per row, so a file above ``max_bytes`` keeps its listing
-    (it can still be matched to a job) but its text is NULL: tail it before ingest.
-    """
+    The listing reads no content, so a report that needs no text (``drop("log")``) reads none."""
     files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", LOG_GLOB)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    local = F.regexp_replace("path", r"^file:/+", "/")
-    listing = files.select(local.alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    small = files.filter(F.col("length") <= max_bytes).select(
-        local.alias("path"),
-        logtext.newline_normalised(
-            # Broken bytes (a tail may start inside a character) become U+FFFD.
-            F.make_valid_utf8(
-                F.substring("content", -logtext.TAIL_BYTES, logtext.TAIL_BYTES).cast("string")
-            )
-        ).alias("tail"),
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )
-    return with_location(listing).join(small, "path", "left")
+    name = F.regexp_replace("path", r"^file:/+", "/").alias("path")
+    listing = files.select(name, F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    found = logdigest.digests(lines.read_lines(spark, path, glob))
+    parts = [c for c in found.columns if c != "src_file"]
+    told = found.select(lines.local_path(F.col("src_file")).alias("path"), F.struct(*parts).alias("log"))
+    return with_location(listing).join(told, "path", "left")
 
 
 def with_location(files: DataFrame) -> DataFrame:

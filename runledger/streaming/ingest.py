@@ -1,13 +1,52 @@
-"""Dump files as they arrive: each micro-batch becomes normalised tables."""
+"""Dump files as they arrive: every micro-batch is folded into the stored tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import store
+from ..operators.common import cut
 from ..plans import pipeline
 from ..sources import dumps
 
+TABLES = ("jobs", "steps", "attempts", "others")
+
+
+def fold_batch(
+    spark: SparkSession, records: DataFrame, out: str, number: int,
+    fields: list[str] | None = None, delimiter: str = dumps.SAFE_DELIMITER,
+) -> None:
+    """Fold the records of batch ``number`` into the tables under ``out``.
+
+    The batch's typed entries are kept in a folder of its own, which a replay overwrites.  All
+    entries of the ids that it names, of this batch and earlier ones, are attached and folded
+    anew, and replace those ids in each table (a store by day of submission).  So requeues and
+    later dumps are folded over batches as one run over all files would, a replayed batch
+    changes nothing, and days without such an id keep their files.  Rejected records are
+    kept by batch."""
+    typed, rejects = dumps.entries(cut(records), fields, delimiter)
+    entries = f"{out.rstrip('/')}/entries"
+    typed.write.mode("overwrite").parquet(f"{entries}/batch={number}")
+    rejects.write.mode("overwrite").parquet(f"{out.rstrip('/')}/rejects/batch={number}")
+    columns = list(typed.columns)
+    known = spark.read.schema(T.StructType([*typed.schema, T.StructField("batch", T.LongType())])).parquet(entries)
+    ids = cut(known.filter(F.col("batch") == number).select("job_id").distinct())
+    if ids.isEmpty():
+        return
+    # A later batch may be there already when an earlier one is replayed.
+    mine = known.drop("batch").join(ids, "job_id", "left_semi").select(*columns)
+    tables = pipeline.tables_of(mine, rejects)
+    for name in TABLES:
+        store.replace(spark, f"{out.rstrip('/')}/{name}", getattr(tables, name), ids, ["job_id"], F.col("submit"))
+
+
+def read_tables(spark: SparkSession, out: str) -> dict[str, DataFrame | None]:
+    """The tables as folded so far, by name; None before the first batch."""
+    return {name: store.read(spark, f"{out.rstrip('/')}/{name}") for name in TABLES}
+
 
 def start_ingest(
     spark: SparkSession,
@@ -19,23 +58,11 @@ def start_ingest(
     files_per_batch: int = 1000,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Normalise every new dump file under ``path`` into ``out/<table>/batch=<n>``.
-
-    A batch folder is overwritten as a whole, so a replayed batch gives the same tables.
-    Dump files are read whole and must be size-bounded (one per day, for example).
-    """
-    files = (
-        spark.readStream.format("text")
-        .option("wholetext", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(path)
-        .select(*dumps.file_columns(), "value")
-    )
+    """Fold every new dump file under ``path``, of any size, into the tables under ``out`` (``fold_batch``)."""
+    lines = dumps.stream_lines(spark, path, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
-        tables = pipeline.normalize_records(dumps.records_of_files(batch, delimiter), fields, delimiter)
-        for name, df in vars(tables).items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        fold_batch(spark, dumps.records_of(batch, delimiter), out, number, fields, delimiter)
 
-    writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,9 +1,10 @@
 import os
+import re
 
 import pytest
 from conftest import record
 from pyspark.sql import functions as F
-from runledger.operators import refresh, rollup
+from runledger.operators import refresh, rollup, store
 from runledger.plans import pipeline
 from runledger.sources import dumps, tables
 from runledger.streaming import ingest
@@ -75,19 +76,30 @@ def test_metrics_use_the_newest_run(tables_):
     assert m["10"].max_rss == 102400
 
 
-def test_line_mode_equals_whole_file_mode(spark, dump_dir):
-    folder = dump_dir({"a.txt": DUMP, "b.txt": DUMP.replace("10", "20")})
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+@pytest.mark.parametrize("split", ["40", "900", "100000"])
+def test_records_do_not_depend_on_splits(spark, dump_dir, split):
+    """Records with line breaks and carriage returns inside, cut at any byte, as a plain reading gives them."""
+    odd = "junk before\n" + DUMP.replace("\n", "\r\n", 3) + "\n" + record(JobID="77", SubmitLine="a\rb\n\n  c\r\n d") + "\n"
+    folder = dump_dir({"a.txt": odd, "b.txt": DUMP.replace("10", "20"), "c.txt": "no record\nat all", "d.txt": ""})
+    opens = re.compile(r"[ \t]*[0-9][^\s\x1f]*[ \t]*\x1f")
+    want = []
+    for name in "abcd":
+        text = open(f"{folder}/{name}.txt", newline="").read()
+        held = None
+        for line in text.split("\n")[: None if not text.endswith("\n") else -1]:
+            if opens.match(line):
+                held = len(want)
+                want.append((name, line))
+            elif held is not None:
+                want[held] = (name, want[held][1] + "\n" + line)
+    want = [(n, r.removesuffix("\r")) for n, r in want]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
-        split = dumps.read_records(spark, folder, whole_file_limit=0).select("src_file", F.trim("record").alias("r"), "src_pos")
-        whole = dumps.read_records(spark, folder).select("src_file", F.trim("record").alias("r"), "src_pos")
-
-        def listed(df):
-            return [(r.src_file, r.r.rstrip("\n")) for r in df.orderBy("src_file", "src_pos").collect()]
-
-        assert listed(split) == listed(whole)
+        rows = dumps.read_records(spark, folder).orderBy("src_file", "src_pos").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.src_file[-5], r.record) for r in rows] == want
+    assert len({(r.src_file, r.src_pos) for r in rows}) == len(rows)
 
 
 def test_later_dump_replaces_earlier(spark, dump_dir):
@@ -129,9 +141,35 @@ def test_renamed_field_is_read(spark, dump_dir):
 
 
 def test_streaming_ingest(spark, dump_dir, tmp_path):
-    q = ingest.start_ingest(spark, dump_dir({"a.txt": DUMP}), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True)
+    out = str(tmp_path / "out")
+    q = ingest.start_ingest(spark, dump_dir({"a.txt": DUMP}), out, str(tmp_path / "cp"), available_now=True)
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out" / "jobs")).count() == 6
+    got = ingest.read_tables(spark, out)
+    assert got["jobs"].count() == 6 and got["attempts"].count() == 1 and spark.read.parquet(f"{out}/rejects").count() == 1
+
+
+def test_batches_fold_as_one_run_does(spark, dump_dir, tmp_path):
+    """A requeue in a later batch, a later dump of an earlier job, a step that comes late, and a batch replayed."""
+    first = "\n".join([job("1", State="NODE_FAIL"), record(JobID="1.0", TotalCPU="1"), job("2", State="RUNNING", End="Unknown"), job("9", UID="8", User="eve")])
+    second = "\n".join([job("1", Submit="2026-01-02T00:00:00"), record(JobID="1.0", TotalCPU="5"), job("2"), record(JobID="2.batch", TotalCPU="3"), job("9", Submit="2026-01-04T00:00:00")])
+    folder = dump_dir({"d1.txt": first, "d2.txt": second, "d3.txt": job("7", Submit="2026-01-09T00:00:00")})
+    for i in (1, 2, 3):
+        os.utime(f"{folder}/d{i}.txt", (1_000_000 * i, 1_000_000 * i))
+    out = str(tmp_path / "out")
+
+    def fold(number):
+        ingest.fold_batch(spark, dumps.read_records(spark, f"{folder}/d{number}.txt"), out, number)
+
+    def listed(df):
+        return sorted(map(repr, df.select(sorted(df.columns)).collect()))
+
+    fold(1)
+    kept = store.manifest(spark, f"{out}/jobs").days
+    fold(2), fold(3), fold(2)
+    want, got = pipeline.normalize(spark, folder), ingest.read_tables(spark, out)
+    for name in ingest.TABLES:
+        assert listed(got[name]) == listed(getattr(want, name)), name
+    assert got["attempts"].count() == 1 and got["others"].count() == 1 and kept
 
 
 def test_window_and_bounds(spark, make_jobs, make_steps):
@@ -196,19 +234,62 @@ def test_refresh(spark, make_jobs, tmp_path):
     prints = refresh.fingerprints(listing)
     old = make_jobs([{"id": 1, "end": "2026-01-01 00:00:00"}, {"id": 2, "state": "RUNNING", "end": "2026-01-01 00:00:00"}, {"id": 9, "end": "2026-01-02 00:00:00"}])
     changed = refresh.fingerprints(listing.replace("FAILED", "RUNNING", ["state"]).unionByName(listing.limit(1).withColumn("job_id", F.lit("9"))))
-    stored = old.join(changed, "job_id")
+    # A listing without clusters is of one cluster, as is the store it belongs to.
+    old = old.withColumn("cluster", F.lit(None).cast("string"))
+    stored = old.join(changed.drop("cluster"), "job_id")
     actions = {r.job_id: r.action for r in refresh.plan_refresh(listing, stored).collect()}
     assert actions == {"1": "reuse", "2": "changed", "3": "new", "4": "new"}
-    fresh = make_jobs([{"id": 2, "state": "FAILED", "end": "2026-01-03 00:00:00"}, {"id": 3, "state": "RUNNING", "open_ended": True}, {"id": 4, "end": "2026-01-03 00:00:00"}])
-    store = refresh.refresh(listing, stored, fresh)
-    assert sorted((r.job_id, r.state) for r in store.collect()) == [("1", "COMPLETED"), ("2", "FAILED"), ("4", "COMPLETED"), ("9", "COMPLETED")]
+    fresh = make_jobs([{"id": 2, "state": "FAILED", "end": "2026-01-03 00:00:00"}, {"id": 3, "state": "RUNNING", "open_ended": True}, {"id": 4, "end": "2026-01-03 00:00:00"}]).withColumn("cluster", F.lit(None).cast("string"))
+    content = refresh.refresh(listing, stored, fresh)
+    assert sorted((r.job_id, r.state) for r in content.collect()) == [("1", "COMPLETED"), ("2", "FAILED"), ("4", "COMPLETED"), ("9", "COMPLETED")]
+    assert prints.count() == 4
+
+
+def _listing(spark, rows):
+    return spark.createDataFrame(rows, "cluster string, job_id string, pos int, state string, end string")
+
+
+def test_refresh_store(spark, make_jobs, tmp_path):
     path = str(tmp_path / "s")
+    first = [("c", "1", 0, "COMPLETED", "a"), ("c", "2", 0, "COMPLETED", "b"), ("c", "3", 0, "RUNNING", None)]
+    jobs = [{"id": 1, "end": "2026-01-01 10:00:00"}, {"id": 2, "end": "2026-01-02 10:00:00"}, {"id": 3, "state": "RUNNING", "open_ended": True}]
     assert refresh.read_store(spark, path) is None
-    refresh.write_store(store, path)
-    assert refresh.read_store(spark, path).filter("to_date(end) = '2026-01-03'").count() == 2
-    # A moved end: the emptied day is gone, and the store is read and written in one plan.
-    moved = refresh.read_store(spark, path).withColumn("end", F.when(F.col("job_id") == "1", F.expr("end + interval 1 day")).otherwise(F.col("end")))
-    refresh.write_store(moved, path)
-    again = {r.job_id: str(r.end) for r in refresh.read_store(spark, path).collect()}
-    assert again == {"1": "2026-01-02 00:00:00", "2": "2026-01-03 00:00:00", "4": "2026-01-03 00:00:00", "9": "2026-01-02 00:00:00"}
-    assert prints.count() == 4
+    assert refresh.refresh_store(spark, path, _listing(spark, first), make_jobs(jobs)) == ["2026-01-01", "2026-01-02"]
+    before = store.manifest(spark, path)
+    # 1 moves to another day, 3 ends; 2 is as it was, and its day keeps its files.
+    second = [("c", "1", 0, "COMPLETED", "z"), ("c", "2", 0, "COMPLETED", "b"), ("c", "3", 0, "FAILED", "q")]
+    jobs[0]["end"], jobs[2] = "2026-01-03 10:00:00", {"id": 3, "state": "FAILED", "end": "2026-01-03 11:00:00"}
+    assert refresh.refresh_store(spark, path, _listing(spark, second), make_jobs(jobs)) == ["2026-01-01", "2026-01-03"]
+    after = store.manifest(spark, path)
+    assert after.version == 2 and set(after.days) == {"2026-01-02", "2026-01-03"} and after.days["2026-01-02"] == before.days["2026-01-02"]
+    rows = {r.job_id: (r.state, str(r.end)) for r in refresh.read_store(spark, path).collect()}
+    assert rows == {"1": ("COMPLETED", "2026-01-03 10:00:00"), "2": ("COMPLETED", "2026-01-02 10:00:00"), "3": ("FAILED", "2026-01-03 11:00:00")}
+    assert [r.job_id for r in refresh.read_store(spark, path, until="2026-01-02").collect()] == ["2"]
+    # The same listing again changes no day; an old version can still be read until it is cleared away.
+    assert refresh.refresh_store(spark, path, _listing(spark, second), make_jobs(jobs)) == []
+    assert store.read(spark, path, version=1).count() == 2
+    assert [f for f in store.vacuum(spark, path, keep=1)] == sorted([before.days["2026-01-01"]])
+    assert refresh.read_store(spark, path).count() == 3
+
+
+def test_refresh_store_tells_clusters_apart(spark, make_jobs, tmp_path):
+    path = str(tmp_path / "s")
+    both = [("a", "1", 0, "COMPLETED", "x"), ("b", "1", 0, "COMPLETED", "x")]
+    jobs = [{"id": 1, "cluster": "a", "user": "ann", "end": "2026-01-01 10:00:00"}, {"id": 1, "cluster": "b", "user": "bob", "end": "2026-01-01 10:00:00"}]
+    refresh.refresh_store(spark, path, _listing(spark, both), make_jobs(jobs))
+    jobs[0]["user"] = "eve"
+    refresh.refresh_store(spark, path, _listing(spark, [("a", "1", 0, "COMPLETED", "y"), both[1]]), make_jobs(jobs[:1]))
+    assert sorted((r.cluster, r.user) for r in refresh.read_store(spark, path).collect()) == [("a", "eve"), ("b", "bob")]
+
+
+def test_a_store_has_one_writer_per_version(spark, make_jobs, tmp_path):
+    path = str(tmp_path / "s")
+    jobs = make_jobs([{"id": 1, "end": "2026-01-01 10:00:00"}])
+    store.replace(spark, path, jobs, jobs, ["job_id"], F.col("end"))
+    found = store.manifest(spark, path)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(spark, path, found)
+    assert store.manifest(spark, path) == found
+    # All records of a day gone, and none left at all: an empty table with the columns of the store.
+    assert store.replace(spark, path, jobs.limit(0), jobs, ["job_id"], F.col("end")) == ["2026-01-01"]
+    assert store.read(spark, path).count() == 0 and store.read(spark, path).columns == jobs.columns

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 from runledger.functions import logpath as lp
+from runledger.functions import logtext
 from runledger.operators import logmatch
 from runledger.sources import tables
 
@@ -65,13 +66,45 @@ def test_paths_and_status(jobs, files, values):
 
 def test_log_source(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a.out").write_bytes(b"x\r\ny\rz\xff\n")
+    (tmp_path / "d" / "a b+c.out").write_bytes(b"x\r\ny\rz\xff\n")
     (tmp_path / "d" / "b.txt").write_text("no log")
-    big = tmp_path / "d" / "c.log"
-    big.write_bytes(b"h" * 300_000 + b"END")
+    (tmp_path / "d" / "e.err").write_text("")
+    (tmp_path / "d" / "c.log").write_bytes(b"NCCL WARN early\n" + b"h" * 300_000 + b"END")
     rows = {r.name: r for r in tables.log_files(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"a.out", "c.log"}
-    assert rows["a.out"].tail == "x\ny\nz�\n" and rows["a.out"].dir == str(tmp_path / "d")
-    assert len(rows["c.log"].tail) == 256 * 1024 and rows["c.log"].tail.endswith("END") and rows["c.log"].size == 300_003
-    small = {r.name: r.tail for r in tables.log_files(spark, str(tmp_path), max_bytes=1000).collect()}
-    assert small["c.log"] is None and os.path.getsize(big) == 300_003
+    # Spark's file sources skip empty files.
+    assert set(rows) == {"a b+c.out", "c.log"}
+    assert rows["a b+c.out"].log.excerpt == "x\ny\nz\ufffd" and rows["a b+c.out"].dir == str(tmp_path / "d")
+    # However long ago: the whole file counts.
+    assert rows["c.log"].log.collective and not rows["c.log"].log.blank and rows["c.log"].size == 300_019
+    assert rows["c.log"].log.excerpt.endswith("END")
+
+
+TRACE = """[rank0]: Traceback (most recent call last):
+[rank0]:   File a.py, line 3
+
+    one
+    two
+    three
+    four
+[rank0]: ValueError: x
+after
+"""
+
+
+@pytest.mark.parametrize("split", ["7", "60", "1000000"])
+def test_digests_do_not_depend_on_splits(spark, tmp_path, values, split):
+    """Tracebacks over the edges of splits, cut off, repeated, followed by more; as the one-string reading says."""
+    logs = {
+        "a.log": "begin\n" + TRACE + "x\n" * 20 + TRACE.replace("ValueError", "KeyError") + "\n\ntail 1\ntail 2",
+        "b.log": "Traceback (most recent call last):\n  cut off", "c.log": "only\nlines\r\nof\x0ctext  \n\n",
+        "d.log": "\n", "e.log": "Traceback (most recent call last):\nImportError: y\nno module named q\nTraceback (most recent call last):\n  a\n  b\nE: z\n",
+    }
+    for name, text in logs.items():
+        (tmp_path / name).write_text(text, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = {r.name: r.log for r in tables.log_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = values(list(logs.values()), logtext.digest("c"))
+    assert got == dict(zip(logs, want, strict=True))

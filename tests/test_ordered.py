@@ -3,7 +3,7 @@ from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
-from runledger.operators import intervals, ordered, patterns, reliability
+from runledger.operators import assignment, intervals, ordered, patterns, reliability
 
 
 @pytest.fixture(scope="module")
@@ -103,28 +103,66 @@ def sides(spark):
     return left, right, a, b
 
 
-@pytest.mark.parametrize("top", [4, 32])
-def test_window_match_against_brute_force(sides, top, monkeypatch):
-    monkeypatch.setattr(intervals, "MAX_LEVEL", top)
+@pytest.mark.parametrize("chunk", [4, 8192])
+def test_window_match_against_brute_force(sides, chunk):
     left, right, a, b = sides
-    pairs = _pairs(left, right)
-    counts, best = {}, {}
-    for key, iid, pid in pairs:
-        counts[iid] = counts.get(iid, 0) + 1
-        best.setdefault(iid, (pid, key[2]))
-    rows = intervals.window_matches(a, b).collect()
-    assert {r.iid: r.candidates for r in rows} == counts
-    assert {r.iid: (r.pid, r.distance) for r in rows} == best
+    best = {}
+    for key, iid, _ in _pairs(left, right):
+        best.setdefault(iid, [0, key])[0] += 1
+    rows = intervals.window_matches(a, b, chunk).collect()
+    assert {r.iid: (r.candidates, r.pid, r.distance) for r in rows} == {i: (n, k[5], k[2]) for i, (n, k) in best.items()}
 
 
-def test_greedy_match_against_brute_force(sides):
-    left, right, a, b = sides
+def _greedy(pairs):
     used, want = set(), {}
-    for _, iid, pid in _pairs(left, right):
+    for _, iid, pid in pairs:
         if iid not in want and pid not in used:
             want[iid] = pid
             used.add(pid)
-    assert {r.iid: r.pid for r in intervals.greedy_match(a, b).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("size", [4, 4096])
+def test_greedy_match_against_brute_force(sides, size):
+    """Small cells make nearly every interval an edge of several."""
+    left, right, a, b = sides
+    assert {r.iid: r.pid for r in intervals.greedy_match(a, b, size, 16).collect()} == _greedy(_pairs(left, right))
+
+
+def test_greedy_match_through_several_groups(spark):
+    rng = random.Random(5)
+    left, right = [], []
+    for i in range(80):
+        lo = rng.randrange(0, 15_000)
+        mid = lo + rng.choice([0, 700, 5000])
+        left += [(f"j{i:03d}", g, lo, mid, mid + 600, i % 2) for g in sorted(set(rng.choices("uvw", k=2)))]
+    for i in range(70):
+        t = rng.randrange(0, 17_000) // 100 * 100
+        right += [(f"f{i:03d}", g, t, int(i % 9 == 0), i % 3) for g in sorted(set(rng.choices("uvw", k=2)))]
+    a = spark.createDataFrame(left, "iid string, grp string, lo long, mid long, hi long, pref int")
+    b = spark.createDataFrame(right, "pid string, grp string, t long, pclass int, ptie int")
+    assert {r.iid: r.pid for r in intervals.greedy_match(a, b, 8, 16).collect()} == _greedy(_pairs(left, right))
+
+
+def test_a_chain_of_ten_thousand_pairs_takes_few_rounds(spark, monkeypatch):
+    """Every point but the last is nearer to the next interval than to its own: rounds of mutually best
+    pairs would number ten thousand, as the last pair decides the one before it, and so on."""
+    n, w, rounds = 10_000, 30_000, []
+    monkeypatch.setattr(assignment, "_bounded", lambda m, f=assignment._bounded: rounds.append(1) or f(m))
+    k = F.col("id")
+    mid, reach = 2 * w * k - 2 * k * k + k, w - 2 * k + 2
+    a = spark.range(n).select(k.alias("iid"), F.lit("g").alias("grp"), (mid - reach).alias("lo"), mid.alias("mid"), (mid + reach).alias("hi"), F.lit(0).alias("pref"))
+    b = spark.range(n).select(k.alias("pid"), F.lit("g").alias("grp"), (mid + w - 2 * k).alias("t"), F.lit(0).alias("pclass"), F.lit(0).alias("ptie"))
+    mids = [2 * w * i - 2 * i * i + i for i in range(n)]
+    pairs = [
+        ((0, 0, abs(mids[p] + w - 2 * p - mids[i]), 0, i, p), i, p)
+        for i in range(n) for p in (i - 1, i) if p >= 0
+    ]
+    pairs = sorted(x for x in pairs if x[0][2] <= w - 2 * x[1] + 2)
+    assert len(pairs) == 2 * n - 1 and pairs[0][1] == n - 1
+    got = {r.iid: r.pid for r in intervals.greedy_match(a, b).collect()}
+    assert got == _greedy(pairs) and len(got) == n
+    assert len(rounds) <= 6
 
 
 def test_null_tables_rarely_accuse(spark):
