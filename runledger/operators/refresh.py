@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states
 from . import store
-from .common import null_safe_join
+from .common import cut, null_safe_join
 
 KEY = ("cluster", "job_id")
 
@@ -62,7 +62,7 @@ def _added(stale: DataFrame, fresh: DataFrame) -> DataFrame:
     return null_safe_join(_keyed(fresh).filter(is_storable()), stale.select(*KEY, "fingerprint"), list(KEY))
 
 
-def refresh_store(spark: SparkSession, path: str, listing: DataFrame, fresh: DataFrame) -> list[str]:
+def refresh_store(spark: SparkSession, path: str, listing: DataFrame, fresh: DataFrame, grain: str = store.DAYS) -> list[str]:
     """Bring the store at ``path`` up to a listing: records that are new or changed there are taken from
     ``fresh`` (which only they need to be read for), all others stay as they are.  Days of the end date
     that no such record leaves or enters keep their files.  Returns the days that were rewritten."""
@@ -71,8 +71,8 @@ def refresh_store(spark: SparkSession, path: str, listing: DataFrame, fresh: Dat
         known = fingerprints(listing.limit(0))
     else:
         known = stored.select(*KEY, "fingerprint")
-    stale = plan_refresh(listing, known).filter(F.col("action") != "reuse")
-    return store.replace(spark, path, _added(stale, fresh), stale, KEY, F.col("end"))
+    stale = cut(plan_refresh(listing, known).filter(F.col("action") != "reuse"))
+    return store.replace(spark, path, _added(stale, fresh), stale, KEY, F.col("end"), grain)
 
 
 def read_store(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame | None:

@@ -592,4 +592,6 @@ def log_excerpts(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import evidence  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)

@@ -6,6 +6,8 @@ operators, so agreement is evidence for both.
 
 from __future__ import annotations
 
+from . import evidence_sql
+
 _JOBS = """
 h AS (SELECT l_orderkey, MIN(l_suppkey) AS node_id FROM lineitem GROUP BY l_orderkey),
 b AS (SELECT o.*, h.node_id, (o_orderkey * 7919) % 100 AS r, 60 + (o_orderkey * 31) % 7200 AS secs
@@ -292,7 +294,7 @@ def _pick(flag: str, target: str, current: str, observed: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return evidence_sql.SQL | {
         "entity_rates_supplier": _rates(_SUPPLIERS) + f"SELECT entity AS l_suppkey, {_RATE_COLUMNS} FROM v",
         "entity_rates_supplier_summary": _rates(_SUPPLIERS) + _SUMMARY,
         "entity_rates_supplier_stratified": _rates(_SUPPLIERS_BY_BRAND, "p_brand")

@@ -17,7 +17,7 @@ TABLES = ("jobs", "steps", "attempts", "others")
 
 def fold_batch(
     spark: SparkSession, records: DataFrame, out: str, number: int,
-    fields: list[str] | None = None, delimiter: str = dumps.SAFE_DELIMITER,
+    fields: list[str] | None = None, delimiter: str = dumps.SAFE_DELIMITER, grain: str = store.DAYS,
 ) -> None:
     """Fold the records of batch ``number`` into the tables under ``out``.
 
@@ -40,7 +40,7 @@ def fold_batch(
     mine = known.drop("batch").join(ids, "job_id", "left_semi").select(*columns)
     tables = pipeline.tables_of(mine, rejects)
     for name in TABLES:
-        store.replace(spark, f"{out.rstrip('/')}/{name}", getattr(tables, name), ids, ["job_id"], F.col("submit"))
+        store.replace(spark, f"{out.rstrip('/')}/{name}", getattr(tables, name), ids, ["job_id"], F.col("submit"), grain)
 
 
 def read_tables(spark: SparkSession, out: str) -> dict[str, DataFrame | None]:
@@ -57,12 +57,13 @@ def start_ingest(
     delimiter: str = dumps.SAFE_DELIMITER,
     files_per_batch: int = 1000,
     available_now: bool = False,
+    grain: str = store.DAYS,
 ) -> StreamingQuery:
     """Fold every new dump file under ``path``, of any size, into the tables under ``out`` (``fold_batch``)."""
     lines = dumps.stream_lines(spark, path, files_per_batch)
 
     def write(batch: DataFrame, number: int) -> None:
-        fold_batch(spark, dumps.records_of(batch, delimiter), out, number, fields, delimiter)
+        fold_batch(spark, dumps.records_of(batch, delimiter), out, number, fields, delimiter, grain)
 
     writer = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
