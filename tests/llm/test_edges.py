@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 from runledger.llm import (
-    binaryids, decontamination, jaccard, langid, pii, quality, sharding, tokencount, toxicity, unigram,
+    alignment, binaryids, decontamination, fim, jaccard, langid, pii, quality, sharding, superminhash, tokencount, toxicity, unigram,
 )
 
 LONG = "word " * 30_000 + "x" * 20_000
@@ -14,7 +14,7 @@ ROWS = [
     (1, "a plain text of some words that is long enough to be kept by rules", "en"),
 ]
 SCHEMA = "doc_id long, text string, lang string"
-CLASHES = ["score", "row", "node", "shingle", "n_words", "start", "kind", "hash", "ids", "part", "_range", "stratum", "gram", "term"]
+CLASHES = ["score", "predicted", "evidence", "lang_pred", "n_pieces", "ids_crc32", "round_trip", "piece_ids", "n_tokens", "n_unknown", "_line", "_own", "n", "form", "output", "n_a", "_row", "component_id", "bucket", "row", "node", "shingle", "n_words", "start", "kind", "hash", "ids", "part", "_range", "stratum", "gram", "term"]
 
 
 def _tables(spark):
@@ -35,8 +35,7 @@ def _labels(spark, rows=((1, 1, 0), (8, 0, 1), (8, 1, None), (99, 1, 1), (None,
 
 
 def _toxic(spark, docs):
-    narrow = docs.select("doc_id", "text")
-    return toxicity.score(narrow, toxicity.fit(narrow, narrow, _labels(spark)))
+    return toxicity.score(docs, toxicity.fit(docs, docs, _labels(spark)))
 
 
 def _binary(spark, docs, folder):
@@ -51,17 +50,22 @@ OPERATORS = {
     "binary ids": _binary,
     "decontamination": lambda s, d, f: decontamination.decontaminate(d, s.createDataFrame([(1, "plain text"), (2, None), (3, ""), (None, "some words")], "item_id long, text string")),
     "pii": lambda s, d, f: pii.spans(d),
-    "language": lambda s, d, f: langid.predict(d.select("doc_id", "text"), langid.train(d)),
-    "pieces": lambda s, d, f: unigram.encode(d.select("doc_id", "text"), VOCABULARY),
-    "token counts": lambda s, d, f: tokencount.count_tokens(d.select("doc_id", "text"), AUTOMATON),
+    "language": lambda s, d, f: langid.predict(d, langid.train(d)),
+    "pieces": lambda s, d, f: unigram.encode(d, VOCABULARY),
+    "token counts": lambda s, d, f: tokencount.count_tokens(d, AUTOMATON),
     "jaccard": lambda s, d, f: jaccard.similar(d),
+    "minhash": lambda s, d, f: superminhash.groups(d),
+    "alignment": lambda s, d, f: alignment.linked(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
+    "fill in middle": lambda s, d, f: fim.transform(d),
 }
 
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_every_row_comes_back_once(spark, tmp_path, name):
     docs, none = _tables(spark)
-    found = OPERATORS[name](spark, docs, f"{tmp_path}/a").collect()
+    made = OPERATORS[name](spark, docs, f"{tmp_path}/a")
+    assert len(set(made.columns)) == len(made.columns)
+    found = made.collect()
     key = lambda i: (i is not None, i or 0)
     assert sorted((r.doc_id for r in found), key=key) == sorted((r[0] for r in ROWS), key=key)
     assert OPERATORS[name](spark, none, f"{tmp_path}/b").collect() == []

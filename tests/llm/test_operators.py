@@ -87,7 +87,7 @@ def _exact_neighbours(index, vectors, query, skip):
     return order[: index.neighbours], cosine
 
 
-def test_block_maxima_find_the_exact_neighbours():
+def test_index_finds_the_exact_neighbours():
     rng = np.random.default_rng(3)
     n, n_terms = 700, 90
     index = toxicity.Index(np.arange(n_terms, dtype=np.uint64), np.ones(n_terms), np.arange(n), rng.integers(0, 2, n), 9)
