@@ -4,7 +4,8 @@ Each stage is ``f(spark, docs, sf_dir)`` on all documents that the one before ke
 result is written as Parquet and read again before the next.  All but the last return the
 columns of ``documents``.
 
-Nulls: a null text is clean of everything and stays a null text; a null key stays, as it is
+Nulls: a null text is clean of everything and stays a null text (with toxic labels only, every
+text is taken for toxic, null or not); a null key stays, as it is
 linked with nothing.  Rows repeated with key and text are one document after the second
 stage.  Empty tables pass through.  Extra columns of ``documents``, whatever their names, are
 carried along (the last stage leaves out those whose names its own columns need).
@@ -57,8 +58,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = suspects.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_drop")
     doubtful = rows.filter("_maybe").join(names, (F.col("_row.doc_id") == F.col("_id")) & (F.xxhash64("_row.text") == F.col("_hash")), "left")
     doubtful = doubtful.filter("_drop is null or not _drop")
-    # Rows repeated with their key and text: one stays.
-    repeated = doubtful.filter("_drop is not null").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    # Rows repeated with their key and text: one stays, the first by its whole content.
+    first = F.min_by("_row", F.to_json("_row")).alias("_row")
+    repeated = doubtful.filter("_drop is not null").groupBy("_id", "_hash").agg(first)
     return plain.unionByName(doubtful.filter("_drop is null").select("_row.*")).unionByName(repeated.select("_row.*"))
 
 
