@@ -19,10 +19,14 @@ A bucket (one value of one band) is not expanded into all its pairs.  First all
 its hub, the smallest of them.  Verified links are united: each task by union-find over its
 own edges, which leaves a forest, and Spark contracts the forests to components.  Buckets
 whose members are in one component are settled, as a pair inside a component adds nothing.
-In others members get random colours, so many that a bucket forms a few pairs per row, and
-members of one colour and different components meet; every round has a quarter of the
-colours and unites again, until each bucket is settled or had all its members meet.  Large
-buckets are dealt over several tasks.
+
+The sets of all other buckets need not be compared pair by pair either: two of them can only
+be similar if they share one of their first elements in an order by rarity among these sets,
+at places that leave enough of both (what parts two edited copies is rare, so their common
+rest comes too late).  They meet on those elements.  Members of one such element get random
+colours, so many that it forms a few pairs per row, and only members of one colour and
+different components meet; every round has a sixteenth of the colours and unites again, until
+each element is settled or had all its members meet.  Large ones are dealt over several tasks.
 
 Null texts, empty texts and texts without words have an empty set and are linked with nothing;
 a text of fewer than ``SIZE`` words has one element, all its words.  Rows repeated with key and
@@ -42,16 +46,21 @@ from pyspark.sql import functions as F
 
 from ..operators.common import cut
 from . import wordhash as H
+from .bitmaps import bitmap, bits_for, maybe
 from .components import components
-from .jaccard import set_table, verified
+from .jaccard import frequent_shingles, prefix_table, set_table, verified
 
 SIZE = 5
 PERCENT = 85
 ROWS, BANDS = 5, 32
 #: A round looks at about so many pairs per row.
-PAIRS_PER_ROW = 8
-#: Rows of a bucket that one task pairs with the others.
+PAIRS_PER_ROW = 32
+#: Colours of a round, as a share of those of the round before: 1 / FEWER.
+FEWER = 64
+#: Rows of a group that one task pairs with the others.
 BLOCK = 2_000
+#: So many of the most frequent elements are ordered last; a bound on what is broadcast, not on results.
+FREQUENT = 100_000
 #: Edges that one union-find holds.
 FOREST_EDGES = 500_000
 
@@ -167,32 +176,58 @@ def forest(links: DataFrame) -> DataFrame:
     return links.select("x", "y").mapInArrow(run, "x long, y long")
 
 
-def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with the component ``c`` of each and the bucket's
+def _labelled(members: DataFrame, group: str, found: DataFrame) -> DataFrame:
+    """Members of groups that hold several components, with the component ``c`` of each and the group's
     number of rows and of pairs across components."""
     label = found.select("node", F.col("component").alias("c"))
-    rows = cut(members.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("c", "node").alias("c")))
-    parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-    buckets = parts.groupBy("bucket").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count(F.lit(1)).alias("several"))
-    # Half of rows**2 - q; by double, as a bucket may hold billions.
-    open_ = buckets.filter("several > 1").select("bucket", "rows", ((F.col("rows").cast("double") * F.col("rows") - F.col("q")) / 2).alias("pairs"))
-    return rows.join(open_, "bucket")
+    rows = cut(members.join(label, "node", "left").withColumn("c", F.coalesce("c", "node")))
+    parts = rows.groupBy(group, "c").agg(F.count(F.lit(1)).alias("k"))
+    sums = parts.groupBy(group).agg(F.sum("k").alias("rows"), F.sum(F.col("k").cast("double") * F.col("k")).alias("q"), F.count(F.lit(1)).alias("several"))
+    # Half of rows**2 - q; as double, for a group may hold billions of pairs.
+    open_ = sums.filter("several > 1").select(group, "rows", ((F.col("rows").cast("double") * F.col("rows") - F.col("q")) / 2).alias("pairs"))
+    return rows.join(open_, group)
+
+
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, t): one text of each set; only rows whose key may be asked for are shuffled."""
+    wanted = cut(nodes.join(classes.select("node", "_id"), "node"))
+    keys = wanted.select(F.xxhash64("_id").alias("h"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "h", bits_for(keys.count())))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(maybe(bits.value, batch.column(2).to_numpy(zero_copy_only=False))))
+            for piece in H.pieces(part.column(1)):
+                owner, hashes = H.distinct_shingles(piece, size)
+                found, at = np.unique(owner, return_index=True)
+                rows = pa.array(found + piece.first)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(digests(owner, hashes, at)), part.column(1).take(rows)], ["_id", "node", "t"])
+
+    schema = docs.select(F.col("_key").alias("_id")).schema.add("node", "long").add("t", "string")
+    found = docs.select(F.col("_key").alias("_id"), "_text", F.xxhash64("_key")).mapInArrow(sift, schema)
+    # A key may be repeated: the node tells its texts apart, and one copy of each is enough.
+    return cut(found.join(wanted, ["_id", "node"]).groupBy("node").agg(F.first("t").alias("t")))
 
 
 def _meeting(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of this round: one colour, different components, sizes near enough.  ``colours`` is per bucket."""
-    coloured = rows.withColumn("colour", F.pmod(F.xxhash64("node", F.lit(turn)), "colours"))
+    """Pairs of this round: one colour, different components, and sizes and places of the shared element that leave
+    the overlap they need.  ``colours`` is per element."""
+    place = F.shiftrightunsigned(F.col("meta").bitwiseAND(0xFFFFFFFF), 1)
+    n = F.shiftrightunsigned("meta", 32)
+    coloured = rows.withColumns({"colour": F.pmod(F.xxhash64("node", F.lit(turn)), "colours"), "n": n, "left_over": n - place})
     blocks = F.greatest(F.ceil(F.col("rows") / F.col("colours") / BLOCK), F.lit(1)).cast("long")
-    left = coloured.select(
-        "bucket", "colour", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx")
+    left = coloured.filter(F.col("meta").bitwiseAND(1) == 1).select(
+        "shingle", "colour", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.col("node").alias("a"), F.col("n").alias("na"),
+        F.col("left_over").alias("la"), F.col("c").alias("ca"),
     )
     right = coloured.select(
-        "bucket", "colour", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("node").alias("y"),
-        F.col("n").alias("ny"), F.col("c").alias("cy"),
+        "shingle", "colour", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("node").alias("b"),
+        F.col("n").alias("nb"), F.col("left_over").alias("lb"), F.col("c").alias("cb"),
     )
-    met = left.join(right, ["bucket", "colour", "block"]).filter("x < y and cx != cy")
-    near = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    return met.filter(near).select("x", "y").distinct()
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") >= F.col("na")) & (F.least("la", "lb") >= need)
+    met = left.join(right, ["shingle", "colour", "block"]).filter("ca != cb").filter(near)
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
 def groups(
@@ -218,19 +253,23 @@ def groups(
     links = verified(tried, classes, keyed, "_key", "_text", size, percent)
     found = components(forest(links), "x", "y")
 
-    open_rows, turn = _labelled(members, found), 0
-    while True:
-        colours = F.ceil(F.col("pairs") / (PAIRS_PER_ROW * F.col("rows")) / 4.0**turn)
-        open_rows = cut(open_rows.withColumn("colours", F.greatest(colours, F.lit(1)).cast("long")))
-        if open_rows.isEmpty():
-            break
-        turn += 1
-        new = cut(_meeting(open_rows, turn, percent).join(tried, ["x", "y"], "left_anti"))
-        links = links.unionByName(verified(new, classes, keyed, "_key", "_text", size, percent))
-        found = components(forest(links), "x", "y")
-        tried = tried.unionByName(new)
-        # Buckets of one colour had all their members meet.
-        open_rows = _labelled(open_rows.filter("colours > 1").select("bucket", "node", "n"), found)
+    crowded = cut(_labelled(members, "bucket", found).select("node").distinct())
+    if not crowded.isEmpty():
+        texts = _texts(crowded, classes, keyed, size)
+        frequency = frequent_shingles(texts, "t", size, FREQUENT)
+        open_rows, turn = _labelled(cut(prefix_table(texts, "t", size, percent, frequency)), "shingle", found), 0
+        while True:
+            colours = F.ceil(F.col("pairs") / (PAIRS_PER_ROW * F.col("rows")) / float(FEWER**turn))
+            open_rows = cut(open_rows.withColumn("colours", F.greatest(colours, F.lit(1)).cast("long")))
+            if open_rows.isEmpty():
+                break
+            turn += 1
+            new = cut(_meeting(open_rows, turn, percent).join(tried, ["x", "y"], "left_anti"))
+            links = links.unionByName(verified(new, classes, keyed, "_key", "_text", size, percent))
+            found = components(forest(links), "x", "y")
+            tried = tried.unionByName(new)
+            # Elements of one colour had all their members meet.
+            open_rows = _labelled(open_rows.filter("colours > 1").select("shingle", "node", "meta"), "shingle", found)
 
     whole = classes.join(found, "node", "left").select("node", "_id", F.coalesce("component", "node").alias("component"))
     smallest = whole.groupBy("component").agg(F.min("_id").alias("component_id"))
