@@ -148,8 +148,9 @@ def train(
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus ``lang_pred`` and ``score``; one pass, no shuffle."""
-    rest = [c for c in docs.columns if c != text]
+    """``docs`` without its text, plus ``lang_pred`` and ``score`` (which replace columns of those names); one
+    pass, no shuffle."""
+    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -132,9 +132,10 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, automaton: Automaton, text: str = "text") -> DataFrame:
-    """``docs`` without its text, plus ``n_words``, ``n_tokens`` and ``n_unknown``; one pass, no shuffle."""
-    rest = [c for c in docs.columns if c != text]
+    """``docs`` without its text, plus ``n_words``, ``n_tokens`` and ``n_unknown`` (which replace columns of those
+    names); one pass, no shuffle."""
     added = ["n_words", "n_tokens", "n_unknown"]
+    rest = [c for c in docs.columns if c not in (text, *added)]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema
     for name in added:
         schema = schema.add(name, "long")

@@ -212,10 +212,11 @@ def encode(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: bool = True, column: str = "piece_ids"
 ) -> DataFrame:
     """``docs`` with its text, plus ``n_pieces``, ``ids_crc32``, ``round_trip`` (the ids decode to the text)
-    and, if ``ids``, the piece ids (null for a null text).  One pass, no shuffle."""
+    and, if ``ids``, the piece ids (null for a null text); they replace columns of those names.  One
+    pass, no shuffle."""
     import zlib
 
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "n_pieces", "ids_crc32", "round_trip", column)]
     schema = docs.select(*[F.col(f"`{c}`") for c in [*rest, text]]).schema
     schema = schema.add("n_pieces", "long").add("ids_crc32", "long").add("round_trip", "boolean")
     if ids:
