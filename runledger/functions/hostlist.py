@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .memo import memo
 from .text import as_col, digits_to_long
 
-# A wider range names no hosts of one machine: it is kept as written, like a falling one.
-WIDEST_RANGE = 10_000_000
+#: Hosts of a range that are listed at a time.
+_BLOCK = 1 << 16
+#: An array lists no wider range; ``explode_hosts`` lists every one.
+WIDEST_IN_ARRAY = 10_000_000
 
 
 def _range_or_literal(part: Column) -> Column:
@@ -23,7 +25,7 @@ def _range_or_literal(part: Column) -> Column:
             v.cast("string"), F.greatest(width, F.length(v.cast("string"))), F.lit("0")
         ),
     )
-    return F.when((first <= last) & (last - first < WIDEST_RANGE), numbers).otherwise(F.array(part))
+    return F.when((first <= last) & (last - first < WIDEST_IN_ARRAY), numbers).otherwise(F.array(part))
 
 
 def _choices(token: Column) -> Column:
@@ -43,20 +45,86 @@ def _expand_one(chunk: Column) -> Column:
     return F.aggregate(tokens, F.array(F.lit("")), extend)
 
 
+def _chunks(c: Column) -> Column:
+    return F.filter(F.split(c, r",(?![^\[]*\])"), lambda p: F.length(p) > 0)
+
+
+def _no_hosts(c: Column) -> Column:
+    return c.isNull() | c.startswith("None") | (F.length(c) == 0)
+
+
+_BRACKET = r"^([^\[]*(?:\[(?![^\[\]]+\])[^\[]*)*)\[([^\[\]]+)\](.*)$"
+
+
+def explode_hosts(df: DataFrame, column: str, name: str = "node") -> DataFrame:
+    """One row per host of ``column`` in ``name``, besides the other columns; rows without hosts give none.
+
+    A list is never held expanded: brackets are resolved one after the other, ranges in blocks
+    of numbers, so the product of many wide brackets is only rows that stream by.  The number of
+    passes is the largest number of brackets in a name (one figure over the column)."""
+    c = F.col(column)
+    kept = [F.col(f"`{x}`") for x in df.columns if x not in (column, name)]
+    named = df.filter(~_no_hosts(c))
+    depth = named.agg(F.max(F.size(F.regexp_extract_all(c, F.lit(r"(\[[^\[\]]+\])"), F.lit(1))))).first()[0] or 0
+    rows = named.select(*kept, F.explode(F.when(~c.rlike(r"[\[,]"), F.array(c)).otherwise(_chunks(c))).alias("_rest"), F.lit("").alias("_host"))
+    for _ in range(depth):
+        open_ = F.col("_rest").rlike(_BRACKET)
+        body = F.split(F.regexp_extract("_rest", _BRACKET, 2), ",")
+        parts = F.filter(F.transform(body, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+        # A name without a bracket passes as it is.
+        whole = F.array(F.lit(None).cast("string"))
+        rows = rows.select(*kept, "_rest", "_host", open_.alias("_open"), F.explode(F.when(open_, parts).otherwise(whole)).alias("_part"))
+        part = F.col("_part")
+        low = F.substring_index(part, "-", 1)
+        first = digits_to_long(low)
+        last = digits_to_long(F.when(part.contains("-"), F.regexp_extract(part, r"^[^-]*-(.*)$", 1)))
+        ranged = F.coalesce(first <= last, F.lit(False))
+        blocks = F.when(ranged, F.sequence(F.lit(0).cast("long"), F.expr(f"(_last - _first) div {_BLOCK}"))).otherwise(F.array(F.lit(None).cast("long")))
+        rows = rows.withColumns({"_first": first, "_last": last, "_width": F.length(low), "_ranged": ranged}).withColumn("_block", F.explode(blocks))
+        start = F.col("_first") + F.col("_block") * _BLOCK
+        numbers = F.when(F.col("_ranged"), F.sequence(start, F.least(start + (_BLOCK - 1), F.col("_last")))).otherwise(F.array(F.lit(None).cast("long")))
+        rows = rows.withColumn("_number", F.explode(numbers))
+        digits = F.col("_number").cast("string")
+        value = F.when(F.col("_ranged"), F.lpad(digits, F.greatest(F.col("_width"), F.length(digits)), F.lit("0"))).otherwise(F.col("_part"))
+        rows = rows.select(
+            *kept, F.when(F.col("_open"), F.regexp_extract("_rest", _BRACKET, 3)).otherwise(F.lit("")).alias("_next"),
+            F.when(F.col("_open"), F.concat("_host", F.regexp_extract("_rest", _BRACKET, 1), value)).otherwise(F.concat("_host", "_rest")).alias("_host"),
+        ).withColumnRenamed("_next", "_rest")
+    return rows.select(*kept, F.concat("_host", "_rest").alias(name))
+
+
 @memo
 def expand_hosts(node_list) -> Column:
-    """Array of all host names; NULL and "None ..." give an empty array."""
+    """Array of the host names, for lists that a row can hold: a range of ``WIDEST_IN_ARRAY`` or more stays as
+    written (``explode_hosts`` has no such bound).  NULL and "None ..." give an empty array."""
     c = as_col(node_list)
-    chunks = F.filter(F.split(c, r",(?![^\[]*\])"), lambda p: F.length(p) > 0)
+    chunks = _chunks(c)
     expanded = F.flatten(F.transform(chunks, _expand_one))
     # The common list is one plain name: skip the token machinery for it.
     return (
-        F.when(c.isNull() | c.startswith("None") | (F.length(c) == 0), F.array().cast("array<string>"))
+        F.when(_no_hosts(c), F.array().cast("array<string>"))
         .when(~c.rlike(r"[\[,]"), F.array(c))
         .otherwise(expanded)
     )
 
 
+@memo
+def first_host(node_list) -> Column:
+    """The first name of a list, whatever its length."""
+    c = as_col(node_list)
+    tokens = F.regexp_extract_all(F.get(_chunks(c), F.lit(0)), F.lit(r"(\[[^\[\]]+\]|[^\[\]]+|[\[\]])"), F.lit(1))
+
+    def choice(token: Column) -> Column:
+        body = F.split(F.regexp_replace(token, r"^\[|\]$", ""), ",")
+        part = F.get(F.filter(F.transform(body, lambda p: F.trim(p)), lambda p: F.length(p) > 0), F.lit(0))
+        low = F.substring_index(part, "-", 1)
+        last = digits_to_long(F.when(part.contains("-"), F.regexp_extract(part, r"^[^-]*-(.*)$", 1)))
+        return F.when(~token.rlike(r"^\[.+\]$"), token).when(digits_to_long(low) <= last, low).otherwise(part)
+
+    name = F.aggregate(tokens, F.lit(""), lambda head, t: F.concat(head, choice(t)))
+    return F.when(~_no_hosts(c), F.when(~c.rlike(r"[\[,]"), c).otherwise(name))
+
+
 def compress_hosts(df: DataFrame, by: list[str], host: str, name: str = "node_list") -> DataFrame:
     """Distinct hosts per ``by`` as one bracketed list (consecutive runs merged)."""
     hosts = df.select(*by, F.col(host).alias("_host")).distinct().select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text
-from .hostlist import expand_hosts
+from .hostlist import first_host
 from .memo import memo
 
 # Conventional log names, subdirectories and suffixes, in search order.
@@ -50,7 +50,7 @@ def pattern_values() -> Column:
         "s": F.lit("batch"),
         "u": F.col("user"),
         "x": F.col("name"),
-        "N": F.get(expand_hosts("node_list"), 0),
+        "N": first_host("node_list"),
         "n": F.lit("0"),
         "t": F.lit("0"),
     }

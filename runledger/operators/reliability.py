@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, states, stats, text
-from ..functions.hostlist import compress_hosts, expand_hosts
+from ..functions.hostlist import compress_hosts, explode_hosts
 from .common import cut, null_safe_join, top_per_group
 
 MIN_TRIALS = 10
@@ -229,13 +229,14 @@ def _event(metric: str) -> Column:
 
 def placements(metrics: DataFrame, metric: str = "failure", keep: Sequence[str] = ()) -> DataFrame:
     """One row per usable, informative job and host it ran on (repeats kept)."""
-    return metrics.filter(states.usable() & informative(metric)).select(
+    rows = metrics.filter(states.usable() & informative(metric)).select(
         F.col("folded_name").alias("workload_name"),
         F.col("user").alias("workload_user"),
         *keep,
         _event(metric).alias("hit"),
-        F.explode(expand_hosts("node_list")).alias("node"),
+        "node_list",
     )
+    return explode_hosts(rows, "node_list")
 
 
 def in_stratum(df: DataFrame, name: str, user: str | None = None) -> DataFrame:
@@ -343,8 +344,9 @@ def node_notes(metrics: DataFrame, history: DataFrame | None = None) -> DataFram
         "alloc_id", "job_id", "name",
         F.col("folded_name").alias("workload_name"),
         F.col("user").alias("workload_user"),
-        F.explode(expand_hosts("node_list")).alias("node"),
+        "node_list",
     )
+    hosts = explode_hosts(hosts, "node_list")
     enough = history.filter(states.usable()).agg(F.count("*") > MIN_HISTORY)
     hit = null_safe_join(hosts, worse, [*WORKLOAD, "node"])
     label = F.when(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, logtext, text
-from ..functions.hostlist import expand_hosts
+from ..functions.hostlist import explode_hosts
 from ..operators import attach, intervals, logmatch, ordered, refresh
 from ..operators import findings as D
 from ..operators import patterns as PT
@@ -238,7 +238,7 @@ def memory_contradiction(spark, sf_dir):
 @query
 def patterns_report(spark, sf_dir):
     found = PT.patterns(P.metrics(spark, sf_dir), P.attempts(spark, sf_dir))
-    return found.filter(F.col("scope") != "requeue").select("scope", "position", *W.KEY, "hits")
+    return found.select("scope", "position", *W.KEY, r6("weight"), "hits")
 
 
 def _advice(df: DataFrame, flag: str) -> DataFrame:
@@ -310,7 +310,7 @@ def findings_strict(spark, sf_dir):
 @query
 def hostlist_expand_count(spark, sf_dir):
     jobs = P.acct_jobs(spark, sf_dir)
-    return jobs.select(F.explode(expand_hosts("node_list")).alias("node")).groupBy("node").agg(
+    return explode_hosts(jobs.select("node_list"), "node_list").groupBy("node").agg(
         F.count("*").alias("placements")
     )
 
@@ -417,8 +417,7 @@ def requeue_fold(spark, sf_dir):
     rows = jobs.unionByName(tries).withColumns(
         {"user": F.lit(None).cast("string"), "src_file": F.lit("d"), "place": F.lit(0)}
     )
-    kept = attach.fold_requeues(rows).filter(F.col("role") == "attempt")
-    return kept.select(big("job_id"), big("attempt"), "state", big("elapsed_s"))
+    return attach.fold_requeues(rows).select(big("job_id"), "role", big("attempt"), "state", big("elapsed_s"))
 
 
 @query

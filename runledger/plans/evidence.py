@@ -8,18 +8,21 @@ does not.  Everything is derived from whole tables and grows with them.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import formats as fmt
-from ..functions import states, text
+from ..functions import hostlist, states, text
 from ..operators import findings as D
-from ..operators import logmatch, refresh, reliability, rollup, store
+from ..operators import logmatch, refresh, rollup, store
+from ..operators import workloads as W
 from ..operators.common import checkpoint_dir, cut
-from ..sources import dumps, tables
+from ..sources import dumps, sinks, tables
 from ..streaming import ingest
+from . import pipeline
 from . import projections as P
 from .contract import big, query, r6
 
@@ -242,6 +245,28 @@ def stream_fold(spark, sf_dir):
     return jobs.select(big("job_id"), "state", F.date_format("submit", "yyyy-MM-dd").alias("day"), r6("cpu"), F.coalesce("attempts", F.lit(0).cast("long")).alias("attempts"))
 
 
+@query
+def section_counters(spark, sf_dir):
+    """Dump records of which some are shifted by a delimiter in a name; a section over the jobs of a window says
+    what it covers and what reading refused."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    fields = ["JobID", "JobName", "User", "Partition", "State", "Submit", "Start", "End", "Elapsed"]
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    name = F.when(k % 10 == 0, "a|b").otherwise(F.concat(F.lit("n"), (F.col("o_custkey") % 5).cast("string")))
+    values = [k.cast("string"), name, F.lit("ann"), F.lit("p"), F.when(k % 4 == 0, "FAILED").otherwise("COMPLETED"), at, at, at, F.lit("00:10:00")]
+    P.table(spark, sf_dir, "orders").select(F.concat_ws("|", *values)).write.text(path)
+    t = pipeline.normalize(spark, path, fields, "|")
+    jobs = tables.jobs_in_window(t.jobs, since="1995-01-01", until="1997-01-01T00:00:00")
+    section, _ = sinks.overview_section(pipeline.job_metrics(jobs, t.steps))
+    told = sinks.covering(section, "1995-01-01", "1997-01-01", t.counters)
+    return told.select(
+        F.col("window.since").alias("since"), F.col("window.until").alias("until"), F.lit(t.counters["records"]).cast("long").alias("records"),
+        F.coalesce(F.col("dropped_rows")["extra_fields"], F.lit(0)).alias("extra_fields"),
+        big("jobs"), big("failed"),
+    )
+
+
 # -- texts ---------------------------------------------------------------------------------------------------------
 
 @query
@@ -255,3 +280,46 @@ def texts_of_figures(spark, sf_dir):
     return items.groupBy(
         fmt.duration_text("s").alias("duration"), fmt.bytes_text("b").alias("bytes"), fmt.percent_text("p").alias("share"), fmt.clock_text("hz").alias("clock")
     ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def hostlist_wide(spark, sf_dir):
+    """Lists of several brackets and names; one of 15 000 is a product of a million hosts."""
+    k = F.col("o_orderkey")
+    n = F.when(k % 60_000 == 1, 1000).otherwise(k % 7 + 1)
+    listed = F.concat(F.lit("r["), (k % 3).cast("string"), F.lit("-"), n.cast("string"), F.lit("]n[001-"), n.cast("string"), F.lit(",login],x"), (k % 5).cast("string"))
+    rows = P.table(spark, sf_dir, "orders").select(k.alias("job_id"), listed.alias("node_list"))
+    return hostlist.explode_hosts(rows, "node_list").groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("hosts"), F.min("node").alias("first"), F.max("node").alias("last")
+    )
+
+
+@query
+def workload_orders(spark, sf_dir):
+    """The first 25 workloads in each of the six orders, with their places."""
+    found = cut(W.workloads(P.metrics(spark, sf_dir)))
+    tops = []
+    for mode in W.SORT_MODES:
+        order = W.workload_order(mode)
+        top = found.orderBy(*order).limit(25)
+        tops.append(top.select(F.lit(mode).alias("mode"), *W.KEY, F.row_number().over(Window.orderBy(*order)).cast("long").alias("place")))
+    return reduce(DataFrame.unionByName, tops)
+
+
+@query
+def site_settings(spark, sf_dir):
+    """Settings of one cluster per supplier: gathering, tracked resources, sampling interval."""
+    k = F.col("s_suppkey")
+    settings = P.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("cluster"),
+        F.explode(F.array(
+            F.struct(F.lit("JobAcctGatherType").alias("key"), F.when(k % 3 == 0, "(null)").when(k % 3 == 1, "jobacct_gather/cgroup").otherwise("jobacct_gather/linux").alias("value")),
+            F.struct(F.lit("AccountingStorageTRES").alias("key"), F.when(k % 4 == 0, "cpu, mem").when(k % 4 == 1, "cpu,gres/gpu:a100,gres/gpuutil").otherwise("gres/gpu,").alias("value")),
+            F.struct(F.lit(" JobAcctGatherFrequency ").alias("key"), _pick(["network=60,task=30", "45", "0", "task=x", "energy=3", "Task = 15 "], k).alias("value")),
+            F.struct(F.lit("SLURM_VERSION").alias("key"), F.concat(F.lit("24."), (k % 12).cast("string")).alias("value")),
+        )).alias("s"),
+    ).select("cluster", "s.key", "s.value")
+    found = tables.site_config(settings)
+    return found.select(
+        "cluster", "version", "gather_type", F.array_join("tres", "|").alias("tres"), big("sampling_seconds"), "from_cgroup", "tracks_gpu", "tracks_gpu_utilization",
+    )

@@ -160,6 +160,19 @@ touched AS (SELECT STRFTIME(day, '%Y-%m') AS m FROM e WHERE moved OR late UNION
 SELECT STRFTIME(day, '%Y-%m') AS month, COUNT(*) AS jobs, COUNT(*) FILTER (WHERE moved) AS failed, STRFTIME(day, '%Y-%m') NOT IN (SELECT m FROM touched) AS files_kept FROM e GROUP BY 1, 4""",
     "stream_fold": """SELECT o_orderkey AS job_id, 'COMPLETED' AS state, STRFTIME(o_orderdate + INTERVAL '1' DAY * CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 0 END, '%Y-%m-%d') AS day,
   CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 30 + 100 ELSE o_orderkey % 50 + 1 END AS DOUBLE) AS cpu, CAST(o_orderkey % 7 = 0 AS BIGINT) AS attempts FROM orders""",
+    "section_counters": """WITH j AS (SELECT *, o_orderkey % 10 = 0 AS wide FROM orders),
+w AS (SELECT * FROM j WHERE NOT wide AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1997-01-01')
+SELECT '1995-01-01' AS since, '1997-01-01' AS until, (SELECT COUNT(*) FROM j) AS records, (SELECT COUNT(*) FROM j WHERE wide) AS extra_fields,
+  COUNT(*) AS jobs, COUNT(*) FILTER (WHERE o_orderkey % 4 = 0) AS failed FROM w""",
+    "hostlist_wide": """WITH j AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 60000 = 1 THEN 1000 ELSE o_orderkey % 7 + 1 END AS n FROM orders),
+r AS (SELECT k, CASE WHEN n >= k % 3 THEN CAST(v AS VARCHAR) ELSE (k % 3) || '-' || n END AS a, n FROM (SELECT k, n, UNNEST(CASE WHEN n >= k % 3 THEN RANGE(k % 3, n + 1) ELSE [0] END) AS v FROM j)),
+c AS (SELECT k, 'r' || a || 'n' || b AS h FROM (SELECT k, a, UNNEST(LIST_TRANSFORM(RANGE(1, n + 1), lambda v: CASE WHEN LENGTH(CAST(v AS VARCHAR)) >= 3 THEN CAST(v AS VARCHAR) ELSE LPAD(CAST(v AS VARCHAR), 3, '0') END) || ['login']) AS b FROM r)
+  UNION ALL SELECT k, 'x' || (k % 5) FROM j)
+SELECT k AS job_id, COUNT(*) AS hosts, MIN(h) AS first, MAX(h) AS last FROM c GROUP BY 1""",
+    "site_settings": """WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 1 THEN 'jobacct_gather/cgroup' WHEN 2 THEN 'jobacct_gather/linux' END AS g,
+  CASE s_suppkey % 4 WHEN 0 THEN 'cpu|mem' WHEN 1 THEN 'cpu|gres/gpu:a100|gres/gpuutil' ELSE 'gres/gpu' END AS t FROM supplier)
+SELECT 'c' || k AS cluster, '24.' || (k % 12) AS version, g AS gather_type, t AS tres, [30, 45, NULL, NULL, NULL, 15][1 + k % 6] AS sampling_seconds,
+  CONTAINS(g, 'cgroup') AS from_cgroup, k % 4 <> 0 AS tracks_gpu, k % 4 = 1 AS tracks_gpu_utilization FROM s""",
     "texts_of_figures": f"""WITH x AS (SELECT l_extendedprice * (l_partkey % 7) AS s, l_extendedprice * POW(10e0, l_linenumber * 2) AS b,
   CASE WHEN l_linenumber <> 4 THEN l_discount * l_tax / 8 END AS p, l_extendedprice * 1e5 + 1 AS hz FROM lineitem)
 SELECT {_duration('s')} AS duration, {_bytes('b')} AS bytes, {_share('p')} AS share,

@@ -293,8 +293,18 @@ def _pick(flag: str, target: str, current: str, observed: str) -> str:
   ROUND(CAST({observed} AS DOUBLE), 6) AS observed FROM f"""
 
 
+_ORDERS = {
+    "cost": "cost DESC, runs DESC", "failures": "problems DESC, cost DESC", "rate": "COALESCE(failure_rate, 0) DESC, runs DESC",
+    "recent": "last_seen IS NULL, last_seen DESC, workload_name", "runs": "runs DESC, workload_name", "name": "LOWER(workload_name), workload_partition",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return evidence_sql.SQL | {
+        "workload_orders": _WORKLOADS + " UNION ALL ".join(
+            f"SELECT * FROM (SELECT '{mode}' AS mode, {_WKEY}, ROW_NUMBER() OVER (ORDER BY {order}, {_WKEY}) AS place FROM ws) WHERE place <= 25"
+            for mode, order in _ORDERS.items()
+        ),
         "entity_rates_supplier": _rates(_SUPPLIERS) + f"SELECT entity AS l_suppkey, {_RATE_COLUMNS} FROM v",
         "entity_rates_supplier_summary": _rates(_SUPPLIERS) + _SUMMARY,
         "entity_rates_supplier_stratified": _rates(_SUPPLIERS_BY_BRAND, "p_brand")
@@ -380,15 +390,21 @@ SELECT {_WKEY}, oom_kills, CAST(smallest_limit AS BIGINT) AS smallest_limit, CAS
   smallest_limit < largest_limit AS searching, n_decreases = 0 AS monotone FROM mw""",
         "memory_contradiction": _MEMORY + f"""
 SELECT {_WKEY}, CAST(contradicting_job AS BIGINT) AS contradicting_job FROM mw JOIN ct USING ({_WKEY})""",
-        "patterns_report": _REPEAT + f""",
+        "patterns_report": _REPEAT + "," + _ATTEMPTS + f""",
 rf AS (SELECT {_WKEY}, wasted, failures, ROW_NUMBER() OVER (ORDER BY wasted DESC, failures DESC, {_WKEY}) AS k FROM g
   WHERE runs >= 5 AND failures >= 5 AND failures >= 0.5 * runs),
 om AS (SELECT {_WKEY}, COUNT(*) AS n FROM u WHERE state = 'OUT_OF_MEMORY' GROUP BY 1, 2, 3, 4 HAVING COUNT(*) >= 3),
-ok AS (SELECT *, ROW_NUMBER() OVER (ORDER BY n DESC, {_WKEY}) AS k FROM om)
-SELECT 'repeat' AS scope, 0 AS position, {_WKEY}, CAST(failures AS BIGINT) AS hits FROM rf WHERE k <= 4
-UNION ALL SELECT 'memory', 0, {_WKEY}, n FROM ok WHERE k <= 4
-UNION ALL SELECT 'repeat', 1, NULL, NULL, NULL, NULL, CAST(SUM(failures) AS BIGINT) FROM rf WHERE k > 4 HAVING COUNT(*) > 0
-UNION ALL SELECT 'memory', 1, NULL, NULL, NULL, NULL, CAST(SUM(n) AS BIGINT) FROM ok WHERE k > 4 HAVING COUNT(*) > 0""",
+ok AS (SELECT *, ROW_NUMBER() OVER (ORDER BY n DESC, {_WKEY}) AS k FROM om),
+ra AS (SELECT {_WKEY}, a.job_id, a.elapsed_s FROM u JOIN acct_attempts a ON a.job_id = u.job_id WHERE a.end_ts IS NOT NULL),
+rg AS (SELECT {_WKEY}, COUNT(DISTINCT job_id) AS requeued, SUM(elapsed_s) AS abandoned FROM ra GROUP BY 1, 2, 3, 4),
+rq AS (SELECT {_WKEY}, abandoned, requeued, ROW_NUMBER() OVER (ORDER BY abandoned DESC, requeued DESC, {_WKEY}) AS k FROM g JOIN rg USING ({_WKEY})
+  WHERE requeued >= 3 AND requeued >= 0.1 * runs)
+SELECT 'repeat' AS scope, 0 AS position, {_WKEY}, ROUND(CAST(wasted AS DOUBLE), 6) AS weight, CAST(failures AS BIGINT) AS hits FROM rf WHERE k <= 4
+UNION ALL SELECT 'memory', 0, {_WKEY}, CAST(n AS DOUBLE), n FROM ok WHERE k <= 4
+UNION ALL SELECT 'requeue', 0, {_WKEY}, CAST(abandoned AS DOUBLE), requeued FROM rq WHERE k <= 4
+UNION ALL SELECT 'repeat', 1, NULL, NULL, NULL, NULL, ROUND(CAST(SUM(wasted) AS DOUBLE), 6), CAST(SUM(failures) AS BIGINT) FROM rf WHERE k > 4 HAVING COUNT(*) > 0
+UNION ALL SELECT 'memory', 1, NULL, NULL, NULL, NULL, CAST(SUM(n) AS DOUBLE), CAST(SUM(n) AS BIGINT) FROM ok WHERE k > 4 HAVING COUNT(*) > 0
+UNION ALL SELECT 'requeue', 1, NULL, NULL, NULL, NULL, CAST(SUM(abandoned) AS DOUBLE), CAST(SUM(requeued) AS BIGINT) FROM rq WHERE k > 4 HAVING COUNT(*) > 0""",
         "sizing_walltime": _WALL + _pick("--time", "target", "t_current", "t_longest"),
         "sizing_memory": _MEM + _pick("--mem", "target", "m_current", "CASE WHEN m_oom > 0 THEN m_floor ELSE m_peak END"),
         "sizing_cpu": _CPU + _pick("--cpus-per-task", "target", "c_current", "CASE WHEN c_fit >= 3 THEN c_peak END"),
@@ -430,7 +446,9 @@ SELECT CAST(job_id AS BIGINT) AS job_id, CAST(cpus AS BIGINT) AS cpu_count, CAST
 f AS (SELECT *, (job_id + attempt) % 4 = 0 AS other FROM acct_attempts),
 g AS (SELECT *, MAX(CASE WHEN other THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY attempt) = 0 AS kept FROM f),
 n AS (SELECT *, COUNT(*) OVER (PARTITION BY job_id) AS c FROM g WHERE kept)
-SELECT CAST(job_id AS BIGINT) AS job_id, c - attempt + 1 AS attempt, state, CAST(elapsed_s AS BIGINT) AS elapsed_s FROM n""",
+SELECT CAST(job_id AS BIGINT) AS job_id, 'attempt' AS role, c - attempt + 1 AS attempt, state, CAST(elapsed_s AS BIGINT) AS elapsed_s FROM n
+UNION ALL SELECT CAST(job_id AS BIGINT), 'other', NULL, state, CAST(elapsed_s AS BIGINT) FROM g WHERE NOT kept
+UNION ALL SELECT CAST(job_id AS BIGINT), 'job', NULL, state, CAST(elapsed_s AS BIGINT) FROM acct_jobs""",
         "window_scan": "WITH " + _JOBS + "," + _STEPS + """
 SELECT CAST(j.job_id AS BIGINT) AS job_id, j.state, COUNT(*) AS steps FROM acct_jobs j JOIN acct_steps t ON t.job_id = j.job_id
 WHERE (end_ts IS NULL OR end_ts >= TIMESTAMP '1998-01-01') AND start_ts <= TIMESTAMP '1998-07-01' AND partition_name = 'p1'

@@ -143,6 +143,14 @@ def job_report(
     )
 
 
+def covering(section: DataFrame, since: str | None = None, until: str | None = None, counters: dict[str, int] | None = None) -> DataFrame:
+    """A section's rows with what they cover: the window, and the records that reading refused (NULL if none)."""
+    refused = {k: v for k, v in (counters or {}).items() if k != "records" and v}
+    pairs = [x for k, v in sorted(refused.items()) for x in (F.lit(k), F.lit(v).cast("long"))]
+    window = F.struct(F.lit(since).cast("string").alias("since"), F.lit(until).cast("string").alias("until"))
+    return section.withColumns({"window": window, "dropped_rows": (F.create_map(*pairs) if pairs else F.lit(None)).cast("map<string,bigint>")})
+
+
 def write_json(report: DataFrame, path: str) -> None:
     """One document per job, measured absences kept as explicit nulls."""
     report.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

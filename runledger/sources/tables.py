@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import states, text
-from ..functions.hostlist import expand_hosts
+from ..functions.hostlist import explode_hosts
 from ..operators import logdigest
 from . import lines
 
@@ -81,8 +81,10 @@ def live_jobs(lines: DataFrame, column: str = "value") -> DataFrame:
     """Distinct ids of a queue listing; ``900_[5-10%2]`` also counts as its tasks."""
     token = F.trim(F.col(column))
     plain = F.regexp_replace(token, r"%[0-9]+", "")
-    ids = F.when(token.contains("["), F.concat(F.array(token), expand_hosts(plain))).otherwise(F.array(token))
-    return lines.filter(F.length(token) > 0).select(F.explode(ids).alias("job_id")).distinct()
+    rows = lines.filter(F.length(token) > 0).select(token.alias("job_id"), F.when(token.contains("["), plain).alias("_tasks"))
+    # A pending array may name millions of tasks in one line.
+    tasks = explode_hosts(rows.select("_tasks"), "_tasks", "job_id")
+    return rows.select("job_id").unionByName(tasks).distinct()
 
 
 def live_step_metrics(rows: DataFrame) -> DataFrame:

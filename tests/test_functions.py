@@ -84,6 +84,23 @@ def test_expand_hosts(values):
     assert values(["n[1-999999999]"], hostlist.expand_hosts("c")) == [["n1-999999999"]]
 
 
+def test_explode_hosts(spark, monkeypatch):
+    """Row by row what the array holds, for any block; and lists that no array could hold."""
+    df = spark.createDataFrame([(i, h) for i, h in enumerate([*HOSTS, None])], "i long, c string")
+    want = sorted((i, h) for i, hosts in enumerate(HOSTS.values()) for h in hosts)
+    for block in (1, 3, 1 << 16):
+        monkeypatch.setattr(hostlist, "_BLOCK", block)
+        assert sorted(map(tuple, hostlist.explode_hosts(df, "c").collect())) == want
+    wide = spark.createDataFrame([("a[1-2000]b[001-500],x",), ("n[5-12000004]",)], "c string")
+    got = hostlist.explode_hosts(wide, "c").agg(F.count("*"), F.min("node"), F.max("node"), F.count_if(F.length("node") == 9)).first()
+    assert tuple(got) == (1_000_001 + 12_000_000, "a1000b001", "x", 1001 * 500 + 2_000_005)
+
+
+def test_first_host(values):
+    assert values(list(HOSTS), hostlist.first_host("c")) == [h[0] if h else None for h in HOSTS.values()]
+    assert values(["n[007-999999999],m", None], hostlist.first_host("c")) == ["n007", None]
+
+
 def test_compress_hosts(spark):
     names = [("a", h) for h in ["n01", "n02", "n03", "n07", "n10", "login", "m5", "n1", "n02"]]
     df = spark.createDataFrame(names, "g string, h string")
