@@ -15,7 +15,7 @@ the text is read, and the others are joined by term.
 
 Votes are weighted by 1 / (distance + ``SOFTNESS``).  A monotone fit of the examples'
 leave-one-out votes to their labels, weighted back to the labelled rows' class shares, turns
-a vote into the score.  A text that shares no term with an example gets the toxic share of
+a vote into the score; the votes are made in tasks and come back as numbers.  A text that shares no term with an example gets the toxic share of
 examples without any.  Evidence is the list of nearest examples with their cosines and labels.
 
 At most ``MAX_EXAMPLES`` labelled rows per class teach (all, if there are fewer; chosen by a
@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,8 @@ SLACK = 2e-4
 #: Texts compared at once.
 BATCH = 128
 COMMON = 1_000
+#: Examples that one task of the calibration compares.
+SLICE = 500
 SOFTNESS = 0.1
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
@@ -208,13 +210,16 @@ class Index:
         weight = 1.0 / (1.0 - cosine + SOFTNESS)
         return float((weight * self.labels[found]).sum() / weight.sum())
 
-    def calibrate(self, class_weight: np.ndarray) -> None:
-        """Fit the monotone map from leave-one-out votes to the share of toxic labels."""
-        votes, labels = [], []
-        for i, (found, cosine) in enumerate(self.near(self.starts, self.terms, self.weights, np.arange(len(self.ids)))):
+    def own_votes(self, first: int, last: int) -> Iterator[tuple[float, int]]:
+        """Votes on some examples by the others, and their labels; none where no other shares a term."""
+        part = slice(self.starts[first], self.starts[last])
+        cuts = self.starts[first : last + 1] - self.starts[first]
+        for i, (found, cosine) in enumerate(self.near(cuts, self.terms[part], self.weights[part], np.arange(first, last)), first):
             if len(found):
-                votes.append(self.vote(found, cosine))
-                labels.append(int(self.labels[i]))
+                yield self.vote(found, cosine), int(self.labels[i])
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, class_weight: np.ndarray) -> None:
+        """Fit the monotone map from votes on examples to the share of toxic labels."""
         order = np.argsort(votes, kind="stable")
         blocks: list[list[float]] = []  # last vote, weight, weighted sum of labels
         for i in order:
@@ -235,6 +240,38 @@ class Index:
         return float(np.interp(vote, self.votes, self.chances))
 
 
+def _calibrated(index: Index, class_weight: np.ndarray, spark: SparkSession) -> None:
+    """Leave-one-out votes of all examples, made in tasks of some examples each; only votes come back."""
+    shared, n = spark.sparkContext.broadcast(index), len(index.ids)
+    tasks = -(-n // SLICE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                found = list(shared.value.own_votes(k * SLICE, min(n, (k + 1) * SLICE)))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], ["vote", "toxic"])
+
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(run, "vote double, toxic int").toArrow()
+    votes, toxic = found["vote"].to_numpy(), found["toxic"].to_numpy()
+    order = np.lexsort((-toxic, votes))
+    index.calibrate(votes[order], toxic[order], class_weight)
+    shared.destroy()
+
+
+def one_thread() -> None:
+    """Keep matrix products of this process to one thread: a task has one core, and others only wait for it."""
+    import ctypes
+
+    with open("/proc/self/maps", encoding="utf-8") as f:
+        libraries = {line.split()[-1] for line in f if "openblas" in line.rpartition("/")[2]}
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     """Texts of at most ``limit`` labelled rows of each class.  The bounded set of keys meets the
     documents where they are read, so no text is shuffled."""
@@ -293,11 +330,12 @@ def _document_frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) ->
     names = ["known", "term", "n"]
     counts = docs.select(text).mapInArrow(count, "known boolean, term long, n long")
     counts = cut(counts.groupBy("known", "term").agg(F.sum("n").alias("n")))
-    found = counts.filter("known").select("term", "n").toPandas()
+    found = counts.filter("known").select("term", "n").toArrow()
     out = np.zeros(len(vocabulary), np.int64)
-    inside = found["term"] >= 0
-    out[found["term"][inside].to_numpy(np.int64)] = found["n"][inside]
-    return out, int(found["n"][~inside].sum()), counts.filter("not known").select("term", "n")
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
+    inside = term >= 0
+    out[term[inside]] = n[inside]
+    return out, int(n[~inside].sum()), counts.filter("not known").select("term", "n")
 
 
 def fit(
@@ -352,7 +390,7 @@ def fit(
         norm = np.sqrt(np.add.reduceat(weight * weight, np.cumsum(size[some]) - size[some]))
         weight /= np.repeat(norm, size[some])
         index._ordered(size[some], term, weight)
-        index.calibrate(class_weight)
+        _calibrated(index, class_weight, docs.sparkSession)
     return index
 
 
@@ -371,6 +409,7 @@ def _compared(docs: DataFrame, index: Index, text: str) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         index_ = shared.value
         for batch in batches:
             for piece in H.pieces(batch.column(len(rest))):
@@ -400,8 +439,9 @@ def _compared(docs: DataFrame, index: Index, text: str) -> DataFrame:
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", evidence: bool = True) -> DataFrame:
-    """``docs`` without its text, plus ``score``, ``predicted`` and the evidence.  Texts are read once and
-    not shuffled; terms outside the examples are."""
+    """``docs`` without its text, plus ``score``, ``predicted`` and the evidence (which replace columns of those
+    names).  Texts are read once and not shuffled; terms outside the examples are."""
+    docs = docs.drop(*({"score", "predicted", "evidence", "_own", "_all", "_near", "_terms", "_tf", "_line"} - {text}))
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("score", "double").add("predicted", "integer")
     if evidence:
