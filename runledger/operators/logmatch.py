@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,15 +86,15 @@ def by_id(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()) ->
 
 
 def by_name(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()) -> DataFrame:
-    """Recorded path, else conventional name, else id in the name."""
-    jobs = jobs.select(*_JOB)
-    ranked = [
-        by_recorded_path(jobs, files), by_convention(jobs, files, extra_dirs), by_id(jobs, files, extra_dirs)
-    ]
-    union = ranked[0].withColumn("_r", F.lit(0))
-    for rank, df in enumerate(ranked[1:], start=1):
-        union = union.unionByName(df.withColumn("_r", F.lit(rank)))
-    return union.groupBy("alloc_id").agg(F.min_by("path", "_r").alias("path"))
+    """Recorded path, else conventional name, else id in the name; each step sees only jobs that those before
+    it left without a file."""
+    rest = jobs.select(*_JOB)
+    found: list[DataFrame] = []
+    for step in (by_recorded_path, by_convention, by_id):
+        if found:
+            rest = rest.join(found[-1].select("alloc_id"), "alloc_id", "left_anti")
+        found.append(cut(step(rest, files) if step is by_recorded_path else step(rest, files, extra_dirs)))
+    return reduce(DataFrame.unionByName, found)
 
 
 # -- by time -----------------------------------------------------------------------------------
@@ -143,22 +144,23 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
         F.when(F.col("size") == 0, 1).otherwise(0).alias("pclass"), lp.suffix_rank("name").alias("ptie"),
     ]
     tagged = logs.select(*point, F.explode(tags).alias("why"))
-    # A job name inside a file name: every stretch of the file name that is as long as
-    # some job name of that directory meets the names by equality.  Rows grow with the
-    # length of file names, not with names times files.
+    # A job name inside a file name: file names are listed by their runs of three characters, and each
+    # job name looks under the rarest of its own, so rows grow with the length of names and matches.
     names = intervals.filter(F.col("why").startswith("name:")).select("dir", "mark").distinct()
-    lengths = names.groupBy("dir").agg(F.collect_set(F.length("mark")).alias("lengths"))
-    n = F.length("name")
-
-    def stretches(size: Column) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substring(lowered, i, size))
 
-    parts = F.array_distinct(F.flatten(F.transform("lengths", stretches)))
-    by_part = logs.join(lengths, "dir").select(*point, F.explode(parts).alias("mark"))
-    named = by_part.join(names, ["dir", "mark"]).select(
+    def runs(c: Column) -> Column:
+        starts = F.when(F.length(c) >= MIN_NAME, F.sequence(F.lit(1), F.length(c) - (MIN_NAME - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(MIN_NAME))))
+
+    listed = logs.select(*point, lowered.alias("_low"), F.explode(runs(lowered)).alias("run"))
+    often = listed.groupBy("dir", "run").agg(F.count(F.lit(1)).alias("_n"))
+    mine = names.withColumn("_runs", runs(F.col("mark"))).select("dir", "mark", F.size("_runs").alias("_need"), F.explode("_runs").alias("run"))
+    # A name with a run that no file has is in none.
+    rarest = mine.join(often, ["dir", "run"]).groupBy("dir", "mark", "_need").agg(
+        F.count(F.lit(1)).alias("_have"), F.min_by("run", F.struct("_n", "run")).alias("run")
+    ).filter("_have = _need")
+    hits = listed.join(rarest.select("dir", "run", "mark"), ["dir", "run"]).filter(F.col("_low").contains(F.col("mark")))
+    named = hits.select(
         "pid", "dir", "t", "pclass", "ptie", F.concat(F.lit("name:"), F.col("mark")).alias("why")
     )
     points = tagged.unionByName(named)

@@ -187,6 +187,23 @@ def findings_with_logs(spark, sf_dir):
     return _told(told, ["cuda-oom", "nccl", "import-error", "traceback", "log-tail", "exit-nonzero-nolog"])
 
 
+@query
+def assign_logs(spark, sf_dir):
+    """One log per job: a third has one under its conventional name; for the others, whose directories are four in
+    all, half as many nameless logs lie there, told by the time they were last written."""
+    k = text.id_primary("job_id")
+    home = F.concat(F.lit("/work/u"), (F.length("user") + k % 2).cast("string"))
+    jobs = wide_jobs(spark, sf_dir).withColumn("work_dir", home)
+    letters = F.translate("job_id", "0123456789", "abcdefghij")
+    late = F.make_dt_interval(secs=(k * 37 % 900 - 120).cast("decimal(18,6)"))
+    named = jobs.filter(k % 3 == 0).select(F.concat("work_dir", F.lit("/logs/slurm-"), "job_id", F.lit(".out")).alias("path"), F.col("submit").alias("at"), k.alias("size"))
+    nameless = jobs.filter((k % 3 == 1) & F.col("end").isNotNull()).select(
+        F.concat("work_dir", F.lit("/logs/q"), letters, F.lit(".log")).alias("path"), (F.col("end") + late).alias("at"), (k % 4).alias("size")
+    )
+    files = named.unionByName(nameless).select("path", F.col("at").cast("timestamp").alias("mtime"), "size")
+    return logmatch.assign_logs(jobs, tables.with_location(files)).select(big("job_id"), "path", "inferred")
+
+
 # -- the store, and streams through it ------------------------------------------------------------------------
 
 @query

@@ -148,7 +148,22 @@ SELECT k AS job_id, t.* FROM f, LATERAL (SELECT UNNEST([
   CASE WHEN NOT nolog AND traceback IS NULL AND failed THEN {{'code': 'log-tail', 'severity': 'info', 'title': 'End of the log', 'evidence': excerpt, 'action': ''}} END
 ]) AS r) u, LATERAL (SELECT r.code AS code, r.severity AS severity, r.title AS title, r.evidence AS evidence, r.action AS action) t WHERE r IS NOT NULL"""
 
+_ASSIGN = """WITH RECURSIVE j AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS id, EPOCH_MS(o_orderdate) AS a, (60 + o_orderkey * 131 % 90000) * 1000 AS len, o_orderkey % 16 = 12 AS going,
+  '/work/u' || (LENGTH('u' || (o_custkey % 40)) + o_orderkey % 2) AS home FROM orders),
+i AS (SELECT *, a + len AS e FROM j WHERE k % 3 <> 0 AND NOT going),
+p AS (SELECT home, home || '/logs/q' || TRANSLATE(id, '0123456789', 'abcdefghij') || '.log' AS path, a + len + (k * 37 % 900 - 120) * 1000 AS t, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS c
+  FROM j WHERE k % 3 = 1 AND NOT going),
+x AS (SELECT k, path, ROW_NUMBER() OVER (ORDER BY c, ABS(t - e), id, path) AS o FROM i JOIN p ON p.home = i.home AND t >= a - 60000 AND t <= e + 600000),
+r AS (SELECT k, path, o, FALSE AS taken FROM x UNION ALL
+  SELECT k, path, o, m FROM (
+    SELECT *, MAX(m) OVER (PARTITION BY k) OR MAX(m) OVER (PARTITION BY path) AS excluded FROM (
+      SELECT k, path, o, o = MIN(o) OVER (PARTITION BY k) AND o = MIN(o) OVER (PARTITION BY path) AS m FROM r WHERE NOT taken))
+  WHERE m OR NOT excluded)
+SELECT j.k AS job_id, CASE WHEN j.k % 3 = 0 THEN home || '/logs/slurm-' || id || '.out' ELSE r.path END AS path, r.path IS NOT NULL AS inferred
+FROM j LEFT JOIN r ON r.k = j.k AND r.taken"""
+
 SQL = {
+    "assign_logs": _ASSIGN,
     "metrics_wide": _METRICS,
     "findings_exits": _EXITS,
     "findings_figures": _FIGURES,
