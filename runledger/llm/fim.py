@@ -166,7 +166,9 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 draws = [c.to_numpy(zero_copy_only=False) for c in part.columns[width + 1 :]]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *_cut(part.column(width), draws)], schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("_t"), *_draws(key)).mapInArrow(run, schema)
+    # Names of the batch are its own, so none of the table's can clash.
+    carried = [F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(rest)]
+    return docs.select(*carried, F.col(f"`{text}`").alias("_t"), *_draws(key)).mapInArrow(run, schema)
 
 
 def restored(output: str = "output", form: str = "form") -> Column:
