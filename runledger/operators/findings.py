@@ -131,7 +131,7 @@ def _cpu(r: _Rules, cgroup: Column) -> None:
     r.add(WARNING, "cpu-overrequest", idle, "Most cores were idle",
           _say(fmt.percent_text(util), " of ", cores, " cores",
                F.when(c("task_count") > 1, F.format_string(" over %d tasks", "task_count")),
-               F.format_string(", about %.1f cores of work; ", util * cores), sizing.cpu_caveat(cgroup), "."),
+               F.format_string(", about %.1f cores of work; ", fmt.printed(util * cores, 1)), sizing.cpu_caveat(cgroup), "."),
           _say("Try --cpus-per-task=", F.greatest(F.floor(util * per_task + 0.999), F.lit(1)), ", unless cores feed a data loader."))
 
 
@@ -152,7 +152,7 @@ def _kernel_io_parallel_paging(r: _Rules) -> None:
                F.when(F.length("slowest_node") > 0, _say(" Task ", F.coalesce("slowest_task", F.lit("?")), " on ", c("slowest_node"), "."))),
           "Compare the ranks: the one that reports an error is often the victim.")
     r.add(INFO, "task-memory-imbalance", parallel & (c("rss_task_imbalance") >= RSS_IMBALANCE), "Uneven memory across tasks",
-          _say(F.format_string("One task held %.1f times the mean of %d tasks.", "rss_task_imbalance", "task_count")))
+          _say(F.format_string("One task held %.1f times the mean of %d tasks.", fmt.printed("rss_task_imbalance", 1), "task_count")))
     r.add(WARNING, "paging", ~c("open_ended") & (c("max_pages") >= PAGING_FLOOR), "The job was paging",
           _say(F.format_number("max_pages", 0), " major page faults."), "Raise the memory request or shrink the working set.")
 

@@ -86,7 +86,7 @@ def repeat_failures(metrics: DataFrame, min_runs: int = REPEAT_MIN) -> DataFrame
         F.format_string("%d of %d runs of %s on %s failed, %d as %s.", "failures", "runs", "label", "workload_partition", "dominant_count", "dominant_state"),
         F.when(F.col("array_job").isNotNull(), F.format_string(" They are tasks of array %s.", "array_job")).otherwise(""),
         F.when(F.col("shared_timelimit").isNotNull(), F.format_string(" All had the limit %s.", "shared_timelimit")).otherwise(""),
-        F.when(F.col("wasted_gpu_hours") > 1.0, F.concat(F.format_string(" Failures took %.0f ", "wasted_gpu_hours"), formats.plural("wasted_gpu_hours", "GPU-hour"), F.lit("."))).otherwise(""),
+        F.when(F.col("wasted_gpu_hours") > 1.0, F.concat(F.format_string(" Failures took %.0f ", formats.printed("wasted_gpu_hours", 0)), formats.plural("wasted_gpu_hours", "GPU-hour"), F.lit("."))).otherwise(""),
     )
     split = F.when(
         (F.col("computing") > 0) & (F.coalesce("computing_limit", F.lit(0.0)) > 0),

@@ -314,13 +314,13 @@ def suggest_exclude(
 
 def note_text(label: Column | None = None) -> Column:
     """A sentence on a flagged row, with the size of the comparison when it is small."""
-    against = F.format_string("%.1f%%", F.col("comparison") * 100)
+    against = F.format_string("%.1f%%", formats.printed(F.col("comparison") * 100, 1))
     small = F.col("other_trials") < F.col("trials")
     against = F.when(
         small, F.concat(against, F.format_string(" (%d placements)", F.col("other_trials")))
     ).otherwise(against)
     head = F.format_string(
-        "%s: %d of %d placements failed, %.1f%%", "node", "bad", "trials", F.col("rate") * 100
+        "%s: %d of %d placements failed, %.1f%%", "node", "bad", "trials", formats.printed(F.col("rate") * 100, 1)
     )
     body = F.concat(
         head, F.lit(" [95% interval "), formats.percent_range_text("ci_low", "ci_high"),

@@ -260,7 +260,7 @@ def cpu_advice(facts: DataFrame) -> DataFrame:
         .otherwise(_by_change(F.col("_target"), current))
     )
     basis = F.when(thin, F.format_string("%d runs with CPU accounting; %d are needed.", F.col("c_fit"), F.lit(MIN_RUNS))).otherwise(
-        F.concat(F.format_string("The busiest run used %.2f of ", "c_peak"), formats.compact_number("c_of"), F.lit(" cores per task."))
+        F.concat(F.format_string("The busiest run used %.2f of ", formats.printed("c_peak", 2)), formats.compact_number("c_of"), F.lit(" cores per task."))
     )
     lower = F.col("verdict") == "lower"
     caution = F.when(thin, "").otherwise(

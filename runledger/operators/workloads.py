@@ -293,7 +293,7 @@ def headline(totals: DataFrame) -> DataFrame:
         F.when(
             worth,
             F.concat(
-                F.format_string("%.0f of %.0f ", idle, total), formats.plural(total, "GPU-hour"),
+                F.format_string("%.0f of %.0f ", formats.printed(idle, 0), formats.printed(total, 0)), formats.plural(total, "GPU-hour"),
                 F.lit(" went to allocations that did not compute"),
             ),
         )
