@@ -186,3 +186,27 @@ def test_one_bad_entity_is_found(spark):
     assert [r.n for r in rates.filter("verdict = 'worse'").collect()] == [3]
     small = reliability.entity_rates(rows.filter("n = 3"), "n", F.col("hit")).first()
     assert (small.verdict, small.p_value, small.comparison) == ("unknown", 1.0, None)
+
+
+def test_small_cells_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Few bytes in many cells: adaptive execution alone would bring them all into one task."""
+    t, settle, folder = F.col("id") * 10, assignment._settle, str(tmp_path)
+    left = spark.range(2000).select(F.col("id").alias("iid"), F.lit("g").alias("grp"), (t - 30).alias("lo"), t.alias("mid"), (t + 30).alias("hi"), F.lit(0).alias("pref"))
+    right = spark.range(2000).select(F.col("id").alias("pid"), F.lit("g").alias("grp"), (t + 3).alias("t"), F.lit(0).alias("pclass"), F.lit(0).alias("ptie"))
+
+    def traced(schema):
+        run = settle(schema)
+
+        def cell(pdf):
+            from pyspark import TaskContext
+
+            task = TaskContext.get()
+            open(f"{folder}/{task.stageId()}-{task.partitionId()}", "w").close()
+            return run(pdf)
+
+        return cell
+
+    monkeypatch.setattr(assignment, "_settle", traced)
+    assert assignment.greedy(left, right, size=64).count() == 2000
+    stages = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert max(stages.count(s) for s in stages) > 4
