@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states
 from . import store
-from .common import cut, null_safe_join
+from .common import by_rows, cut, null_safe_join
 
 KEY = ("cluster", "job_id")
 
@@ -37,7 +37,8 @@ def plan_refresh(listing: DataFrame, stored: DataFrame) -> DataFrame:
     """Per listed job: reuse the stored record, or read it again because it is new,
     changed or was never closed.  ``stored`` has the key and the fingerprint."""
     now = fingerprints(listing)
-    old = _keyed(stored).select(*KEY, F.col("fingerprint").alias("_stored"))
+    # The whole history: its files are small for their rows, so that Spark might broadcast it.
+    old = _keyed(stored).select(*KEY, F.col("fingerprint").alias("_stored")).hint("merge")
     df = null_safe_join(now, old, list(KEY), "left")
     action = (
         F.when(F.col("_stored").isNull(), "new")
@@ -53,13 +54,14 @@ def refresh(listing: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFram
     ``stored`` and ``fresh`` share the jobs schema; ``stored`` also has the fingerprint.
     Records outside the listing stay untouched.
     """
-    stale = plan_refresh(listing, stored).filter(F.col("action") != "reuse")
-    kept = null_safe_join(stored, stale.select(*KEY), list(KEY), "left_anti")
+    stale = cut(plan_refresh(listing, stored).filter(F.col("action") != "reuse"))
+    kept = null_safe_join(stored, by_rows(stale.select(*KEY)), list(KEY), "left_anti")
     return kept.unionByName(_added(stale, fresh).select(*kept.columns))
 
 
 def _added(stale: DataFrame, fresh: DataFrame) -> DataFrame:
-    return null_safe_join(_keyed(fresh).filter(is_storable()), stale.select(*KEY, "fingerprint"), list(KEY))
+    # Of a store that is being filled, everything is stale, and neither side may be broadcast.
+    return null_safe_join(_keyed(fresh).filter(is_storable()), by_rows(stale.select(*KEY, "fingerprint")), list(KEY))
 
 
 def refresh_store(spark: SparkSession, path: str, listing: DataFrame, fresh: DataFrame, grain: str = store.DAYS) -> list[str]:

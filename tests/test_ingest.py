@@ -4,7 +4,7 @@ import re
 import pytest
 from conftest import record
 from pyspark.sql import functions as F
-from runledger.operators import refresh, rollup, store
+from runledger.operators import common, refresh, rollup, store
 from runledger.plans import pipeline
 from runledger.sources import dumps, tables
 from runledger.streaming import ingest
@@ -272,6 +272,21 @@ def test_refresh_store(spark, make_jobs, tmp_path):
     assert refresh.read_store(spark, path).count() == 3
 
 
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_is_never_broadcast(spark, make_jobs, monkeypatch):
+    # A table's files tell little of its rows: millions of stored jobs may take a few megabytes.
+    listing = _listing(spark, [("c", str(i), 0, "COMPLETED", "a") for i in range(5)])
+    stored = common.cut(make_jobs([{"id": i, "cluster": "c"} for i in range(5)]).join(refresh.fingerprints(listing), ["cluster", "job_id"]))
+    assert "Broadcast" in _physical(listing.join(stored.select("job_id"), "job_id", "left"))
+    assert "Broadcast" not in _physical(refresh.plan_refresh(listing, stored))
+    for few, broadcast in ((5, True), (4, False)):
+        monkeypatch.setattr(common, "FEW_ROWS", few)
+        assert ("Broadcast" in _physical(refresh._added(refresh.plan_refresh(listing, stored), stored.drop("fingerprint")))) == broadcast
+
+
 def test_refresh_store_tells_clusters_apart(spark, make_jobs, tmp_path):
     path = str(tmp_path / "s")
     both = [("a", "1", 0, "COMPLETED", "x"), ("b", "1", 0, "COMPLETED", "x")]
