@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .memo import memo
+from .stats import let
 from .text import as_col
 
 # Lower-case substrings that identify a cause.
@@ -33,28 +34,29 @@ def has_marker(lowered: Column, markers: list[str]) -> Column:
 
 
 def lines_of(c) -> Column:
-    parts = F.split(as_col(c), _BREAKS)
+    # One character splits without a pattern, which Java would compile anew for every text.
+    parts = F.split(F.regexp_replace(as_col(c), _BREAKS, "\n"), "\n")
     # A final line break ends the last line, it does not start an empty one.
-    ends = F.element_at(parts, -1) == ""
-    return F.when(ends, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def _unranked(line: Column) -> Column:
     """Drop a launcher's ``[rank3]: `` prefix."""
-    return F.regexp_replace(line, r"^\s*\[rank[^\]]*\]: ", "")
+    return F.when(line.contains("[rank"), F.regexp_replace(line, r"^\s*\[rank[^\]]*\]: ", "")).otherwise(line)
 
 
 def _rstrip(line: Column) -> Column:
-    return F.regexp_replace(line, r"\s+$", "")
+    return F.rtrim(line, F.lit(" \t\n\u000b\f\r"))
 
 
-def _is_text(line: Column) -> Column:
-    return line.rlike(r"\S")
+def _told(lines: Column) -> Column:
+    """Lines with text, without white space at their ends."""
+    return F.filter(F.transform(lines, _rstrip), lambda x: F.length(x) > 0)
 
 
 def is_header(line: Column) -> Column:
     """Does a traceback begin in this line?"""
-    return F.ltrim(_unranked(line)).startswith(TRACEBACK_HEADER)
+    return line.contains(TRACEBACK_HEADER) & F.ltrim(_unranked(line)).startswith(TRACEBACK_HEADER)
 
 
 def is_stop(line: Column) -> Column:
@@ -64,29 +66,30 @@ def is_stop(line: Column) -> Column:
 
 @memo
 def last_lines(c, n: int = EXCERPT_LINES) -> Column:
-    kept = F.filter(F.transform(lines_of(c), _rstrip), _is_text)
-    return F.array_join(F.slice(kept, F.greatest(F.size(kept) - (n - 1), F.lit(1)), F.lit(n)), "\n")
+    # Bound step by step: a list that is named several times would be made as often.
+    return let(_told(lines_of(c)), lambda kept: F.array_join(F.slice(kept, F.greatest(F.size(kept) - (n - 1), F.lit(1)), F.lit(n)), "\n"))
 
 
 @memo
 def traceback_tail(c, n: int = EXCERPT_LINES) -> Column:
     """The last traceback: its header through the first unindented line after it,
     shortened to the header, an ellipsis and the final ``n - 2`` lines."""
-    lines = lines_of(c)
-    back = F.array_position(F.reverse(F.transform(lines, is_header)), True)
-    after = F.slice(lines, F.size(lines) - back.cast("int") + 2, F.size(lines))
-    stops = F.transform(after, is_stop)
-    stop = F.array_position(stops, True).cast("int")
-    body = F.when(stop > 0, F.slice(after, F.lit(1), stop)).otherwise(after)
-    header = F.slice(lines, F.size(lines) - back.cast("int") + 1, F.lit(1))
-    chunk = F.filter(F.transform(F.concat(header, body), _rstrip), _is_text)
-    short = F.concat(
-        F.slice(chunk, 1, 1), F.array(F.lit("  ...")), F.slice(chunk, -(n - 2), n - 2)
-    )
-    shown = F.when(F.size(chunk) > n, short).otherwise(chunk)
-    return F.when(
-        as_col(c).contains(TRACEBACK_HEADER) & (back > 0), F.array_join(shown, "\n")
-    )
+
+    def shown(chunk: Column) -> Column:
+        short = F.concat(F.slice(chunk, 1, 1), F.array(F.lit("  ...")), F.slice(chunk, -(n - 2), n - 2))
+        return F.array_join(F.when(F.size(chunk) > n, short).otherwise(chunk), "\n")
+
+    def chunk_of(tail: Column) -> Column:
+        """Of the lines from the last header on."""
+        after = F.slice(tail, F.lit(2), F.size(tail))
+        stop = F.array_position(F.transform(after, is_stop), True).cast("int")
+        return let(F.when(stop > 0, stop + 1).otherwise(F.size(tail)), lambda k: let(_told(F.slice(tail, F.lit(1), k)), shown))
+
+    def of_lines(lines: Column) -> Column:
+        back = F.array_position(F.reverse(F.transform(lines, is_header)), True).cast("int")
+        return let(back, lambda b: F.when(b > 0, let(F.slice(lines, -b, b), chunk_of)))
+
+    return F.when(as_col(c).contains(TRACEBACK_HEADER), let(lines_of(c), of_lines))
 
 
 def digest(c) -> Column:

@@ -163,3 +163,8 @@ def test_log_text(values):
     low = F.lower("c")
     assert values(["CUDA out of memory", "NCCL WARN x", "ok"], logtext.has_marker(low, logtext.DEVICE_MEMORY)) == [True, False, False]
     assert values(["CUDA out of memory", "NCCL WARN x", "ok"], logtext.has_marker(low, logtext.COLLECTIVE)) == [False, True, False]
+
+
+def test_log_texts_are_split_once(spark):
+    for told in (logtext.traceback_tail("c"), logtext.last_lines("c")):
+        assert str(told).count("split(") == 1
