@@ -73,7 +73,10 @@ def explode_hosts(df: DataFrame, column: str, name: str = "node") -> DataFrame:
         parts = F.filter(F.transform(body, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
         # A name without a bracket passes as it is.
         whole = F.array(F.lit(None).cast("string"))
-        rows = rows.select(*kept, "_rest", "_host", open_.alias("_open"), F.explode(F.when(open_, parts).otherwise(whole)).alias("_part"))
+        # Names are taken apart before their hosts are listed: once a name, not once a host.
+        head = F.when(open_, F.concat("_host", F.regexp_extract("_rest", _BRACKET, 1))).otherwise(F.concat("_host", "_rest"))
+        tail = F.when(open_, F.regexp_extract("_rest", _BRACKET, 3)).otherwise(F.lit(""))
+        rows = rows.select(*kept, head.alias("_head"), tail.alias("_tail"), F.explode(F.when(open_, parts).otherwise(whole)).alias("_part"))
         part = F.col("_part")
         low = F.substring_index(part, "-", 1)
         first = digits_to_long(low)
@@ -86,10 +89,7 @@ def explode_hosts(df: DataFrame, column: str, name: str = "node") -> DataFrame:
         rows = rows.withColumn("_number", F.explode(numbers))
         digits = F.col("_number").cast("string")
         value = F.when(F.col("_ranged"), F.lpad(digits, F.greatest(F.col("_width"), F.length(digits)), F.lit("0"))).otherwise(F.col("_part"))
-        rows = rows.select(
-            *kept, F.when(F.col("_open"), F.regexp_extract("_rest", _BRACKET, 3)).otherwise(F.lit("")).alias("_next"),
-            F.when(F.col("_open"), F.concat("_host", F.regexp_extract("_rest", _BRACKET, 1), value)).otherwise(F.concat("_host", "_rest")).alias("_host"),
-        ).withColumnRenamed("_next", "_rest")
+        rows = rows.select(*kept, F.col("_tail").alias("_rest"), F.concat("_head", F.coalesce(value, F.lit(""))).alias("_host"))
     return rows.select(*kept, F.concat("_host", "_rest").alias(name))
 
 

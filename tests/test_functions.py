@@ -4,6 +4,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 from runledger.functions import formats, hostlist, logtext, states, stats, text
+from runledger.plans import evidence
 
 
 def test_duration(values):
@@ -168,3 +169,12 @@ def test_log_text(values):
 def test_log_texts_are_split_once(spark):
     for told in (logtext.traceback_tail("c"), logtext.last_lines("c")):
         assert str(told).count("split(") == 1
+
+
+def test_hosts_of_one_split_are_listed_in_many_tasks(spark, tmp_path):
+    orders = spark.range(100).select(F.col("id").alias("o_orderkey")).coalesce(1)
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = evidence.hostlist_wide(spark, str(tmp_path))
+    assert got.count() == 100
+    listed = got._jdf.queryExecution().executedPlan().toString()
+    assert listed.index("Generate") < listed.index("REPARTITION_BY_NUM")
