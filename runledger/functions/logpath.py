@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from . import text
 from .hostlist import first_host
 from .memo import memo
+from .stats import let
 
 # Conventional log names, subdirectories and suffixes, in search order.
 NAME_PATTERNS = ["slurm-{jid}.out", "slurm-{jid}.err", "{jid}.out", "{jid}.err", "slurm_{jid}.out", "job-{jid}.out"]
@@ -21,6 +23,10 @@ MAX_PAD = 64
 _CODES = "%AaJjNnstux"
 
 
+#: A segment that ``normal_path`` takes away; most paths have none.
+_ODD_SEGMENT = r"^\.{1,2}(/|$)|/\.{0,2}(/|$)"
+
+
 def normal_path(c) -> Column:
     """Collapse ``//``, ``.`` and ``..`` segments."""
     c = text.as_col(c)
@@ -32,7 +38,8 @@ def normal_path(c) -> Column:
             p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         ).otherwise(F.concat(acc, F.array(p))),
     )
-    return F.concat(F.when(c.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+    collapsed = F.concat(F.when(c.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(c.rlike(_ODD_SEGMENT), collapsed).otherwise(c)
 
 
 def pattern_values() -> Column:
@@ -108,6 +115,12 @@ def is_log_name(c: Column) -> Column:
     return c.rlike(r"\.(out|err|log)$")
 
 
+def has_recorded_paths() -> Column:
+    """Is anything recorded that ``recorded_paths`` reads?"""
+    given = [F.length(c) > 0 for c in ("std_err", "std_out", "submit_line", "comment")]
+    return F.coalesce(reduce(lambda a, b: a | b, given), F.lit(False))
+
+
 def recorded_paths(values: str) -> Column:
     """Distinct absolute paths from recorded patterns, most specific source first."""
     comment = F.trim("comment")
@@ -127,27 +140,39 @@ def recorded_paths(values: str) -> Column:
     return F.array_distinct(F.filter(F.transform(patterns, locate), lambda x: x.isNotNull()))
 
 
-def _under(root: Column, sub: str) -> Column:
-    return normal_path(F.concat(root, F.lit("/" + sub))) if sub else normal_path(root)
+def _own_dirs(body: Callable[[Callable[[str], Column]], Column], none: Column) -> Column:
+    """``body`` of the work directory's subdirectories, whose normal form is found once; ``none`` without one."""
+
+    def under(root: Column) -> Column:
+        head = F.when(root.isin("", "/"), root).otherwise(F.concat(root, F.lit("/")))
+        return body(lambda sub: F.concat(head, F.lit(sub)) if sub else root)
+
+    return F.when(F.length("work_dir") > 0, let(normal_path("work_dir"), under)).otherwise(none)
 
 
 def searched_dirs(extra: Sequence[str]) -> Column:
     """Every root with its conventional subdirectories, in search order."""
-    roots = [F.lit(d) for d in extra if d] + [F.when(F.length("work_dir") > 0, F.col("work_dir"))]
-    dirs = F.array(*[_under(r, s) for r in roots for s in SUBDIRS])
-    return F.array_distinct(F.filter(dirs, lambda d: d.isNotNull()))
+    none = F.array().cast("array<string>")
+    own = _own_dirs(lambda sub: F.array(*[sub(s) for s in SUBDIRS]), none)
+    given = [normal_path(F.lit(f"{d}/{s}" if s else d)) for d in extra if d for s in SUBDIRS]
+    return F.array_distinct(F.concat(F.array(*given), own)) if given else own
 
 
 def scanned_dirs(extra: Sequence[str]) -> Column:
     """(dir, trusted): given directories are trusted, the work directory itself is not."""
-    root = F.when(F.length("work_dir") > 0, F.col("work_dir"))
-    rows = [F.struct(normal_path(F.lit(d)).alias("dir"), F.lit(True).alias("trusted")) for d in extra if d]
-    rows += [F.struct(_under(root, s).alias("dir"), F.lit(bool(s)).alias("trusted")) for s in SUBDIRS]
-    present = F.filter(F.array(*rows), lambda r: r["dir"].isNotNull())
+    kind = "array<struct<dir:string,trusted:boolean>>"
+    # A directory's subdirectories differ from it and from one another.
+    own = _own_dirs(
+        lambda sub: F.array(*[F.struct(sub(s).alias("dir"), F.lit(bool(s)).alias("trusted")) for s in SUBDIRS]),
+        F.array().cast(kind),
+    )
+    given = [F.struct(normal_path(F.lit(d)).alias("dir"), F.lit(True).alias("trusted")) for d in extra if d]
+    if not given:
+        return own
     # The first mention of a directory decides.
     return F.aggregate(
-        present,
-        F.array().cast("array<struct<dir:string,trusted:boolean>>"),
+        F.concat(F.array(*given), own),
+        F.array().cast(kind),
         lambda acc, r: F.when(F.exists(acc, lambda a: a["dir"] == r["dir"]), acc).otherwise(
             F.concat(acc, F.array(r))
         ),

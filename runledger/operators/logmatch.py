@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logpath as lp
-from .common import cut
+from .common import by_rows, cut
 from .intervals import greedy_match, window_matches
 
 SLACK_BEFORE_MS = 60 * 1000
@@ -28,7 +28,7 @@ def _logs_only(files: DataFrame) -> DataFrame:
 
 def by_recorded_path(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """First recorded path that exists."""
-    wanted = jobs.withColumn("_v", lp.pattern_values()).select(
+    wanted = jobs.filter(lp.has_recorded_paths()).withColumn("_v", lp.pattern_values()).select(
         "alloc_id", F.posexplode(lp.recorded_paths("_v")).alias("priority", "path")
     )
     # Most jobs of a site may record the null device: it is no file, and one key of a join.
@@ -72,12 +72,11 @@ def by_id(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()) ->
     """A job id anywhere in the name, delimited by non-digits."""
     runs = F.array_distinct(F.regexp_extract_all("name", F.lit(r"([0-9]+)"), F.lit(1)))
     indexed = _logs_only(files).select("path", "dir", "name", F.explode(runs).alias("digits"))
-    wanted = jobs.select(
-        "alloc_id", lp.identifiers().alias("_ids"), F.posexplode(lp.scanned_dirs(extra_dirs)).alias("dir_rank", "_d")
-    )
-    wanted = wanted.select(
-        "alloc_id", "dir_rank", "_d.dir", F.posexplode("_ids").alias("id_rank", "ident")
-    ).withColumn("digits", F.regexp_extract("ident", r"([0-9]+)", 1))
+    ids = F.transform(lp.identifiers(), lambda i: F.struct(i.alias("ident"), F.regexp_extract(i, r"([0-9]+)", 1).alias("digits")))
+    wanted = jobs.select("alloc_id", ids.alias("_ids"), lp.scanned_dirs(extra_dirs).alias("_dirs"))
+    wanted = wanted.select("alloc_id", "_dirs", F.posexplode("_ids").alias("id_rank", "_i"))
+    wanted = wanted.select("alloc_id", "id_rank", "_i.*", F.posexplode("_dirs").alias("dir_rank", "_d"))
+    wanted = wanted.select("alloc_id", "id_rank", "ident", "digits", "dir_rank", "_d.dir")
     carried = F.concat(F.lit(r"(^|[^0-9])\Q"), F.col("ident"), F.lit(r"\E($|[^0-9])"))
     plain = F.col("ident") == F.col("digits")
     hits = wanted.join(indexed, ["dir", "digits"]).filter(plain | F.regexp_like("name", carried))
@@ -118,8 +117,10 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
         (_millis("end") + SLACK_AFTER_MS).alias("hi"),
         F.when(F.length(mark) >= MIN_NAME, mark).alias("mark"),
         F.filter(lp.identifiers(), lambda x: x.rlike("^[0-9]+$")).alias("ids"),
-        F.explode(lp.scanned_dirs(extra_dirs)).alias("d"),
+        lp.scanned_dirs(extra_dirs).alias("dirs"),
     )
+    # Read twice: for the intervals, and for the names that files are asked about.
+    windows = cut(windows).select("*", F.explode("dirs").alias("d"))
     untrusted = F.concat(
         F.array(F.lit("prefix")),
         F.transform("ids", lambda i: F.concat(F.lit("id:"), i)),
@@ -127,7 +128,7 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
     )
     why = F.when(F.col("d.trusted"), F.array(F.lit("any"))).otherwise(untrusted)
     intervals = windows.select(
-        "iid", "lo", "mid", "hi", "mark", F.col("d.dir").alias("dir"),
+        "iid", "lo", "mid", "hi", F.col("d.dir").alias("dir"),
         F.when(F.col("d.trusted"), 0).otherwise(1).alias("pref"), F.explode(why).alias("why"),
     )
     logs = _logs_only(files)
@@ -146,7 +147,7 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
     tagged = logs.select(*point, F.explode(tags).alias("why"))
     # A job name inside a file name: file names are listed by their runs of three characters, and each
     # job name looks under the rarest of its own, so rows grow with the length of names and matches.
-    names = intervals.filter(F.col("why").startswith("name:")).select("dir", "mark").distinct()
+    names = windows.filter(~F.col("d.trusted") & F.col("mark").isNotNull()).select("d.dir", "mark").distinct()
 
     def runs(c: Column) -> Column:
         starts = F.when(F.length(c) >= MIN_NAME, F.sequence(F.lit(1), F.length(c) - (MIN_NAME - 1))).otherwise(F.array().cast("array<int>"))
@@ -165,10 +166,10 @@ def time_sides(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()
     )
     points = tagged.unionByName(named)
     grp = F.concat_ws("|", "dir", "why").alias("grp")
-    return (
-        intervals.select("iid", grp, "lo", "mid", "hi", "pref"),
-        points.select("pid", grp, "t", "pclass", "ptie"),
-    )
+    points = cut(points.select("pid", grp, "t", "pclass", "ptie"))
+    # A job asks in some ten groups, and most of them hold no file.
+    held = by_rows(cut(points.select("grp").distinct()))
+    return intervals.select("iid", grp, "lo", "mid", "hi", "pref").join(held, "grp", "left_semi"), points
 
 
 def by_time(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = ()) -> DataFrame:
@@ -188,6 +189,7 @@ def assign_logs(jobs: DataFrame, files: DataFrame, extra_dirs: Sequence[str] = (
     pending = jobs.join(named, "alloc_id", "left_anti")
     free = files.join(named.select("path").distinct(), "path", "left_anti")
     intervals, points = time_sides(pending, free, extra_dirs)
+    intervals = cut(intervals)
     timed = greedy_match(intervals, points).select(
         F.col("iid").alias("alloc_id"), F.col("pid").alias("path"), F.lit(True).alias("inferred")
     )

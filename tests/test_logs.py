@@ -108,3 +108,21 @@ def test_digests_do_not_depend_on_splits(spark, tmp_path, values, split):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     want = values(list(logs.values()), logtext.digest("c"))
     assert got == dict(zip(logs, want, strict=True))
+
+
+def test_directories_of_a_job(spark):
+    """Normal forms are found once per directory, and are those of whole paths."""
+    roots = ["/w/", "/", ".", "./a/..", "a//b/.", "/w/logs", "/a/../../b", "x.y", "..", ""]
+    df = spark.createDataFrame([(r,) for r in roots], "work_dir string")
+    whole = F.array(*[lp.normal_path(F.concat("work_dir", F.lit(f"/{s}" if s else ""))) for s in lp.SUBDIRS])
+    got = df.select("work_dir", whole.alias("whole"), lp.searched_dirs([]).alias("own"), lp.scanned_dirs(["/w//logs"]).alias("scanned")).collect()
+    for r in got:
+        assert r.own == (r.whole if r.work_dir else [])
+        rest = [] if not r.work_dir else [(d, bool(s)) for d, s in zip(r.whole, lp.SUBDIRS, strict=True) if d != "/w/logs"]
+        assert [tuple(x) for x in r.scanned] == [("/w/logs", True), *rest]
+
+
+def test_only_groups_with_files_are_swept(jobs, files):
+    intervals, points = logmatch.time_sides(jobs, files)
+    assert {r.grp for r in intervals.collect()} <= {r.grp for r in points.collect()}
+    assert {r.iid for r in intervals.collect()} >= {"5", "6", "400"}
