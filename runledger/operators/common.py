@@ -33,6 +33,16 @@ def by_rows(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df.hint("merge")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over the session's number of shuffle partitions, which adaptive execution leaves as it is.
+
+    It joins partitions up to a size of compressed bytes.  Rows that compress well and become wide, like buffers of many
+    aggregates, then make groups by the million and a gigabyte in one task."""
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *keys)
+
+
 def mark_top(df: DataFrame, order: list[Column], n: int, name: str = "shown") -> DataFrame:
     """Flag the first ``n`` rows of a total order (ascending, ties broken by the caller).
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import states, text
 from ..functions.memo import memo
+from .common import dealt
 
 MIN_CPU_FOR_A_SHARE = 1.0
 
@@ -17,8 +18,9 @@ def _nz(c) -> Column:
 
 
 def step_rollup(steps: DataFrame) -> DataFrame:
-    """One row per allocation.  Every aggregate merges partially, so an allocation
-    with very many steps is combined before the shuffle.  All of them are numeric,
+    """One row per allocation.  Steps are shuffled as they are: an allocation has few of them in any
+    one task, so aggregating before the shuffle would send as many rows, each of sixty buffers.  An
+    allocation with very many steps passes through one task row by row.  All aggregates are numeric,
     which keeps the aggregation hash-based; names and places are in ``with_places``."""
     work = ~F.coalesce(F.col("step_id").endswith(".extern"), F.lit(False))
     going = states.step_in_progress("state")
@@ -41,7 +43,7 @@ def step_rollup(steps: DataFrame) -> DataFrame:
             "_util": gpu_util, "_gmem": gpu_mem, "_hz": text.clock_hz("ave_cpu_freq"),
         }
     )
-    return s.groupBy("alloc_id").agg(*_step_aggregates())
+    return dealt(s, "alloc_id").groupBy("alloc_id").agg(*_step_aggregates())
 
 
 @memo

@@ -214,3 +214,11 @@ def test_workloads_without_a_stamp_are_the_tail_of_recent(spark):
     assert [r.workload_name for r in workloads.sort_workloads(df, "recent").collect()] == ["b", "c", "a"]
     marked = workloads.mark_top(df, workloads.workload_order("recent"), 2)
     assert {r.workload_name for r in marked.filter("shown").collect()} == {"b", "c"}
+
+
+def test_steps_are_dealt_before_they_are_aggregated(make_steps):
+    """Adaptive execution would bring them into one task by their compressed size."""
+    steps = make_steps([{"id": i, "step": s, "max_rss": 10 * i + s, "total_cpu": 1.0} for i in range(1, 41) for s in (0, 1, 2)])
+    rolled = rollup.step_rollup(steps)
+    assert rolled.rdd.getNumPartitions() > 1
+    assert [tuple(r) for r in rolled.select("alloc_id", "step_count", "s_peak", "s_total_cpu").collect()].count(("7", 3, 72, 3.0)) == 1
