@@ -210,3 +210,14 @@ def test_small_cells_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert assignment.greedy(left, right, size=64).count() == 2000
     stages = [p.name.split("-")[0] for p in tmp_path.iterdir()]
     assert max(stages.count(s) for s in stages) > 4
+
+
+def test_swept_chunks_are_dealt(spark):
+    """Adaptive execution would bring all chunks into one task by their compressed size."""
+    from runledger.operators import sweep
+
+    left = spark.range(200).select(F.col("id").alias("iid"), F.lit("g").alias("grp"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 4).alias("mid"), (F.col("id") * 10 + 9).alias("hi"), F.lit(0).alias("pref"))
+    right = spark.range(200).select(F.col("id").alias("pid"), F.lit("g").alias("grp"), (F.col("id") * 10 + 3).alias("t"), F.lit(0).alias("pclass"), F.lit(0).alias("ptie"))
+    rows = sweep.swept(sweep.timeline(left, right, 16))
+    assert rows.rdd.getNumPartitions() > 1
+    assert sweep.nearest(sweep.timeline(left, right, 16)).filter("candidates = 1 and key.pid = iid").count() == 200
