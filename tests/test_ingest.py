@@ -4,7 +4,7 @@ import re
 import pytest
 from conftest import record
 from pyspark.sql import functions as F
-from runledger.operators import common, refresh, rollup, store
+from runledger.operators import attach, common, refresh, rollup, store
 from runledger.plans import pipeline
 from runledger.sources import dumps, tables
 from runledger.streaming import ingest
@@ -308,3 +308,32 @@ def test_a_store_has_one_writer_per_version(spark, make_jobs, tmp_path):
     # All records of a day gone, and none left at all: an empty table with the columns of the store.
     assert store.replace(spark, path, jobs.limit(0), jobs, ["job_id"], F.col("end")) == ["2026-01-01"]
     assert store.read(spark, path).count() == 0 and store.read(spark, path).columns == jobs.columns
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
+
+def test_windows_carry_few_columns(spark, dump_dir):
+    """A window over ninety columns copies each of them for every row, in code too long for the JIT."""
+    records = dumps.read_records(spark, dump_dir({"a": DUMP}))
+    typed, _ = dumps.entries(records)
+    attached = attach.attach(typed)
+    for df in (attached, attach.job_tables(common.cut(attached))[0]):
+        widths = [n.output().size() for n in _nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+        assert widths and max(widths) <= 20
+
+
+def test_attachment_is_dealt(spark, dump_dir):
+    """Adaptive execution joins partitions by compressed bytes, and rows become many times as wide in a sort."""
+    typed, _ = dumps.entries(dumps.read_records(spark, dump_dir({"a": DUMP})))
+    plan = attach.attach(typed)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[job_id#\d+\], \d+", plan)
+
+
+def test_lines_pass_through_python_once(spark, dump_dir):
+    records = dumps.read_records(spark, dump_dir({"a": DUMP}))
+    assert "MapInArrow" not in records._jdf.queryExecution().optimizedPlan().toString()
