@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logtext
@@ -171,8 +171,10 @@ def _digests(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_pylist([row()], schema=schema)
 
 
-def digests(lines: DataFrame) -> DataFrame:
-    """One row per file of ``lines.read_lines``: markers, last traceback, last lines (``DIGEST``)."""
+def digests(lines: DataFrame, log: Column | None = None) -> DataFrame:
+    """One row per file of ``lines.read_lines``: markers, last traceback, last lines (``DIGEST``).
+
+    With ``log``, an expression of ``src_file``, one row (under that name) per log of several files in order of their names."""
     valid = F.make_valid_utf8("line")
     # A line may hold further breaks (carriage returns, form feeds) that end lines of a log too.
     parts = logtext.lines_of(F.regexp_replace(valid, "\r$", ""))
@@ -183,4 +185,5 @@ def digests(lines: DataFrame) -> DataFrame:
     bits += [(bit, logtext.has_marker(low, words)) for bit, _, words in _MARKS]
     flags = sum((F.when(when, F.lit(bit)).otherwise(0) for bit, when in bits), F.lit(0))
     states = each.select("src_file", "block", "line", flags.cast("int").alias("flags")).mapInArrow(_states, _STATE)
-    return states.repartition("src_file").sortWithinPartitions("src_file", "block").mapInArrow(_digests, DIGEST)
+    states = states.withColumns({"_part": F.col("src_file"), "src_file": F.col("src_file") if log is None else log})
+    return states.repartition("src_file").sortWithinPartitions("src_file", "_part", "block").mapInArrow(_digests, DIGEST)

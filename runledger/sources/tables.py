@@ -152,17 +152,21 @@ def partition_ceilings(nodes: DataFrame) -> DataFrame:
 
 # -- log files -------------------------------------------------------------------------------
 
-def log_files(spark: SparkSession, path: str, glob: str = LOG_GLOB) -> DataFrame:
+def log_files(spark: SparkSession, path: str, glob: str = LOG_GLOB, in_parts: bool = False) -> DataFrame:
     """``(path, dir, name, mtime, size, log)`` of the log files under ``path``: ``log`` holds what a diagnosis
     needs of the whole file (``logdigest.DIGEST``), whatever its size.  Spark's sources skip empty files.
 
+    With ``in_parts``, a log is a folder of files, in order of their names, and ``path`` names the folder.
     The listing reads no content, so a report that needs no text (``drop("log")``) reads none."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )
     name = F.regexp_replace("path", r"^file:/+", "/").alias("path")
     listing = files.select(name, F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    found = logdigest.digests(lines.read_lines(spark, path, glob))
+    folder = F.regexp_replace("src_file", r"/[^/]*$", "")
+    if in_parts:
+        listing = listing.groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("path")).agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"))
+    found = logdigest.digests(lines.read_lines(spark, path, glob), folder if in_parts else None)
     parts = [c for c in found.columns if c != "src_file"]
     told = found.select(lines.local_path(F.col("src_file")).alias("path"), F.struct(*parts).alias("log"))
     return with_location(listing).join(told, "path", "left")

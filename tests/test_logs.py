@@ -1,10 +1,12 @@
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from runledger.functions import logpath as lp
 from runledger.functions import logtext
 from runledger.operators import logmatch
+from runledger.plans import evidence
 from runledger.sources import tables
 
 
@@ -126,3 +128,26 @@ def test_only_groups_with_files_are_swept(jobs, files):
     intervals, points = logmatch.time_sides(jobs, files)
     assert {r.grp for r in intervals.collect()} <= {r.grp for r in points.collect()}
     assert {r.iid for r in intervals.collect()} >= {"5", "6", "400"}
+
+
+def test_a_log_in_parts_reads_like_one_file(spark, tmp_path):
+    text = "a\nTraceback (most recent call last):\n  File x\n    b\nValueError: y\nCUDA out of memory\nlast\n"
+    parts = text.splitlines(keepends=True)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "p.txt").write_text(text)
+    (tmp_path / "many").mkdir()
+    for i, part in enumerate(parts):
+        (tmp_path / "many" / f"part-{i:05}.txt").write_text(part)
+    rows = {r.name: r for r in tables.log_files(spark, str(tmp_path), "*.txt", in_parts=True).collect()}
+    assert rows["one"].log == rows["many"].log and rows["many"].log.traceback.endswith("ValueError: y")
+    assert rows["one"].size == rows["many"].size == len(text)
+
+
+def test_no_task_writes_a_whole_log(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "'some text' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(evidence._written_logs(spark, str(tmp_path)).removeprefix("file:"))
+    for shard in range(evidence.SHARDS):
+        files = sorted((folder / f"shard={shard}").glob("*.txt"))
+        assert len(files) > 1
+        lines = "".join(f.read_text() for f in files)
+        assert lines.count("some text") == 500
