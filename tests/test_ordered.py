@@ -221,3 +221,69 @@ def test_swept_chunks_are_dealt(spark):
     rows = sweep.swept(sweep.timeline(left, right, 16))
     assert rows.rdd.getNumPartitions() > 1
     assert sweep.nearest(sweep.timeline(left, right, 16)).filter("candidates = 1 and key.pid = iid").count() == 200
+
+
+def _cell_sides(rng, n, m, edges):
+    """One cell as Arrow columns: intervals of which some are edges (bounds unknown or known), and points of few stamps."""
+    import pyarrow as pa
+
+    left, right = [], []
+    for i in range(n):
+        lo = rng.randrange(0, 400)
+        mid = lo + rng.choice([0, 5, 60])
+        edge = edges and rng.random() < 0.3
+        known = edge and rng.random() < 0.6
+        key = (rng.randrange(2), rng.randrange(2), rng.randrange(40), rng.randrange(2), i, rng.randrange(10_000, 10_100)) if known else (None,) * 6
+        left.append((i, lo, mid, mid + rng.choice([-1, 0, 30]), rng.randrange(2), bool(edge), *key))
+    for p in range(m):
+        right.append((p, rng.randrange(0, 90) * 5, int(rng.random() < 0.2), rng.randrange(2), False, *((None,) * 6)))
+    types = {"b_pref": pa.int64(), "b_pclass": pa.int64(), "b_distance": pa.int64(), "b_ptie": pa.int64(), "b_iid": pa.int64(), "b_pid": pa.int64()}
+
+    def columns(rows, names):
+        return {c: pa.array([r[k] for r in rows], types.get(c)) for k, c in enumerate([*names, "edge", *types])}
+
+    return columns(left, ["iid", "lo", "mid", "hi", "pref"]), columns(right, ["pid", "t", "pclass", "ptie"])
+
+
+@pytest.mark.parametrize("edges", [False, True])
+def test_bands_settle_what_pairs_settle(edges):
+    """Listing a cell's pairs in bands tells the same certain pairs and smallest open ones as going pair by pair."""
+    rng = random.Random(3)
+    for _ in range(150):
+        left, right = _cell_sides(rng, rng.randrange(1, 60), rng.randrange(1, 60), edges)
+        want, bands = assignment._by_pairs(left, right), assignment._Bands(left, right)
+        got = bands.run()
+        assert sorted(got[0]) == sorted(want[0])
+        assert sorted(got[1]) == sorted(want[1])
+        assert sorted(p for p, _, _ in got[2]) == sorted(p for p, _, _ in want[2])
+
+
+def test_crowded_stamps_are_listed_once(spark, monkeypatch):
+    """Thousands of points of one time in each interval: pairs of an interval with them are one entry, not thousands."""
+    seen = []
+    visit = assignment._Bands._visit
+    monkeypatch.setattr(assignment._Bands, "_visit", lambda self, i, s: seen.append(len(i)) or visit(self, i, s))
+    import pyarrow as pa
+
+    n, none = 3000, pa.nulls(3000, pa.int64())
+    k = pa.array(range(n), pa.int64())
+    left = {"iid": k, "lo": pa.array([0] * n), "mid": pa.array([x % 7 for x in range(n)]), "hi": pa.array([100] * n), "pref": pa.array([0] * n)}
+    right = {"pid": k, "t": pa.array([50 + x % 3 for x in range(n)]), "pclass": pa.array([0] * n), "ptie": pa.array([0] * n)}
+    for side in (left, right):
+        side |= {"edge": pa.array([False] * n)} | {f"b_{c}": none for c in assignment._KEY}
+    pairs, rest, points = assignment._Bands(left, right).run()
+    assert len(pairs) == n and not rest and not points
+    assert sum(seen) < 10 * n
+
+
+def test_greedy_match_cuts_what_is_left_anew(spark, monkeypatch):
+    """What a first round leaves in doubt, about the edges of its cells, is brought together in new cells."""
+    rng, cells = random.Random(8), []
+    monkeypatch.setattr(assignment, "_cells", lambda *a, f=assignment._cells: cells.append(1) or f(*a))
+    left = [(i, "g", t, t + 20, t + 40, 0) for i in range(900) for t in [rng.randrange(0, 30_000)]]
+    right = [(i, "g", rng.randrange(0, 30_000), int(i % 5 == 0), 0) for i in range(700)]
+    a = spark.createDataFrame(left, "iid long, grp string, lo long, mid long, hi long, pref int")
+    b = spark.createDataFrame(right, "pid long, grp string, t long, pclass int, ptie int")
+    got = {r.iid: r.pid for r in intervals.greedy_match(a, b, 64).collect()}
+    assert got == _greedy(_pairs(left, right))
+    assert 1 < len(cells) <= 4
