@@ -4,6 +4,7 @@ import re
 import pytest
 from conftest import record
 from pyspark.sql import functions as F
+from runledger import schema
 from runledger.operators import attach, common, refresh, rollup, store
 from runledger.plans import pipeline
 from runledger.sources import dumps, tables
@@ -172,6 +173,31 @@ def test_batches_fold_as_one_run_does(spark, dump_dir, tmp_path):
     assert got["attempts"].count() == 1 and got["others"].count() == 1 and kept
 
 
+def test_a_replayed_batch_is_not_folded_again_and_absent_fields_take_no_place(spark, dump_dir, tmp_path, monkeypatch):
+    """A batch is marked when it is folded: with the same records it is in the tables, with others it is folded anew.
+    Columns that no batch has a field for are in no file, and NULL when they are read; a later batch may have them."""
+    folds, attach_ = [], ingest.attach.attach
+    monkeypatch.setattr(ingest.attach, "attach", lambda rows: folds.append(rows.columns) or attach_(rows))
+    few = ["JobID", "Cluster", "State", "Submit"]
+    folder = dump_dir({"a": "1|c|FAILED|2026-01-01T00:00:00\n1.0|c|COMPLETED|\n", "b": "2|c|COMPLETED|2026-01-02T00:00:00\n", "c": "3|c|COMPLETED|2026-01-01T00:00:00|train\n"})
+    out = str(tmp_path / "out")
+
+    def fold(name, number, fields=few):
+        ingest.fold_batch(spark, dumps.read_records(spark, f"{folder}/{name}", "|"), out, number, fields, "|")
+
+    fold("a", 0), fold("b", 1), fold("a", 0)
+    assert len(folds) == 2 and "name" not in folds[0] and len(folds[0]) < 30
+    t = ingest.read_tables(spark, out)
+    assert {r.job_id: (r.state, r.name, r.live) for r in t["jobs"].collect()} == {"1": ("FAILED", None, None), "2": ("COMPLETED", None, None)}
+    assert t["jobs"].columns == schema.JOBS.names and t["steps"].columns == schema.STEPS.names and t["steps"].count() == 1
+    days = store.manifest(spark, f"{out}/jobs")
+    assert "name" not in days.written and "name" not in spark.read.parquet(days.days["2026-01-01"]).columns
+    fold("c", 2, [*few, "JobName"])
+    assert {r.job_id: r.name for r in ingest.read_tables(spark, out)["jobs"].collect()} == {"1": None, "2": None, "3": "train"}
+    fold("b", 0)
+    assert len(folds) == 4
+
+
 def test_window_and_bounds(spark, make_jobs, make_steps):
     jobs = make_jobs([
         {"id": 1, "start": "2026-01-01 00:00:00", "end": "2026-01-02 00:00:00", "state": "FAILED"},
