@@ -198,6 +198,29 @@ def test_a_replayed_batch_is_not_folded_again_and_absent_fields_take_no_place(sp
     assert len(folds) == 4
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They would lie on disk beside those of all later steps."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before = {f.getName() for f in _files(disk)}
+    table = common.cut(spark.range(1000).repartition(3, "id"))
+    assert not [f.getName() for f in _files(disk) if f.getName().startswith("shuffle") and f.getName() not in before and f.length()]
+    assert table.count() == 1000 and spark.conf.get(common._CLEANUP, "false") == "false"
+
+
+def _files(disk):
+    found = disk.getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_records_are_dealt_by_job_before_they_are_typed(spark, dump_dir):
+    """Text is shuffled once, not ninety columns, and gives the same entries."""
+    records = dumps.read_records(spark, dump_dir({"a": DUMP}))
+    plain, dealt = (attach.attach(dumps.entries(records, by_job=b)[0], b) for b in (False, True))
+    assert sorted(map(repr, dealt.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(job_id")
+    assert len(plan) == 2 and "record" in plan[1] and "max_rss" not in plan[1]
+
+
 def test_window_and_bounds(spark, make_jobs, make_steps):
     jobs = make_jobs([
         {"id": 1, "start": "2026-01-01 00:00:00", "end": "2026-01-02 00:00:00", "state": "FAILED"},
